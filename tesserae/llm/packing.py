@@ -29,7 +29,7 @@ END = 0
 
 def encoded(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame:
     """(key, part, start, n, ids): each document's ids with the end mark, and its place within its partition."""
-    schema = docs.select(key).schema.add("part", "int").add("start", "long").add("n", "long").add("ids", "binary")
+    schema = docs.select(key).schema.add("part", "integer").add("start", "long").add("n", "long").add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, at = bpe.codec(path), TaskContext.get().partitionId(), 0
