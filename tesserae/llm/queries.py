@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, packing
+from tesserae.llm import bpe, packing, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_speculate_verify": bpe.query,
+    "op8_substring_suffix_trees": substring.query,
+    "op9_suffix_array_lpf": suffix.query,
     "op10_packing_concatenate_cut": packing.query,
 }
 ORACLES: dict[str, str] = {}
