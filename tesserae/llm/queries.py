@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, jaccard, packing, substring, suffix
+from tesserae.llm import bpe, jaccard, packing, quality, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fourier_ridge": quality.query,
     "op3_jaccard_adaptive_prefixes": jaccard.query,
     "op5_bpe_speculate_verify": bpe.query,
     "op8_substring_suffix_trees": substring.query,
