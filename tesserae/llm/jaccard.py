@@ -37,6 +37,8 @@ MOST_MATCHES = 6
 VERIFY_COST = 20.0
 #: Hubs drawn at random per posting list, besides the most central one.
 RANDOM_HUBS = 5
+#: Largest side that is broadcast, by its measured size; beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -326,5 +328,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose group holds a row of smaller key; rows with a null key stay."""
+    found = common.stage(near_duplicates(docs, k, percent, key, text).where(f"component_id < {key}").select(key).distinct(), "copies")
+    few = found.count() * 8 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(found) if few else found, key, "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))

@@ -171,6 +171,12 @@ def _joined(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
     return named.join(gone.toDF("__key", "__tag", "__gone"), ["__key", "__tag"], "left")
 
 
+def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with removed lines taken out of the text; rows that lose lines and have no word left go."""
+    out = dedup_lines(docs, key, text)
+    return out.where(F.col("n_removed").eqNullSafe(0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -239,5 +239,20 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return out.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, as they are. Scored in one pass beside all their columns."""
+    common.prepare(docs.sparkSession)
+    known = labels.where(~held_out(key)).select(key, F.col(label).alias("label"))
+    stats = common.stage(described(docs, key, text), "stats")
+    model = fit(stats.join(known, key).select(key, "stats", "label"), key)
+    common.discard(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.chunks(batches, text):
+            yield rows.filter(pa.array(model.score(statistics(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))

@@ -236,21 +236,30 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     many = rows.where("payload is null").select("anchor", "key", "tag", "lo")
     total = many.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("head"))
     hit = {"none": "n > 1", "smaller": "head.key < key", "first": "head < struct(key, lo)"}[spec.keep]
-    hot = many.join(total.where("n > 1"), "anchor").where(hit).select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + spec.width).cast("int").alias("end"))
+    total = common.stage(total.where("n > 1"), "windows")  # a plain table, so that a skewed side of the join can be split
+    hot = many.join(total, "anchor").where(hit).select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + spec.width).cast("int").alias("end"))
     return found.union(hot).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, n_units, n_removed, n_spans (maximal removed stretches) and kept (binary).
+def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: key, tag, n_units, n_removed, n_spans (maximal removed stretches), kept (binary), and `carry`.
 
     Kept words are joined by one space; kept bytes are put together."""
     common.prepare(docs.sparkSession)
-    base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
+    extra = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"), *extra)
     known = base.where("key is not null")
-    return cut(base.join(spans(known, spec), ["key", "tag"], "left").select("key", "tag", "text", "spans"), spec).withColumnRenamed("key", key)
+    out = cut(base.join(spans(known.select("key", "tag", "text"), spec), ["key", "tag"], "left").select("key", "tag", "text", "spans", *(f"carry_{k}" for k in range(len(carry)))), spec)
+    return out.select(F.col("key").alias(key), "tag", "n_units", "n_removed", "n_spans", "kept", *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def cut(joined: DataFrame, spec: Spec) -> DataFrame:
+    schema = joined.select("key", "tag").schema
+    for name, kind in (("n_units", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+        schema = schema.add(name, kind)
+    for f in joined.drop("key", "tag", "text", "spans").schema.fields:
+        schema = schema.add(f)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
             _, starts, ends, first = units(spec, data, offsets)
@@ -260,28 +269,25 @@ def cut(joined: DataFrame, spec: Spec) -> DataFrame:
             flat = lists.flatten()
             text = np.repeat(np.arange(len(per)), per)
             a, b = (flat.field(k).to_numpy().astype(np.int64) + first[text] for k in range(2))
-            depth = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(depth, a, 1)
-            np.add.at(depth, b, -1)
+            depth = np.bincount(a, minlength=len(starts) + 1) - np.bincount(b, minlength=len(starts) + 1)
             gone = np.cumsum(depth[:-1]) > 0
             part, _, _ = stretches(gone, first)
             lost = np.concatenate(([0], np.cumsum(gone)))
             n_removed = lost[first[1:]] - lost[first[:-1]]
-            kept = []
-            for k in range(len(per)):
-                lo, hi = first[k], first[k + 1]
-                if spec.unit == "bytes":
-                    piece = data[lo:hi]
-                    kept.append((piece[~gone[lo:hi]] if n_removed[k] else piece).tobytes())
-                    continue
-                own = np.flatnonzero(~gone[lo:hi]) + lo
-                if not len(own):
-                    kept.append(b"")
-                    continue
-                s, size = starts[own], ends[own] - starts[own]
-                out = np.full(int(size.sum()) + len(own) - 1, 32, np.uint8)
-                out[common.ragged(np.cumsum(size + 1) - size - 1, size)] = data[common.ragged(s, size)]
-                kept.append(out.tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts), pa.array(n_removed), pa.array(np.bincount(part, minlength=len(per))), pa.array(kept, pa.binary())], names=["key", "tag", "n_units", "n_removed", "n_spans", "kept"])
+            kept = [joined_units(spec, data, starts[lo:hi], ends[lo:hi], gone[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            out = [rows.column(0), rows.column(1), pa.array(counts), pa.array(n_removed), pa.array(np.bincount(part, minlength=len(per))), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*out, *rows.columns[4:]], names=schema.names)
 
-    return joined.mapInArrow(run, "key long, tag long, n_units long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, schema)
+
+
+def joined_units(spec: Spec, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
+    """What stays of one text: its bytes put together, or its words joined by one space."""
+    if spec.unit == "bytes":
+        return data[starts[~gone]].tobytes()
+    starts, size = starts[~gone], (ends - starts)[~gone]
+    if not len(starts):
+        return b""
+    out = np.full(int(size.sum()) + len(size) - 1, 32, np.uint8)
+    out[common.ragged(np.cumsum(size + 1) - size - 1, size)] = data[common.ragged(starts, size)]
+    return out.tobytes()

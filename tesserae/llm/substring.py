@@ -56,6 +56,14 @@ def dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str =
     return repeats.removed(docs, spec(width), key, text)
 
 
+def rewritten(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the removed words taken out: texts that lose none stay as they are, the others' kept words are joined
+    by one space, and rows that lose all their words go."""
+    out = repeats.removed(docs, spec(width), key, text, tuple(c for c in docs.columns if c != key))
+    own = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(text))
+    return out.where("n_removed = 0 or n_removed < n_units").withColumn(text, own).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
