@@ -1,0 +1,180 @@
+"""The SQL that each query must equal, for DuckDB on the same tables."""
+
+from __future__ import annotations
+
+from tesserae.functions.chat import FOREIGN, REFUSALS, SYSTEM
+from tesserae.functions.text import ABSTAIN, ACCEPT
+from tesserae.operators.noise import EXACT
+from tesserae.operators.synth import STOP, TOPICS
+
+WS = r"[ \t\n\r\f\v]"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def norm(c: str) -> str:
+    return f"trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def uniform(key: str, seed: str) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def md5_mod(c: str, n: int) -> str:
+    h = f"md5({c}::VARCHAR)"
+    out = "0"
+    for k in range(8):
+        out = f"(({out}) * 65536 + ('0x' || substr({h}, {4 * k + 1}, 4))::BIGINT) % {n}"
+    return out
+
+
+TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r\f\v]'))"
+PROBES = f"""items AS (SELECT 'benchmark' AS bench, item_id AS id, {norm("text")} AS n FROM benchmark),
+probes AS (SELECT bench, id, 0 AS k, CASE WHEN length(n) < 160 THEN n ELSE trim(substr(n, 1, 80)) END AS pat FROM items WHERE length(n) >= 50
+  UNION ALL SELECT bench, id, 1, trim(right(n, 80)) FROM items WHERE length(n) >= 160),
+texts AS (SELECT doc_id, source, {norm("text")} AS n FROM documents),
+hits AS (SELECT DISTINCT doc_id, source, bench, id, k, pat, n FROM texts, probes WHERE contains(n, pat))"""
+HIT_ROWS = f"WITH {PROBES} SELECT doc_id, id AS item_id, k FROM hits"
+ROLE = "CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE role END"
+CHAT = f"""raw AS (SELECT conv_id, turn, {ROLE} AS role, text FROM conversations),
+clean AS (SELECT conv_id, turn, role, text, {strip(r"CASE role WHEN 'assistant' THEN regexp_replace(text, '<think>\s*</think>\s*', '', 'g') ELSE regexp_replace(text, '\s*/(no_)?think\s*$', '') END")} AS c FROM raw),
+kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM clean WHERE NOT (role = 'system' AND coalesce(c = '', false))),
+lead AS (SELECT *, i - max(CASE WHEN i = 1 AND role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS j FROM kept)"""
+REFUSES = "(" + " OR ".join(f"contains(lower(text), {quoted(p)})" for p in REFUSALS) + ")"
+FIRST_USER = rf"arg_min(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), turn)"
+QUIZ = f"""quiz AS (SELECT doc_id AS q, CASE doc_id % 3 WHEN 0 THEN 'attr' WHEN 1 THEN 'def' ELSE 'nq' END AS kind,
+  string_split({norm("text")}, ' ')[40] AS gold, substr(text, 1, 300) AS answer, lang AS prop FROM documents),
+graded AS (SELECT *, CASE WHEN length(trim(coalesce(gold, ''))) >= 2 AND contains(' ' || trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || gold || ' ') THEN 'right'
+  WHEN regexp_matches(answer, {quoted("(?i)" + ABSTAIN.removeprefix("(?iuU)"))}) THEN 'abstain' ELSE 'wrong' END AS grade FROM quiz)"""
+JUDGED = f"""judged AS (SELECT conv_id AS id, (turn + 1)::INT AS n, {md5_mod("(conv_id || '-' || turn)", 5)} != 0 AS ok,
+  CASE turn % 3 WHEN 0 THEN 'Ignores the question' WHEN 1 THEN 'Wrong fact' ELSE 'Repeats itself' END AS problem FROM conversations WHERE role = 'assistant')"""
+MESSAGES = "msgs AS (SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, role, text FROM conversations)"
+HEAD = "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)"
+PAIRS = f"""{JUDGED}, {MESSAGES},
+bad AS (SELECT id, n, 'A better reply.' AS better FROM judged WHERE NOT ok AND n % 2 = 0),
+hist AS (SELECT b.id, b.n, string_agg({HEAD} || {strip("text")} || '<|eot_id|>', '' ORDER BY i) AS h, bool_or(contains(text, '<|')) AS marks
+  FROM bad b JOIN msgs m ON m.id = b.id AND m.i <= 2 * (b.n - 1) + 1 GROUP BY 1, 2),
+made AS (SELECT b.id, b.n, b.better, h.h, m.role, {strip("m.text")} AS wrong,
+  coalesce(m.role = 'assistant', false) AND NOT coalesce(h.marks OR contains({strip("m.text")}, '<|'), false) AND coalesce({strip("m.text")} NOT IN ('', b.better), false) AS fine
+  FROM bad b LEFT JOIN hist h USING (id, n) LEFT JOIN msgs m ON m.id = b.id AND m.i = 2 * (b.n - 1) + 2),
+pairs AS (SELECT 'fixture:' || id || ':' || n AS source, id, CASE WHEN fine THEN '<|begin_of_text|>' || h || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) END AS prompt,
+  CASE WHEN fine THEN better || '<|eot_id|>' END AS chosen, CASE WHEN fine THEN wrong || '<|eot_id|>' END AS rejected, NOT fine AS skipped FROM made)"""
+LOGS = "logs AS (SELECT lang, source, quality, toxic FROM documents JOIN labels USING (doc_id))"
+SENTENCES = r"""s AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents),
+p AS (SELECT doc_id, text, unnest(range(1, len(s))) AS i, s FROM s)"""
+
+ORACLES = {
+    "norm_documents": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
+    "probe_build": f"WITH {PROBES} SELECT id AS item_id, k, pat FROM probes",
+    "contam_hits": HIT_ROWS,
+    "contam_hits_automaton": HIT_ROWS,
+    "contam_summary": f"""WITH {PROBES}, per AS (SELECT bench, id, count(*) AS n FROM probes GROUP BY 1, 2),
+seen AS (SELECT bench, id, count(DISTINCT k) AS m FROM hits GROUP BY 1, 2),
+p AS (SELECT bench, count(*) AS probed, count(m) AS any_hit, count(CASE WHEN m = n THEN 1 END) AS all_hit FROM per LEFT JOIN seen USING (bench, id) GROUP BY 1)
+SELECT i.bench, i.items, probed, any_hit, all_hit, round(100.0 * any_hit / greatest(1, probed), 2) AS pct_any, round(100.0 * all_hit / greatest(1, probed), 2) AS pct_all
+FROM (SELECT bench, count(*) AS items FROM items GROUP BY 1) i JOIN p USING (bench)""",
+    "contam_by_source": f"WITH {PROBES} SELECT source, count(DISTINCT id) AS items_hit, count(*) AS hits FROM hits GROUP BY 1",
+    "corpus_stats": "SELECT source, count(*) AS records, sum(strlen(text))::BIGINT AS text_bytes, count(DISTINCT lang) AS shards FROM documents GROUP BY 1",
+    "contam_context": f"""WITH {PROBES}, f AS (SELECT DISTINCT doc_id, pat, n, strpos(n, pat) + length(pat) - 2 AS e FROM hits)
+SELECT doc_id, pat, substr(n, greatest(0, e - 200) + 1, e + 120 - greatest(0, e - 200)) AS ctx FROM f""",
+    "decontaminate_docs": f"WITH {PROBES} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits)",
+    "accuracy_split": f"""WITH {PROBES} SELECT hit, count(*) AS n, 100.0 * sum(quality) / count(*) AS accuracy
+FROM (SELECT quality, doc_id IN (SELECT doc_id FROM hits) AS hit FROM labels) GROUP BY 1""",
+    "chat_assemble": "SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1",
+    "chat_drop_reasons": f"""WITH {CHAT},
+early AS (SELECT conv_id, arg_min(r, turn) AS r FROM (SELECT conv_id, turn, CASE WHEN role NOT IN ('system', 'user', 'assistant') THEN 'drop_role' WHEN text IS NULL OR (c = '' AND role != 'system') THEN 'drop_empty' END AS r FROM clean) WHERE r IS NOT NULL GROUP BY 1),
+shape AS (SELECT conv_id, count(*) FILTER (WHERE j > 0) AS n, bool_or(j > 0 AND role != CASE WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END) AS bad, bool_or(regexp_matches(c, '<think>|<tool_call>|<tools>')) AS tools FROM lead GROUP BY 1),
+late AS (SELECT conv_id, arg_min(r, i) AS r FROM (SELECT conv_id, i, CASE WHEN role = 'assistant' AND {REFUSES} THEN 'drop_refusal' WHEN role IN ('assistant', 'system') AND regexp_matches(c, {quoted("(?i)" + FOREIGN)}) THEN 'drop_foreign_identity' END AS r FROM lead) WHERE r IS NOT NULL GROUP BY 1)
+SELECT coalesce(early.r, CASE WHEN coalesce(n, 0) < 2 OR n % 2 = 1 OR bad THEN 'drop_structure' WHEN tools THEN 'drop_tools_think' END, late.r, 'kept') AS reason, count(*) AS n
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN early USING (conv_id) LEFT JOIN shape USING (conv_id) LEFT JOIN late USING (conv_id) GROUP BY 1""",
+    "chat_refusal_flags": f"SELECT conv_id, turn, {REFUSES} AS refusal FROM conversations WHERE role = 'assistant'",
+    "chat_identity_flags": f"SELECT conv_id, turn, regexp_matches(text, {quoted('(?i)' + FOREIGN)}) AS foreign FROM conversations WHERE role IN ('assistant', 'system')",
+    "same_prompt_antijoin": f"""WITH p AS (SELECT conv_id, {FIRST_USER} AS prompt FROM conversations WHERE role = 'user' GROUP BY 1),
+q AS (SELECT c.conv_id, prompt, {md5_mod("c.conv_id", 4)} = 0 AS made FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p USING (conv_id))
+SELECT conv_id FROM q WHERE NOT made AND NOT EXISTS (SELECT 1 FROM q o WHERE o.made AND o.prompt = q.prompt)""",
+    "first_user_freq": f"SELECT prompt, count(*) AS n FROM (SELECT c.conv_id, prompt FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, {FIRST_USER} AS prompt FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id)) GROUP BY 1",
+    "render_template": f"SELECT conv_id, '<|begin_of_text|>' || string_agg({HEAD} || trim(text) || '<|eot_id|>', '' ORDER BY turn) AS rendered FROM conversations GROUP BY 1",
+    "pack_history": f"SELECT conv_id, string_agg(CASE WHEN i = 1 THEN '' ELSE '<|eot_id|>' || {HEAD} END || text, '' ORDER BY i) AS packed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY 1",
+    "system_prompt_insert": f"""WITH c AS (SELECT conv_id, count(*) AS n, arg_min(role, turn) AS f FROM conversations GROUP BY 1),
+a AS (SELECT *, f != 'system' AND {uniform("conv_id", "system")} < 0.25 AS added FROM c)
+SELECT conv_id, added, n + added::INT AS n_messages, CASE WHEN added THEN 'system' ELSE f END AS first_role FROM a""",
+    "holdout_mod50": f"SELECT doc_id, {md5_mod('doc_id', 50)} = 0 AS held FROM documents",
+    "holdout_mod8": f"SELECT doc_id, {md5_mod('doc_id', 8)} = 0 AS held FROM documents",
+    "reservoir_cap": """WITH a AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY md5('reservoir:' || doc_id)) AS r FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('reservoir:' || doc_id)) AS r2 FROM a WHERE r <= 23 AND n_chars <= 8000)
+SELECT doc_id, source, n_chars FROM b WHERE r2 <= 20""",
+    "merge_caps": """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('caps:' || doc_id)) AS r FROM documents)
+WHERE r <= CASE lang WHEN 'en' THEN 100 WHEN 'fr' THEN 40 WHEN 'de' THEN 30 ELSE 1073741824 END""",
+    "train_eval_split": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('split:' || doc_id)) <= 200 THEN 'eval' ELSE 'train' END AS split FROM documents",
+    "two_pass_shards": "SELECT doc_id, p::INT AS pass, ((row_number() OVER (PARTITION BY p ORDER BY md5('order:' || p || ':' || doc_id)) - 1) % 8)::INT AS shard FROM documents, range(2) t(p)",
+    "oversample_self": "SELECT source, sum(CASE WHEN source = 'src0' THEN 2 ELSE 1 END)::BIGINT AS n FROM documents GROUP BY 1",
+    "mix_summary": f"SELECT coalesce(source, '_all') AS source, count(*) AS examples, sum(t)::BIGINT AS tokens, sum(t) / count(*) AS mean_tokens FROM (SELECT source, {TOKENS} AS t FROM documents) GROUP BY ROLLUP (source)",
+    "mixture_weights": """WITH m AS (SELECT lang, CASE lang WHEN 'en' THEN 0.55::DOUBLE WHEN 'fr' THEN 0.2::DOUBLE WHEN 'de' THEN 0.15::DOUBLE ELSE 0.1::DOUBLE END AS share, avg(n_chars) AS avg_tokens FROM documents GROUP BY 1)
+SELECT lang, share, avg_tokens, round(share / avg_tokens / sum(share / avg_tokens) OVER (), 9) AS doc_weight, round(share * avg_tokens / sum(share * avg_tokens) OVER (), 9) AS token_share FROM m""",
+    "token_count": f"SELECT doc_id, {TOKENS} AS n_tokens FROM documents",
+    "length_filter": f"SELECT doc_id, n_tokens FROM (SELECT doc_id, {TOKENS} AS n_tokens FROM documents) WHERE n_tokens <= 4096",
+    "length_hist": """SELECT CASE WHEN n_chars < 1000 THEN '0-1000' WHEN n_chars < 4000 THEN '1000-4000' WHEN n_chars < 8000 THEN '4000-8000' WHEN n_chars < 16000 THEN '8000-16000' WHEN n_chars < 32000 THEN '16000-32000' ELSE '32000-1000000000' END AS bin,
+count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1""",
+    "word_topk": f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{{4,}}')) AS word FROM documents),
+c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ({", ".join(map(quoted, STOP))}) GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 60)
+SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank, word, n FROM c) WHERE rank <= 6""",
+    "next_sentence": f"""WITH {SENTENCES} SELECT doc_id, (i - 1)::INT AS pos, s[i] AS sentence, s[i + 1] AS following FROM p
+WHERE length(s[i]) BETWEEN 60 AND 200 AND length(s[i + 1]) BETWEEN 40 AND 250 AND (length(text) - length(replace(text, s[i], ''))) / length(s[i]) = 1""",
+    "grade_quiz": f"WITH {QUIZ} SELECT q, gold, grade FROM graded",
+    "cap_fallthrough": f"""WITH {QUIZ}, a AS (SELECT *, row_number() OVER (PARTITION BY kind, grade = 'wrong' ORDER BY md5('additions:' || q)) AS r FROM graded),
+b AS (SELECT *, grade = 'wrong' AND r <= CASE kind WHEN 'def' THEN 60 WHEN 'attr' THEN 50 ELSE 40 END AS idk FROM a),
+c AS (SELECT *, grade = 'wrong' AND NOT idk AND kind != 'def' AND gold IS NOT NULL AS spare FROM b),
+e AS (SELECT *, row_number() OVER (PARTITION BY spare ORDER BY md5('additions:' || q)) AS r2 FROM c)
+SELECT kind, grade, CASE WHEN idk THEN 'abstain' WHEN spare AND r2 <= 45 THEN 'correct' WHEN grade = 'right' AND kind != 'def' AND gold IS NOT NULL THEN 'known' ELSE 'none' END AS chosen, count(*) AS n, sum(q)::BIGINT AS q_sum FROM e GROUP BY 1, 2, 3""",
+    "wrong_alternatives": f"""WITH {QUIZ}, r AS (SELECT * FROM graded WHERE kind = 'attr' AND gold IS NOT NULL AND grade = 'right'), pool AS (SELECT DISTINCT prop, gold AS alt FROM r)
+SELECT q, any_value(r.gold) AS gold, arg_min(alt, md5(alt)) FILTER (WHERE lower(alt) != lower(r.gold) AND NOT contains(lower(answer), lower(alt))) AS alt FROM r JOIN pool USING (prop) GROUP BY q""",
+    "transition_matrix": f"""WITH {QUIZ}, t AS (SELECT grade AS before, CASE WHEN {md5_mod("q", 3)} = 0 THEN 'abstain' ELSE grade END AS after FROM graded), c AS (SELECT before, after, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT before, after, n, 100.0 * n / sum(n) OVER (PARTITION BY before) AS row_pct, 100.0 * n / sum(n) OVER () AS pct FROM c""",
+    "stress_report": f"""WITH {JUDGED}
+SELECT 'turns_ok' AS metric, '' AS key, 100.0 * avg(ok::INT) AS value FROM judged
+UNION ALL SELECT 'clean_conversations', '', 100.0 * avg(o::INT) FROM (SELECT id, bool_and(ok) AS o FROM judged GROUP BY 1)
+UNION ALL SELECT 'bad_by_turn', least(n, 9)::VARCHAR, 100.0 * avg((NOT ok)::INT) FROM judged GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'problem', lower(substr(problem, 1, 40)) AS key, count(*)::DOUBLE AS value FROM judged WHERE NOT ok GROUP BY 2 ORDER BY value DESC, key LIMIT 8)""",
+    "dpo_pairs": f"WITH {PAIRS} SELECT source, id, prompt, chosen, rejected, skipped FROM pairs",
+    "dpo_split": f"""WITH {PAIRS}, m AS (SELECT source, id FROM pairs WHERE NOT skipped), g AS (SELECT id, row_number() OVER (ORDER BY md5('eval:' || id)) AS r FROM (SELECT DISTINCT id FROM m))
+SELECT m.id, source, CASE WHEN r <= greatest(1, (SELECT count(*) // 4 FROM g)) THEN 'eval' ELSE 'train' END AS split FROM m JOIN g USING (id)""",
+    "dpo_summary": f"WITH {PAIRS} SELECT count(*) FILTER (WHERE NOT skipped) AS pairs, count(*) FILTER (WHERE skipped) AS skipped, round(avg(length(prompt)), 6) AS mean_prompt, round(avg(length(rejected)), 6) AS mean_rejected FROM pairs",
+    "newest_per_task": "SELECT source AS task, lpad(max(doc_id)::VARCHAR, 12, '0') AS path, arg_max(n_chars, doc_id) AS value FROM documents GROUP BY 1",
+    "score_pivot": f"WITH {LOGS} SELECT source, " + ", ".join(f"avg(coalesce(quality, toxic)::DOUBLE) FILTER (WHERE lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM logs GROUP BY 1",
+    "subtask_mean": f"WITH {LOGS}, v AS (SELECT lang, source, avg(quality) AS v FROM logs GROUP BY 1, 2) SELECT lang, avg(v) AS score, count(v) = 20 AS complete FROM v GROUP BY 1",
+    "weighted_group_score": f"WITH {LOGS} SELECT lang, sum(v * n) / sum(n) AS score FROM (SELECT lang, source, avg(quality) AS v, count(*) AS n FROM logs GROUP BY 1, 2) GROUP BY 1",
+    "score_interval": f"WITH {LOGS} SELECT lang, round(avg(quality), 9) AS mean, round(1.96 * stddev_samp(quality) / sqrt(count(quality)), 9) AS half_width FROM logs GROUP BY 1",
+    "api_spend": "SELECT round((sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END) * 0.25::DOUBLE + sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)) / 1e6, 9) AS usd FROM conversations",
+    "stall_detector": """WITH a AS (SELECT event_id, user_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+e AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id, run ORDER BY event_id))::INT AS in_a_row FROM b) SELECT * FROM e WHERE in_a_row >= 3""",
+    "loss_spikes": """WITH a AS (SELECT event_id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))
+SELECT event_id FROM a WHERE value > m + 2.5 * s""",
+    "chunk_sequences": f"""WITH t AS (SELECT doc_id, {TOKENS} AS n FROM documents)
+SELECT doc_id, chunk, least(1024, n - chunk * 1024) AS length FROM (SELECT doc_id, n, unnest(range(greatest(n - 1, 0) // 1024 + 1)) AS chunk FROM t)""",
+    "length_buckets": f"SELECT CASE WHEN u <= 0.15 THEN '8k' WHEN u <= 0.35 THEN '16k' WHEN u <= 0.65 THEN '32k' ELSE '48k' END AS bucket, count(*) AS n FROM (SELECT {uniform('doc_id', 'length')} AS u FROM documents) GROUP BY 1",
+    "accept_share": f"SELECT doc_id FROM documents WHERE {uniform('doc_id', 'accept')} < 0.35",
+    "boxed_answer": r"SELECT doc_id, '\frac{' || doc_id || '}{2}' AS answer FROM documents",
+    "resume_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id % 3 != 0",
+    "pushback_rates": f"SELECT role, 100.0 * avg(regexp_matches(text, {quoted('(?i)' + ACCEPT.removeprefix('(?iuU)'))})::INT) AS accepts FROM conversations GROUP BY 1",
+    "probe_tallies": f"WITH {JUDGED} SELECT problem, count(*) FILTER (WHERE NOT ok) AS bad, count(*) AS n FROM judged GROUP BY 1",
+    "prompt_windows": "SELECT CASE WHEN length(text) > 30 AND length(text) < 1500 THEN 'math' WHEN length(text) > 20 AND length(text) < 3000 THEN 'general' ELSE 'none' END AS fits, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
+    "source_renames": "SELECT source, count(*) AS n FROM (SELECT replace(source, 'src', 'verified_') AS source FROM documents UNION ALL SELECT 'chat' FROM conversations) GROUP BY 1",
+    "first_hit_bench": f"WITH {PROBES} SELECT doc_id, arg_min(pat, (strpos(n, pat) + length(pat)) * 1000 + 0) AS pat FROM (SELECT DISTINCT doc_id, pat, n FROM hits) GROUP BY 1",
+    "planted_notes": f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip("x")}), lambda x: x != '') AS p FROM documents),
+q AS (SELECT doc_id, p, [{", ".join(map(quoted, TOPICS))}][floor({uniform("doc_id", "note-topic")} * {len(TOPICS)})::INT + 1] AS topic, lpad(floor({uniform("doc_id", "note-code")} * 1000000)::INT::VARCHAR, 6, '0') AS code, floor({uniform("doc_id", "note-place")} * (len(p) + 1))::INT AS place FROM p WHERE len(p) >= 12)
+SELECT doc_id, array_to_string(p[:place] || ['Note: the access code of the ' || topic || ' is ' || code || '.'] || p[place + 1:], chr(10) || chr(10)) AS text, 'What is the access code of the ' || topic || '?' AS question, code AS answer, place FROM q""",
+    "budget_prefix": f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip("x")}), lambda x: x != '' AND length(x) <= 3000) AS p FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, p FROM p), c AS (SELECT doc_id, i, length(p[i]) + 2 AS n FROM u),
+r AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM c),
+k AS (SELECT doc_id, count(*) AS n_kept, sum(n)::BIGINT AS chars FROM r WHERE cum <= 4200 GROUP BY 1)
+SELECT doc_id, coalesce(n_kept, 0) AS n_kept, coalesce(chars, 0) AS chars FROM documents LEFT JOIN k USING (doc_id)""",
+    "typo_eligible": f"""SELECT conv_id, turn, length(text) BETWEEN 6 AND 160 AND NOT regexp_matches(text, {quoted(chr(91) + "`" + chr(34) + "“”<>{}" + chr(92) * 2 + "=" + chr(92) + "n" + chr(93))}) AND NOT regexp_matches(text, {quoted(EXACT)})
+AND len(list_filter(regexp_extract_all(' ' || text || ' ', {quoted(r"[\w'/.@#-]*[a-z]{3,}[\w'/.@-]*")}), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) > 0 AS fit FROM conversations WHERE role = 'user'""",
+}

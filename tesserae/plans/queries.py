@@ -1,0 +1,423 @@
+"""The queries, each over whole tables. Judgments, grades and runs that the fixtures lack are derived from md5 draws."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import chat, text as tx
+from tesserae.operators import contamination as con
+from tesserae.operators import dialogue, noise, report, sampling, synth
+from tesserae.sources.io import remaining, table
+
+QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def docs(s, d):
+    return table(s, d, "documents")
+
+
+def turns(s, d):
+    return table(s, d, "conversations")
+
+
+def items(s, d):
+    return table(s, d, "benchmark").select(F.lit("benchmark").alias("bench"), F.col("item_id").alias("id"), "text")
+
+
+def audit(s, d):
+    probes = con.probe_table(items(s, d))
+    found = con.hits(docs(s, d).select(F.col("doc_id").alias("doc"), tx.norm("text").alias("norm")), probes)
+    return probes, con.item_hits(found, probes)
+
+
+@query
+def norm_documents(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).select("doc_id", tx.norm("text").alias("norm"))
+
+
+@query
+def probe_build(s, d):
+    return con.probe_table(items(s, d)).select(F.col("id").alias("item_id"), "k", "pat")
+
+
+@query
+def contam_hits(s, d):
+    return audit(s, d)[1].select(F.col("doc").alias("doc_id"), F.col("id").alias("item_id"), "k")
+
+
+@query
+def contam_hits_automaton(s, d):
+    probes = con.probe_table(items(s, d))
+    found = con.hits(docs(s, d).select(F.col("doc_id").alias("doc"), tx.norm("text").alias("norm")), probes, "automaton")
+    return con.item_hits(found, probes).select(F.col("doc").alias("doc_id"), F.col("id").alias("item_id"), "k")
+
+
+@query
+def contam_summary(s, d):
+    probes, hit = audit(s, d)
+    return con.summary(items(s, d), probes, hit)
+
+
+@query
+def contam_by_source(s, d):
+    _, hit = audit(s, d)
+    return hit.join(docs(s, d).select(F.col("doc_id").alias("doc"), "source"), "doc").groupBy("source").agg(F.countDistinct("id").alias("items_hit"), F.count("*").alias("hits"))
+
+
+@query
+def corpus_stats(s, d):
+    return docs(s, d).groupBy("source").agg(F.count("*").alias("records"), F.sum(F.octet_length("text")).alias("text_bytes"), F.countDistinct("lang").alias("shards"))
+
+
+@query
+def contam_context(s, d):
+    probes = con.probe_table(items(s, d))
+    rows = docs(s, d).select(F.col("doc_id").alias("doc"), tx.norm("text").alias("norm"))
+    found = con.hits(rows, probes).join(rows, "doc")
+    return found.select(F.col("doc").alias("doc_id"), "pat", tx.context("norm", "pat").alias("ctx"))
+
+
+@query
+def decontaminate_docs(s, d):
+    return con.clean(docs(s, d).select("doc_id", "source"), audit(s, d)[1], "doc_id")
+
+
+@query
+def accuracy_split(s, d):
+    logs = table(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("metric"))
+    return con.accuracy_split(logs, audit(s, d)[1].select(F.col("doc").alias("key")))
+
+
+@query
+def chat_assemble(s, d):
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return dialogue.assembled(turns(s, d)).select("conv_id", F.size("messages").cast("long").alias("n_turns"), F.array_join(lines, "\n").alias("transcript"))
+
+
+@query
+def chat_drop_reasons(s, d):
+    rows = dialogue.assembled(turns(s, d)).select(chat.drop_reason("messages").alias("reason"))
+    return report.drop_counts(rows, [], "reason")
+
+
+@query
+def chat_refusal_flags(s, d):
+    return turns(s, d).where("role = 'assistant'").select("conv_id", "turn", chat.refuses("text").alias("refusal"))
+
+
+@query
+def chat_identity_flags(s, d):
+    return turns(s, d).where("role in ('assistant', 'system')").select("conv_id", "turn", chat.foreign("text").alias("foreign"))
+
+
+@query
+def same_prompt_antijoin(s, d):
+    rows = dialogue.assembled(turns(s, d))
+    made = sampling.md5_mod(F.col("conv_id").cast("string"), 4) == 0
+    return dialogue.without_same_prompt(rows.where(~made), rows.where(made)).select("conv_id")
+
+
+@query
+def first_user_freq(s, d):
+    return dialogue.assembled(turns(s, d)).groupBy(chat.first_user("messages").alias("prompt")).agg(F.count("*").alias("n"))
+
+
+@query
+def render_template(s, d):
+    return dialogue.assembled(turns(s, d)).select("conv_id", chat.rendered("messages").alias("rendered"))
+
+
+@query
+def pack_history(s, d):
+    return dialogue.assembled(turns(s, d)).select("conv_id", chat.packed_history("messages").alias("packed"))
+
+
+@query
+def system_prompt_insert(s, d):
+    out = dialogue.with_system(dialogue.assembled(turns(s, d)), "conv_id", "system")
+    return out.select("conv_id", "added", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", 1)["role"].alias("first_role"))
+
+
+@query
+def holdout_mod50(s, d):
+    return docs(s, d).select("doc_id", (sampling.md5_mod(F.col("doc_id").cast("string"), 50) == 0).alias("held"))
+
+
+@query
+def holdout_mod8(s, d):
+    return docs(s, d).select("doc_id", (sampling.md5_mod(F.col("doc_id").cast("string"), 8) == 0).alias("held"))
+
+
+@query
+def reservoir_cap(s, d):
+    rows = docs(s, d).select("doc_id", "source", "n_chars")
+    return sampling.oversampled(rows, ["source"], "doc_id", "reservoir", 20, F.col("n_chars") <= 8000)
+
+
+@query
+def merge_caps(s, d):
+    cap = F.when(F.col("lang") == "en", 100).when(F.col("lang") == "fr", 40).when(F.col("lang") == "de", 30).otherwise(1 << 30)
+    return sampling.capped(docs(s, d).select("doc_id", "lang"), ["lang"], "doc_id", "caps", cap)
+
+
+@query
+def train_eval_split(s, d):
+    return sampling.evaluation_split(docs(s, d).select("doc_id"), "doc_id", "split", 200)
+
+
+@query
+def two_pass_shards(s, d):
+    return sampling.passes(docs(s, d).select("doc_id"), "doc_id", "order", 2, 8)
+
+
+@query
+def oversample_self(s, d):
+    out = sampling.repeated(docs(s, d).select("doc_id", "source"), F.when(F.col("source") == "src0", 2).otherwise(1))
+    return out.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def mix_summary(s, d):
+    return report.mix_summary(docs(s, d).select("source", tx.tokens("text").alias("tokens")), "source", "tokens")
+
+
+@query
+def mixture_weights(s, d):
+    means = docs(s, d).groupBy("lang").agg(F.avg("n_chars").alias("avg_tokens"))
+    share = F.when(F.col("lang") == "en", 0.55).when(F.col("lang") == "fr", 0.2).when(F.col("lang") == "de", 0.15).otherwise(0.1)
+    return sampling.mixture(means.withColumn("share", share)).select("lang", "share", "avg_tokens", F.round("doc_weight", 9).alias("doc_weight"), F.round("token_share", 9).alias("token_share"))
+
+
+@query
+def token_count(s, d):
+    return docs(s, d).select("doc_id", tx.tokens("text").alias("n_tokens"))
+
+
+@query
+def length_filter(s, d):
+    """[F9]"""
+    return docs(s, d).select("doc_id", tx.tokens("text").alias("n_tokens")).where("n_tokens <= 4096")
+
+
+@query
+def length_hist(s, d):
+    bins = report.half_open(F.col("n_chars"), [0, 1000, 4000, 8000, 16000, 32000, 1000000000])
+    return docs(s, d).groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query
+def word_topk(s, d):
+    return synth.words(docs(s, d), "doc_id")
+
+
+@query
+def next_sentence(s, d):
+    return synth.next_sentences(docs(s, d), "doc_id")
+
+
+@query
+def budget_prefix(s, d):
+    return synth.budgeted(docs(s, d), "doc_id", 6000)
+
+
+@query
+def planted_notes(s, d):
+    return synth.planted(docs(s, d), "doc_id", "note")
+
+
+def quiz(s, d):
+    """Documents as quiz rows: the gold is the fortieth word, the answer the first 300 characters."""
+    gold = F.try_element_at(F.split(tx.norm("text"), " "), F.lit(40))
+    kind = F.element_at(F.array(F.lit("attr"), F.lit("def"), F.lit("nq")), (F.col("doc_id") % 3 + 1).cast("int"))
+    answer = F.substring("text", 1, 300)
+    rows = docs(s, d).select(F.col("doc_id").alias("q"), kind.alias("kind"), gold.alias("gold"), answer.alias("answer"), F.col("lang").alias("prop"))
+    return rows.withColumn("grade", tx.grade("answer", F.array(F.coalesce("gold", F.lit("")))))
+
+
+@query
+def grade_quiz(s, d):
+    return quiz(s, d).select("q", "gold", "grade")
+
+
+@query
+def cap_fallthrough(s, d):
+    out = dialogue.quiz_additions(quiz(s, d), {"def": 60, "attr": 50, "nq": 40}, 45, "additions")
+    return out.groupBy("kind", "grade", F.coalesce("set", F.lit("none")).alias("chosen")).agg(F.count("*").alias("n"), F.sum("q").alias("q_sum"))
+
+
+@query
+def wrong_alternatives(s, d):
+    rows = quiz(s, d).where("kind = 'attr' and gold is not null and grade = 'right'")
+    return dialogue.alternatives(rows).select("q", "gold", "alt")
+
+
+@query
+def transition_matrix(s, d):
+    rows = quiz(s, d).select(F.col("grade").alias("before"), F.when(sampling.md5_mod(F.col("q").cast("string"), 3) == 0, "abstain").otherwise(F.col("grade")).alias("after"))
+    return report.transitions(rows, "before", "after")
+
+
+def judged_turns(s, d):
+    """Assistant turns, one in five judged bad."""
+    rows = turns(s, d).where("role = 'assistant'")
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return rows.select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("int").alias("n"), (sampling.md5_mod(name, 5) != 0).alias("ok"), F.element_at(F.array(F.lit("Ignores the question"), F.lit("Wrong fact"), F.lit("Repeats itself")), (F.col("turn") % 3 + 1).cast("int")).alias("problem"))
+
+
+@query
+def stress_report(s, d):
+    return dialogue.turn_report(judged_turns(s, d))
+
+
+def pairs(s, d):
+    """Judged turn n answers message 2(n - 1); half of the bad turns have a rewrite."""
+    marks = judged_turns(s, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "ok", F.when(F.col("n") % 2 == 0, F.lit("A better reply.")).alias("better")))).alias("turns"))
+    return dialogue.preference_pairs(dialogue.assembled(turns(s, d)).withColumnRenamed("conv_id", "id"), marks, "fixture")
+
+
+@query
+def dpo_pairs(s, d):
+    return pairs(s, d)
+
+
+@query
+def dpo_split(s, d):
+    made = pairs(s, d).where("not skipped").select("source", "id")
+    return sampling.held_out_groups(made, "id", "eval", 4)
+
+
+@query
+def dpo_summary(s, d):
+    """[A14]"""
+    return pairs(s, d).agg(F.count(F.when(~F.col("skipped"), 1)).alias("pairs"), F.count(F.when(F.col("skipped"), 1)).alias("skipped"), F.round(F.avg(F.length("prompt")), 6).alias("mean_prompt"), F.round(F.avg(F.length("rejected")), 6).alias("mean_rejected"))
+
+
+@query
+def newest_per_task(s, d):
+    rows = docs(s, d).select(F.col("source").alias("task"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("value"))
+    return dialogue.latest(rows, "task", "path")
+
+
+@query
+def score_pivot(s, d):
+    rows = docs(s, d).join(table(s, d, "labels"), "doc_id").select("source", "lang", F.coalesce("quality", "toxic").cast("double").alias("value"))
+    return report.score_table(rows, "source", "lang", "value", ["de", "en", "es", "fr"])
+
+
+@query
+def subtask_mean(s, d):
+    rows = docs(s, d).join(table(s, d, "labels"), "doc_id").groupBy("lang", "source").agg(F.avg("quality").alias("value"))
+    return report.subtask_mean(rows, "lang", 20)
+
+
+@query
+def weighted_group_score(s, d):
+    rows = docs(s, d).join(table(s, d, "labels"), "doc_id").groupBy("lang", "source").agg(F.avg("quality").alias("value"), F.count("*").alias("n"))
+    return report.weighted_mean(rows, "lang", "value", "n")
+
+
+@query
+def score_interval(s, d):
+    return report.interval(docs(s, d).join(table(s, d, "labels"), "doc_id").select("lang", F.col("quality").cast("double").alias("value")), "lang", "value").select("lang", F.round("mean", 9).alias("mean"), F.round("half_width", 9).alias("half_width"))
+
+
+@query
+def api_spend(s, d):
+    usage = turns(s, d).select(F.when(F.col("role") == "assistant", 0).otherwise(F.length("text")).alias("tokens_in"), F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).alias("tokens_out"))
+    return report.spend(usage, 0.25, 1.0).select(F.round("usd", 9).alias("usd"))
+
+
+@query
+def stall_detector(s, d):
+    log = table(s, d, "events").select("event_id", "user_id", "event_type")
+    return report.stalls(log, "user_id", "event_id", "event_type").select("event_id", "in_a_row")
+
+
+@query
+def loss_spikes(s, d):
+    log = table(s, d, "events").where("value is not null").select("event_id", "event_type", "value")
+    return report.spikes(log, "event_type", "event_id", "value", 128, 2.5).select("event_id")
+
+
+@query
+def chunk_sequences(s, d):
+    rows = docs(s, d).select("doc_id", tx.tokens("text").alias("n"))
+    at = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr("greatest(n - 1, 0) div 1024"))).alias("chunk"))
+    return at.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.least(F.lit(1024), F.col("n") - F.col("chunk") * 1024).alias("length"))
+
+
+@query
+def length_buckets(s, d):
+    """[L9]"""
+    pick = sampling.bucket_choice(sampling.uniform("doc_id", "length"), [(0.15, "8k"), (0.2, "16k"), (0.3, "32k"), (0.35, "48k")])
+    return docs(s, d).groupBy(pick.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def accept_share(s, d):
+    """[L8]"""
+    return docs(s, d).where(sampling.uniform("doc_id", "accept") < 0.35).select("doc_id")
+
+
+@query
+def typo_noise(s, d):
+    rows = turns(s, d).where("role = 'user'").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), F.substring("text", 1, 120).alias("text"))
+    return noise.noisy(rows, "key", "text", "typos", sampling.uniform("key", "typos") < 0.25)
+
+
+@query
+def typo_eligible(s, d):
+    return turns(s, d).where("role = 'user'").select("conv_id", "turn", noise.eligible("text").alias("fit"))
+
+
+@query
+def boxed_answer(s, d):
+    return docs(s, d).select("doc_id", tx.boxed(F.concat(F.lit("so \\boxed{\\frac{"), "doc_id", F.lit("}{2}} holds"))).alias("answer"))
+
+
+@query
+def resume_antijoin(s, d):
+    every = docs(s, d).select("doc_id", "source")
+    return remaining(every, every.where("doc_id % 3 = 0"), "doc_id")
+
+
+@query
+def pushback_rates(s, d):
+    """[A11]"""
+    return turns(s, d).groupBy("role").agg((100.0 * F.avg(tx.accepts("text").cast("double"))).alias("accepts"))
+
+
+@query
+def probe_tallies(s, d):
+    """[A12]"""
+    return judged_turns(s, d).groupBy("problem").agg(F.count(F.when(~F.col("ok"), 1)).alias("bad"), F.count("*").alias("n"))
+
+
+@query
+def prompt_windows(s, d):
+    """[F14]"""
+    n = F.length("text")
+    rows = turns(s, d).where("role = 'user'")
+    return rows.groupBy(F.when((n > 30) & (n < 1500), "math").when((n > 20) & (n < 3000), "general").otherwise("none").alias("fits")).agg(F.count("*").alias("n"))
+
+
+@query
+def source_renames(s, d):
+    """[S27, U1]"""
+    named = docs(s, d).select(F.replace(F.col("source"), F.lit("src"), F.lit("verified_")).alias("source"))
+    return named.unionByName(turns(s, d).select(F.lit("chat").alias("source"))).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def first_hit_bench(s, d):
+    """[W7] Of each hit document the probe that occurs first."""
+    probes = con.probe_table(items(s, d))
+    rows = docs(s, d).select(F.col("doc_id").alias("doc"), tx.norm("text").alias("norm"))
+    found = con.hits(rows, probes).join(rows, "doc").withColumn("end", F.instr("norm", F.col("pat")) + F.length("pat"))
+    return found.groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.struct("end", "pat")).alias("m")).select("doc_id", F.col("m.pat").alias("pat"))
