@@ -153,7 +153,8 @@ def dropped(base: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """docs with the removed lines taken out of the text (and n_lines, n_removed beside it)."""
+    """docs with the removed lines taken out of the text, and n_lines and n_removed (which replace columns so named)."""
+    docs = docs.drop("n_lines", "n_removed")
     common.prepare(docs.sparkSession)
     others = [c for c in docs.columns if c not in (key, text)]
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
@@ -173,8 +174,10 @@ def _joined(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
 
 def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with removed lines taken out of the text; rows that lose lines and have no word left go."""
-    out = dedup_lines(docs, key, text)
-    return out.where(F.col("n_removed").eqNullSafe(0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    kept = [c for c in ("n_lines", "n_removed") if c in docs.columns]
+    out = dedup_lines(docs.withColumnsRenamed({c: f"__own_{c}" for c in kept}), key, text)
+    out = out.where(F.col("n_removed").eqNullSafe(0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({f"__own_{c}": c for c in kept}).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

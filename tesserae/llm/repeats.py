@@ -242,7 +242,8 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: key, tag, n_units, n_removed, n_spans (maximal removed stretches), kept (binary), and `carry`.
+    """Per row of docs: key, tag, n_units, n_removed, n_spans (maximal removed stretches), kept (binary), and carry_0, carry_1, ...
+    with the columns named by `carry`.
 
     Kept words are joined by one space; kept bytes are put together."""
     common.prepare(docs.sparkSession)
@@ -250,7 +251,7 @@ def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text"
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"), *extra)
     known = base.where("key is not null")
     out = cut(base.join(spans(known.select("key", "tag", "text"), spec), ["key", "tag"], "left").select("key", "tag", "text", "spans", *(f"carry_{k}" for k in range(len(carry)))), spec)
-    return out.select(F.col("key").alias(key), "tag", "n_units", "n_removed", "n_spans", "kept", *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)))
+    return out.withColumnRenamed("key", key)
 
 
 def cut(joined: DataFrame, spec: Spec) -> DataFrame:

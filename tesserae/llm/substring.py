@@ -59,9 +59,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str =
 def rewritten(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the removed words taken out: texts that lose none stay as they are, the others' kept words are joined
     by one space, and rows that lose all their words go."""
-    out = repeats.removed(docs, spec(width), key, text, tuple(c for c in docs.columns if c != key))
-    own = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(text))
-    return out.where("n_removed = 0 or n_removed < n_units").withColumn(text, own).select(*docs.columns)
+    others = [c for c in docs.columns if c != key]
+    out = repeats.removed(docs, spec(width), key, text, tuple(others))
+    named = {c: F.col(f"carry_{k}").alias(c) for k, c in enumerate(others)} | {key: F.col(key)}
+    named[text] = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"carry_{others.index(text)}")).alias(text)
+    return out.where("n_removed = 0 or n_removed < n_units").select(*(named[c] for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
