@@ -49,10 +49,40 @@ def foreign(content: Column | str) -> Column:
     return as_col(content).rlike("(?iuU)" + FOREIGN)
 
 
+# Claims to be another assistant or another maker's.
+CLAIM = r"\b(i am|i'm|my name is) (chatgpt|claude|gemini|bard|llama|qwen|deepseek|gpt)\b|\b(made|created|built|trained|developed) by (openai|anthropic|google|meta|alibaba|deepseek|microsoft)\b"
+# Openers that deny or decline.
+DENIAL = r"(?iuU)^\W*(no\b|nope\b|nah\b|i can't|i can’t|i cannot|i can not|i'm not\b|i’m not\b|i am not\b|i don't have|i don’t have|i do not have|unfortunately|sorry\b|i'm sorry|i’m sorry)"
+
+
 def claims_foreign(content: Column | str) -> Column:
-    """A foreign name that no denial in the 60 characters before it takes back."""
-    denied = F.regexp_replace(as_col(content), r"(?iuUs)\b(not|never|no|isn't|aren't|n't|different from|unlike)\b.{0,60}?(" + FOREIGN + ")", "")
-    return foreign(denied)
+    """A claim that no denial in the same sentence, up to 40 characters before it, takes back."""
+    return as_col(content).rlike(r"(?iuU)(?<!\b(?:not|never|isn't|wasn't|aren't|n't)\b[^.!?]{0,40})(?:" + CLAIM + ")")
+
+
+def opens_with_denial(content: Column | str) -> Column:
+    """[F13]"""
+    return as_col(content).rlike(DENIAL)
+
+
+def tool_rewritten(messages: Column | str, system: Column) -> Column:
+    """The kept conversation: tool prompt first, each call as name and arguments only, tool results as flagged user
+    turns. For rows whose tool_drop_reason is null."""
+    call = lambda s: F.coalesce(F.try_parse_json(s), F.try_parse_json(F.translate(s, "'", '"')))
+    body = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
+
+    def one(s: Column) -> Column:
+        v = call(s)
+        args = F.coalesce(F.to_json(F.try_variant_get(v, "$.arguments", "variant")), F.lit("{}"))
+        return F.concat(F.lit('<tool_call>\n{"name": '), F.to_json(F.try_variant_get(v, "$.name", "variant")), F.lit(', "arguments": '), args, F.lit("}\n</tool_call>"))
+
+    def redone(c: Column) -> Column:
+        texts, calls = F.split(c, body), F.regexp_extract_all(c, F.lit(body), F.lit(1))
+        return F.array_join(F.zip_with(texts, F.transform(calls, one), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+    turn = lambda m: F.struct(F.when(m["role"] == "tool", "user").otherwise(m["role"]).alias("role"), F.when(m["role"] == "assistant", redone(strip(m["content"]))).otherwise(strip(m["content"])).alias("content"), (m["role"] == "tool").alias("tool"))
+    first = F.struct(F.lit("system").alias("role"), system.alias("content"), F.lit(False).alias("tool"))
+    return F.concat(F.array(first), F.transform(trimmed_to_reply(messages), turn))
 
 
 def cleaned(role: Column, content: Column) -> Column:

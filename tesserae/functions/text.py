@@ -120,9 +120,19 @@ def clean_dashes(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_col(c), r"\s*[\u2013\u2014]\s+|\s+[\u2013\u2014]\s*", ", "))
 
 
-def without_meta(c: Column | str, meta: str) -> Column:
-    """[S12] Sentences that match a pattern are dropped."""
-    return F.array_join(F.filter(F.split(as_col(c), r"(?<=[.!?])\s+"), lambda x: ~x.rlike(meta)), " ")
+# Notes about format instructions in reasoning traces.
+META = r"""(?iuU)em dash|last line|final line|'answer:|"answer:|answer: \.\.\.|need final|system prompt|instruction"""
+
+
+def without_meta(c: Column | str, meta: str = META) -> Column:
+    """[S12] Sentences and lines that match a pattern are dropped, and blank ones."""
+    parts = F.split(clean_dashes(c), r"(?<=[.!?])\s+|\n")
+    return F.trim(F.array_join(F.filter(parts, lambda x: (strip(x) != "") & ~x.rlike(meta)), " "))
+
+
+def item_text(question: Column | None = None, context: Column | None = None, options: Column | None = None, label: Column | None = None) -> Column:
+    """[S3] A benchmark item's text: the question, or the context and the option that its label (from 0) names."""
+    return question if question is not None else F.concat(context, F.lit(" "), F.element_at(options, label.cast("int") + 1))
 
 
 def json_slice(c: Column | str) -> Column:

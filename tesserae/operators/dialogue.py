@@ -82,3 +82,31 @@ def preference_pairs(rollouts: DataFrame, judged: DataFrame, tag: str) -> DataFr
     prompt = F.concat(F.lit(chat.BEGIN), F.array_join(F.transform(history, lambda m: F.concat(chat.header(m["role"]), tx.strip(m["content"]), F.lit(chat.END))), ""), chat.header(F.lit("assistant")))
     blank = lambda c: F.when(fine, c)
     return both.select(F.concat(F.lit(tag + ":"), F.col("id").cast("string"), F.lit(":"), F.col("n").cast("string")).alias("source"), "id", blank(prompt).alias("prompt"), blank(F.concat(good, F.lit(chat.END))).alias("chosen"), blank(F.concat(wrong, F.lit(chat.END))).alias("rejected"), (~fine).alias("skipped"))
+
+
+def paired(rows: DataFrame, key: str, pool: DataFrame, entry: str, seed: str) -> DataFrame:
+    """[J10] Each row with one entry of a pool, at the place its hash names; the pool is indexed by its own hash order."""
+    indexed = sampling.ranked(pool.select(entry).withColumn("__draw", sampling.draw(entry, seed)), [], "__draw", "__place").drop("__draw")
+    size = F.broadcast(indexed.agg(F.max("__place").alias("__size")))
+    placed = rows.join(size, F.lit(True), "left").withColumn("__place", F.floor(sampling.uniform(key, seed) * F.col("__size")) + 1)
+    return placed.join(indexed, "__place", "left").drop("__place", "__size")
+
+
+def short_answers(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """[S26] (key, part, kind, messages) from rows (key, pairs(q, a)): a quarter of those with three pairs or more become
+    one chat of three to five; the others a turn a pair, with a tool list offered (kind tools) from 0.55 on."""
+    k, more = sampling.uniform(key, seed), (F.floor(sampling.uniform(key, seed + "-n") * 3) + 3).cast("int")
+    chatty = (k < 0.25) & (F.size("pairs") >= 3)
+    turn = lambda p: F.array(F.struct(F.lit("user").alias("role"), p["q"].alias("content")), F.struct(F.lit("assistant").alias("role"), p["a"].alias("content")))
+    singles = F.transform("pairs", turn)
+    whole = F.array(F.flatten(F.transform(F.slice("pairs", F.lit(1), more), turn)))
+    kind = F.when(chatty, "chat").when(k >= 0.55, "tools").otherwise("single")
+    return rows.select(key, kind.alias("kind"), F.posexplode(F.when(chatty, whole).otherwise(singles)).alias("part", "messages")).select(key, "part", "kind", "messages")
+
+
+def question_pairs(rows: DataFrame) -> DataFrame:
+    """(conv_id, pairs): each assistant turn with the user turn right before it."""
+    m = F.col("messages")
+    at = F.transform(m, lambda x, i: F.struct(x["role"].alias("role"), x["content"].alias("a"), F.when(i > 0, F.try_element_at(m, i)["role"]).alias("before"), F.when(i > 0, F.try_element_at(m, i)["content"]).alias("q")))
+    fit = F.filter(at, lambda x: (x["role"] == "assistant") & F.coalesce(x["before"] == "user", F.lit(False)))
+    return rows.select("conv_id", F.transform(fit, lambda x: F.struct(x["q"].alias("q"), x["a"].alias("a"))).alias("pairs"))

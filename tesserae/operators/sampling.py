@@ -94,3 +94,19 @@ def mixture(sources: DataFrame) -> DataFrame:
     w = F.col("share") / F.col("avg_tokens")
     t = F.col("share") * F.col("avg_tokens")
     return sources.withColumn("doc_weight", w / F.sum(w).over(every)).withColumn("token_share", t / F.sum(t).over(every))
+
+
+def interleaved(df: DataFrame, by: str, key: str, seed: str, weight: Column) -> DataFrame:
+    """[L10] Adds `position`: sorted by it, the sources' documents mix by their weights. One unit holds `weight` documents."""
+    out = ranked(df.withColumn("__draw", draw(key, seed)), [by], "__draw", "__rank")
+    return out.withColumn("position", (F.col("__rank") - 0.5) / weight).drop("__draw", "__rank")
+
+
+def quick(df: DataFrame, by: str, order: str, n: int = 3000) -> DataFrame:
+    """[L6] At most n rows of each source, those of least md5 order, for test builds."""
+    return capped(df, [by], order, "quick", n)
+
+
+def drawn(names: list[str], key: Column | str, seed: str) -> Column:
+    """One of a list's entries by a hash of the key."""
+    return F.element_at(F.array(*map(F.lit, names)), (F.floor(uniform(key, seed) * len(names)) + 1).cast("int"))

@@ -61,3 +61,15 @@ def fit_templates(rows: DataFrame, text: str, places: list[str]) -> DataFrame:
         ok &= F.size(F.split(c, "\\{" + p + "\\}")) == 2
         rest = F.replace(rest, F.lit("{" + p + "}"), F.lit(""))
     return rows.where(ok & ~rest.rlike("[{}]")).dropDuplicates([text])
+
+
+# Parts of invented terms; any would do, as long as nothing of the name exists.
+HEADS, MIDS, TAILS = ("Brel", "Quor", "Vint", "Sarn", "Oxal", "Temb"), ("a", "o", "iri", "u"), ("dex", "mora", "fane", "tilo", "grith")
+
+
+def invented_terms(keys: DataFrame, key: str, seed: str) -> DataFrame:
+    """[S25, U4] Distinct (question, term) about things that don't exist, drawn by hash."""
+    d = lambda names, salt: sampling.drawn(list(names), key, f"{seed}-{salt}")
+    term = F.concat(d(HEADS, "h"), d(MIDS, "m"), d(TAILS, "t"))
+    asked = F.replace(d(("What is {t}?", "Tell me about {t}.", "How does {t} work?"), "q"), F.lit("{t}"), term)
+    return keys.select(asked.alias("question"), term.alias("term")).distinct()

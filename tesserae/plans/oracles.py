@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.functions.chat import FOREIGN, REFUSALS, SYSTEM
+from tesserae.functions.chat import CLAIM, DENIAL, FOREIGN, REFUSALS
 from tesserae.functions.text import ABSTAIN, ACCEPT
 from tesserae.operators.noise import EXACT
-from tesserae.operators.synth import STOP, TOPICS
+from tesserae.operators.synth import HEADS, MIDS, STOP, TAILS, TOPICS
 
 WS = r"[ \t\n\r\f\v]"
 
@@ -34,6 +34,10 @@ def md5_mod(c: str, n: int) -> str:
     return out
 
 
+def drawn(names: tuple[str, ...], key: str, seed: str) -> str:
+    return f"[{', '.join(map(quoted, names))}][floor({uniform(key, seed)} * {len(names)})::INT + 1]"
+
+
 TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r\f\v]'))"
 PROBES = f"""items AS (SELECT 'benchmark' AS bench, item_id AS id, {norm("text")} AS n FROM benchmark),
 probes AS (SELECT bench, id, 0 AS k, CASE WHEN length(n) < 160 THEN n ELSE trim(substr(n, 1, 80)) END AS pat FROM items WHERE length(n) >= 50
@@ -177,4 +181,16 @@ k AS (SELECT doc_id, count(*) AS n_kept, sum(n)::BIGINT AS chars FROM r WHERE cu
 SELECT doc_id, coalesce(n_kept, 0) AS n_kept, coalesce(chars, 0) AS chars FROM documents LEFT JOIN k USING (doc_id)""",
     "typo_eligible": f"""SELECT conv_id, turn, length(text) BETWEEN 6 AND 160 AND NOT regexp_matches(text, {quoted(chr(91) + "`" + chr(34) + "“”<>{}" + chr(92) * 2 + "=" + chr(92) + "n" + chr(93))}) AND NOT regexp_matches(text, {quoted(EXACT)})
 AND len(list_filter(regexp_extract_all(' ' || text || ' ', {quoted(r"[\w'/.@#-]*[a-z]{3,}[\w'/.@-]*")}), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) > 0 AS fit FROM conversations WHERE role = 'user'""",
+    "weighted_interleave": "SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('interleave:' || doc_id)) - 0.5::DOUBLE) / CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'fr' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS position FROM documents",
+    "quick_build": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('quick:' || doc_id)) AS r FROM documents) WHERE r <= 50",
+    "pool_pairing": f"""WITH pool AS (SELECT item_id, row_number() OVER (ORDER BY md5('pool:' || item_id)) AS place FROM benchmark)
+SELECT conv_id, item_id FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN pool ON place = floor({uniform("conv_id", "pool")} * (SELECT count(*) FROM pool))::BIGINT + 1""",
+    "short_answer_rows": f"""WITH t AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, lag(text) OVER w AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, q, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS part, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'assistant' AND before = 'user'),
+k AS (SELECT *, {uniform("conv_id", "short")} AS k, floor({uniform("conv_id", "short-n")} * 3)::INT + 3 AS more FROM p)
+SELECT conv_id, part::INT AS part, CASE WHEN k < 0.25 AND n >= 3 THEN 'chat' WHEN k >= 0.55 THEN 'tools' ELSE 'single' END AS kind,
+CASE WHEN k < 0.25 AND n >= 3 THEN 2 * least(n, more) ELSE 2 END AS n_messages, q AS opening FROM k WHERE NOT (k < 0.25 AND n >= 3) OR part = 0""",
+    "invented_terms": f"""SELECT DISTINCT replace({drawn(("What is {t}?", "Tell me about {t}.", "How does {t} work?"), "doc_id", "terms-q")}, '{{t}}', term) AS question, term
+FROM (SELECT doc_id, {drawn(HEADS, "doc_id", "terms-h")} || {drawn(MIDS, "doc_id", "terms-m")} || {drawn(TAILS, "doc_id", "terms-t")} AS term FROM documents)""",
+    "denial_openers": f"SELECT conv_id, turn, regexp_matches(text, {quoted('(?i)' + DENIAL.removeprefix('(?iuU)'))}) AS denies, regexp_matches(text, {quoted('(?i)' + CLAIM)}) AS claims FROM conversations WHERE role = 'assistant'",
 }

@@ -421,3 +421,43 @@ def first_hit_bench(s, d):
     rows = docs(s, d).select(F.col("doc_id").alias("doc"), tx.norm("text").alias("norm"))
     found = con.hits(rows, probes).join(rows, "doc").withColumn("end", F.instr("norm", F.col("pat")) + F.length("pat"))
     return found.groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.struct("end", "pat")).alias("m")).select("doc_id", F.col("m.pat").alias("pat"))
+
+
+@query
+def weighted_interleave(s, d):
+    """[L10]"""
+    weight = F.when(F.col("lang") == "en", 4.0).when(F.col("lang") == "fr", 2.0).otherwise(1.0)
+    return sampling.interleaved(docs(s, d).select("doc_id", "lang"), "lang", "doc_id", "interleave", weight)
+
+
+@query
+def quick_build(s, d):
+    """[L6]"""
+    return sampling.quick(docs(s, d).select("doc_id", "lang"), "lang", "doc_id", 50)
+
+
+@query
+def pool_pairing(s, d):
+    """[J10]"""
+    rows = turns(s, d).select("conv_id").distinct()
+    pool = table(s, d, "benchmark").select("item_id")
+    return dialogue.paired(rows, "conv_id", pool, "item_id", "pool").select("conv_id", "item_id")
+
+
+@query
+def short_answer_rows(s, d):
+    """[S26]"""
+    rows = dialogue.short_answers(dialogue.question_pairs(dialogue.assembled(turns(s, d))), "conv_id", "short")
+    return rows.select("conv_id", "part", "kind", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", 1)["content"].alias("opening"))
+
+
+@query
+def invented_terms(s, d):
+    """[S25]"""
+    return synth.invented_terms(docs(s, d), "doc_id", "terms")
+
+
+@query
+def denial_openers(s, d):
+    """[F13, F12]"""
+    return turns(s, d).where("role = 'assistant'").select("conv_id", "turn", chat.opens_with_denial("text").alias("denies"), chat.claims_foreign("text").alias("claims"))

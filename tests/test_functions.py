@@ -83,8 +83,10 @@ def test_foreign(spark, text, want):
 
 
 def test_claims_and_denials(spark):
-    assert one(spark, chat.claims_foreign("v"), "I am built by OpenAI") is True
-    assert one(spark, chat.claims_foreign("v"), "No, I am not made by OpenAI") is False
+    claims = lambda s: one(spark, chat.claims_foreign("v"), s)
+    assert claims("I am built by OpenAI") and claims("I'm Claude") and claims("Not now. I was made by Google")
+    assert not claims("No, I am not made by OpenAI") and not claims("I wasn't trained by Google") and not claims("ask ChatGPT")
+    assert one(spark, chat.opens_with_denial("v"), "Sorry, no") is True and one(spark, chat.opens_with_denial("v"), "Yes") is False
 
 
 def test_thinking(spark):
@@ -105,6 +107,13 @@ def test_tools(spark):
     assert row(xml, [("user", "q"), ("assistant", "I cannot assist")]) == "drop_refusal"
 
 
+def test_tool_rewrite(spark):
+    m = [("system", "s"), ("user", "q"), ("assistant", "I look. <tool_call>{'arguments': {'a': 1}, 'name': 'f', 'id': 9}</tool_call>"), ("tool", "1"), ("assistant", "done"), ("user", "bye")]
+    got = spark.createDataFrame([(m,)], f"m {MESSAGES}").select(chat.tool_rewritten("m", F.lit("TOOLS")).alias("x")).first()["x"]
+    assert [(r["role"], r["tool"]) for r in got] == [("system", False), ("user", False), ("assistant", False), ("user", True), ("assistant", False)]
+    assert got[2]["content"] == 'I look. <tool_call>\n{"name": "f", "arguments": {"a":1}}\n</tool_call>' and got[0]["content"] == "TOOLS"
+
+
 def test_transitions(spark):
     ok = lambda *r: one(spark, chat.valid_transitions("v"), [(x, "c") for x in r], schema=f"v {MESSAGES}")
     assert ok("user", "tool_call", "tool", "assistant") and not ok("user", "tool_call", "assistant") and not ok("user", "user") and not ok("user")
