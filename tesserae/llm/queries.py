@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, bpe, jaccard, lines, lm, packing, quality, substring, suffix, topk
+from tesserae.llm import ann, bpe, jaccard, lines, lm, oracles, packing, quality, substring, suffix, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fourier_ridge": quality.query,
@@ -20,4 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_lpf": suffix.query,
     "op10_packing_concatenate_cut": packing.query,
 }
-ORACLES: dict[str, str] = {}
+#: The others are tested against brute force, the public tokenizer, round trips and held-out labels in tests/llm.
+ORACLES: dict[str, str] = {
+    "op2_topk_dual_cover_tree": oracles.TOP_K,
+    "op3_jaccard_adaptive_prefixes": oracles.JACCARD,
+    "op8_substring_suffix_trees": oracles.SUBSTRING,
+}
