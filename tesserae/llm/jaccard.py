@@ -204,16 +204,16 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
 def choose(n: int, freq: np.ndarray, percent: int) -> tuple[int, int]:
     """(l, number of shared shingles in the prefix) of least estimated cost; freq: ascending frequencies.
 
-    A prefix's candidates are at most its postings over l, as each must match l times."""
-    need = int(required(np.int64(n), percent))
+    The estimate takes partners of the same size: their common shingles are 2 t / (1 + t) of n, and their candidates at
+    most the postings over l, as each must match l times. The prefix itself is long enough for every size of partner."""
+    need, same = int(required(np.int64(n), percent)), -(-2 * percent * n // (100 + percent))
     alone = n - len(freq)
     sums = np.concatenate(([0], np.cumsum(freq - 1.0)))
     best = None
     for l in range(1, min(MOST_MATCHES, need) + 1):  # noqa: E741
-        size = min(max(0, n - need + l - alone), len(freq))
-        cost = sums[size] * (1 + VERIFY_COST / l)
+        cost = sums[min(max(0, n - same + l - alone), len(freq))] * (1 + VERIFY_COST / l)
         if best is None or cost < best[0]:
-            best = (cost, l, size)
+            best = (cost, l, min(max(0, n - need + l - alone), len(freq)))
     return (best[1], best[2]) if best else (1, 0)
 
 
@@ -252,17 +252,21 @@ def entities(back: DataFrame, homes: int, percent: int) -> DataFrame:
 
 
 def postings(ents: DataFrame) -> DataFrame:
-    """(token, id, n, l, central): the prefix of each entity."""
+    """(token, id, n, s, at, l, central): the prefix of each entity; s of its n shingles occur elsewhere too, and the
+    token is at place `at` among all n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids, n, l, prefix, central = (rows.column(k).to_numpy() for k in range(5))  # noqa: E741
-            tokens = [np.frombuffer(x.as_py(), np.int64, int(p)) for x, p in zip(rows.column(5), prefix, strict=True)]
+            blobs = rows.column(5)
+            known = np.array([len(x.as_py()) // 8 for x in blobs], np.int64)
+            tokens = [np.frombuffer(x.as_py(), np.int64, int(p)) for x, p in zip(blobs, prefix, strict=True)]
             rep = np.repeat(np.arange(len(ids)), prefix)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids[rep]), pa.array(n[rep]), pa.array(l[rep]), pa.array(central[rep])], names=["token", "id", "n", "l", "central"])
+            at = n[rep] - known[rep] + common.ragged(np.zeros(len(ids), np.int64), prefix.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids[rep]), pa.array(n[rep]), pa.array(known[rep]), pa.array(at), pa.array(l[rep]), pa.array(central[rep])], names=["token", "id", "n", "s", "at", "l", "central"])
 
-    return ents.select("id", "n", "l", "prefix", "central", "tokens").mapInArrow(run, "token long, id long, n long, l int, central double")
+    return ents.select("id", "n", "l", "prefix", "central", "tokens").mapInArrow(run, "token long, id long, n long, s long, at long, l int, central double")
 
 
 def verified(pairs: DataFrame, ents: DataFrame, percent: int) -> DataFrame:
@@ -279,29 +283,37 @@ def verified(pairs: DataFrame, ents: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def near(a: str, b: str, percent: int) -> str:
-    """Sizes that a similar pair can have."""
-    return f"100 * {a} >= {percent} * {b} and 100 * {b} >= {percent} * {a}"
+def possible(percent: int) -> str:
+    """Whether a posting that u and v share can be one of their first l common shingles.
+
+    Similarity t needs an intersection o of t / (1 + t) of both sizes together: no more than the shingles that either
+    shares with anyone; and then the l-th common shingle of a set of n is among its first n - o + l. A common shingle
+    also bounds the intersection by what can match before it, which no one else's shingles do not, and after it."""
+    o = f"ceil({percent} * (nu + nv) / {100 + percent})"
+    around = "least(at_u - nu + su, at_v - nv + sv) + least(nu - at_u, nv - at_v)"
+    return f"least(su, sv) >= {o} and at_u < nu - {o} + least(lu, lv) and at_v < nv - {o} + least(lu, lv) and {around} >= {o}"
 
 
 def links(ents: DataFrame, percent: int) -> DataFrame:
     """(node, component) over entities (id, n, l, prefix, central, tokens) with any link."""
     lists = common.stage(postings(ents), "postings")
-    draws = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), "id", "n"))["id"] for j in range(RANDOM_HUBS)]
-    hubs = lists.groupBy("token").agg(F.count("*").alias("size"), F.array_distinct(F.array(F.max(F.struct("central", F.negative("id").alias("o"), "id"))["id"], *draws)).alias("hubs")).where("size > 1").select("token", "hubs")
-    met = lists.join(hubs, "token").select("id", F.explode("hubs").alias("hub")).where("id != hub")
+    one = lambda x: F.struct(x["id"].alias("hub"), x["n"].alias("nv"), x["s"].alias("sv"))
+    draws = [one(F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), "id", "n", "s"))) for j in range(RANDOM_HUBS)]
+    hubs = lists.groupBy("token").agg(F.count("*").alias("size"), F.array_distinct(F.array(one(F.max(F.struct("central", F.negative("id").alias("o"), "id", "n", "s"))), *draws)).alias("hubs")).where("size > 1").select("token", "hubs")
+    fits = F.filter("hubs", lambda h: (F.col("id") != h["hub"]) & ((100 + percent) * F.least(F.col("s"), h["sv"]) >= percent * (F.col("n") + h["nv"])))
+    met = lists.join(hubs, "token").select("id", F.explode(F.transform(fits, lambda h: h["hub"])).alias("hub"))
     first = common.stage(met.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct(), "pairs")
     found = common.stage(verified(first, ents, percent), "links")
     groups = common.stage(components(found), "components")
     # what is left: candidates between components, each pair with a member outside its list's main component
     named = lists.join(groups.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = common.stage(named.select("token", "id", "n", "l", "component"), "named")
+    named = common.stage(named.select("token", "id", "n", "s", "at", "l", "component"), "named")
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("size"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     open_lists = common.stage(named.join(mains, "token"), "open")
-    apart = open_lists.where("component != main").selectExpr("token", "id as u", "n as nu", "l as lu", "component as cu")
-    other = open_lists.selectExpr("token", "id as v", "n as nv", "l as lv", "component as cv", "main")
-    pairs = apart.join(other, "token").where(f"cu != cv and (cv = main or u < v) and {near('nu', 'nv', percent)}")
+    apart = open_lists.where("component != main").selectExpr("token", "id as u", "n as nu", "s as su", "at as at_u", "l as lu", "component as cu")
+    other = open_lists.selectExpr("token", "id as v", "n as nv", "s as sv", "at as at_v", "l as lv", "component as cv", "main")
+    pairs = apart.join(other, "token").where(f"cu != cv and (cv = main or u < v) and {possible(percent)}")
     pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("times"), F.min(F.least("lu", "lv")).alias("l"))
     rest = pairs.where("times >= l").select("u", "v").join(first, ["u", "v"], "left_anti")
     more = common.stage(verified(rest, ents, percent), "links")
