@@ -94,7 +94,8 @@ def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def carried(joined: DataFrame, spec: Spec) -> DataFrame:
-    """For each shared run its text (cold groups) or its windows' hashes (hot groups)."""
+    """For each shared run its text (cold groups), or for each text the hashes and places of its windows (hot groups)."""
+    names = ["anchor", "key", "tag", "lo", "payload", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
@@ -116,17 +117,22 @@ def carried(joined: DataFrame, spec: Spec) -> DataFrame:
                     n = hi[pick] - lo[pick] + 1
                     t, at = np.repeat(text[pick], n), common.ragged(lo[pick], n)
                     begin = at + first[t]
-                    out = [pa.array(common.span_hashes(codes, begin, begin + spec.width).view(np.int64)), keys.take(pa.array(t)), tags.take(pa.array(t)), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(out, names=["anchor", "key", "tag", "lo", "payload"])
+                    prints = common.span_hashes(codes, begin, begin + spec.width)
+                    order = np.lexsort((at, prints, t))  # one row for all places of a window in one text
+                    t, at, prints = t[order], at[order].astype(np.int32), prints[order]
+                    head = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (prints[1:] != prints[:-1]))))
+                    take = pa.array(t[head])
+                    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(t)).astype(np.int32)), pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[head].view(np.int64)), keys.take(take), tags.take(take), pa.array(at[head]), pa.nulls(len(head), pa.binary()), places], names=names)
                     continue
                 a, b = starts[base[pick] + lo[pick]], ends[base[pick] + hi[pick] + spec.width - 1]
                 step = max(1, (32 << 20) // max(1, int((b - a).max())))
                 for s in range(0, len(pick), step):
                     p, x, y = pick[s : s + step], a[s : s + step], b[s : s + step]
                     payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[p]), keys.take(pa.array(text[p])), tags.take(pa.array(text[p])), pa.array(lo[p].astype(np.int32)), payload], names=["anchor", "key", "tag", "lo", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[p]), keys.take(pa.array(text[p])), tags.take(pa.array(text[p])), pa.array(lo[p].astype(np.int32)), payload, pa.nulls(len(p), pa.list_(pa.int32()))], names=names)
 
-    return joined.mapInArrow(run, "anchor long, key long, tag long, lo int, payload binary")
+    return joined.mapInArrow(run, "anchor long, key long, tag long, lo int, payload binary, places array<int>")
 
 
 def compare(spec: Spec, key: np.ndarray, lo: np.ndarray, anchor: np.ndarray, payload: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,14 +237,19 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     rows = common.stage(carried(docs.join(lists, ["key", "tag"]).select("key", "tag", "text", "runs"), spec), "runs")
     common.discard(every)
     n = common.shuffles(spark)
-    few = rows.where("payload is not null").repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = cold(few, spec)
-    many = rows.where("payload is null").select("anchor", "key", "tag", "lo")
-    total = many.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("head"))
-    hit = {"none": "n > 1", "smaller": "head.key < key", "first": "head < struct(key, lo)"}[spec.keep]
+    few = rows.where("payload is not null").drop("places").repartition(n, "anchor").sortWithinPartitions("anchor")
+    pair = F.array(F.struct("start", "end"))
+    found = cold(few, spec).select("key", "tag", pair.alias("spans"))
+    many = rows.where("payload is null").select("anchor", "key", "tag", "lo", "places")
+    total = many.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("key", "lo")).alias("head"))
     total = common.stage(total.where("n > 1"), "windows")  # a plain table, so that a skewed side of the join can be split
-    hot = many.join(total, "anchor").where(hit).select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + spec.width).cast("int").alias("end"))
-    return found.union(hot).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    met = many.join(total, "anchor")
+    if spec.keep == "smaller":
+        met = met.where("head.key < key")
+    elif spec.keep == "first":  # the first place stays
+        met = met.withColumn("places", F.when(F.col("head") == F.struct("key", "lo"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places")))
+    hot = met.select("key", "tag", F.transform("places", lambda x: F.struct(x.alias("start"), (x + spec.width).alias("end"))).alias("spans"))
+    return found.union(hot).groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
