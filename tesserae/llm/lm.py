@@ -6,7 +6,7 @@ target's number of tokens, so both are smoothed alike. A text's losses are the m
 words given the words before them; their difference scores it (lower: more like the target).
 
 Counts are gathered over the whole corpus: n-grams travel packed, five bytes each with their text's place, to buckets
-by hash, which sum the counts of both models and send back one partial sum a text. N-grams that very many texts share
+by hash, which sum the counts of both models and send back one partial sum a text, by its place in its chunk. N-grams that very many texts share
 (at least HOT_SHARE of them, so at most mean length / HOT_SHARE n-grams: a bound that doesn't grow) are summed per chunk
 of texts and broadcast instead, so no bucket holds a text for each of their occurrences.
 
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
-from tesserae.llm.jaccard import _pack, _unpack, by_bucket
+from tesserae.llm.jaccard import _pack, _unpack
 
 #: Added to every count.
 SMOOTHING = 0.05
@@ -34,7 +35,25 @@ HOT_SHARE = 0.02
 #: Share of a chunk's texts from which an n-gram is put forward as hot.
 LOCAL_SHARE = 0.005
 
-_KINDS = (np.int64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint8)  # keys, is target, n-grams of each text here, n-grams (40 bits), times
+#: Largest list of target keys that is broadcast, by its measured size; beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+_KINDS = (np.uint16, np.uint8, np.uint16, np.uint32, np.uint8, np.uint8)  # text within its chunk, is target, its n-grams here, n-grams (40 bits), times
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Complete groups of rows with one value in the first column, by which the partition is sorted; the values beside it."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +153,12 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     """(key, n_scored, target_loss, background_loss, score). target: the keys of the wanted texts, one row each."""
     spark = docs.sparkSession
     common.prepare(spark)
-    wanted = target.select(F.col(key).alias("key"), F.lit(True).alias("target")).distinct()
+    wanted = common.stage(target.select(F.col(key).alias("key"), F.lit(True).alias("target")).distinct(), "target")
+    few = wanted.count() * 16 <= BROADCAST_BYTES
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    named = common.stage(base.join(wanted, "key", "left").select("key", F.coalesce("target", F.lit(False)).alias("target"), "text"), "texts")
+    named = base.join(F.broadcast(wanted) if few else wanted, "key", "left").select("key", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    if not few:
+        named = common.stage(named, "texts")
     buckets = max(64, 2 * common.shuffles(spark))
     n_target, n_all, n_words = totals(named, buckets)
     scale = n_target / n_all if n_all else 0.0
@@ -149,6 +171,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         return sign * np.log(t + add), sign * np.log(scale * a + add)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32  # the same at every attempt, as is what the partition holds
         for rows, data, offsets in common.chunks(batches):
             text, gram, times, bigram = grams(data, offsets)
             keys, aim = rows.column(0).to_numpy(), np.asarray(rows.column(1).to_pylist(), np.uint8)
@@ -171,34 +194,53 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(bounds[b], bounds[b + 1])
-                who, begin = np.unique(text[s], return_index=True)
+                edges = np.flatnonzero(np.diff(text[s], prepend=-1, append=-1))
+                starts, counts = edges[:-1], np.diff(edges)
+                pieces = -(-counts // 0xFFFF)  # a very long text has several runs
+                who = np.repeat(text[s][starts], pieces)
+                sizes = np.full(len(who), 0xFFFF)
+                sizes[np.cumsum(pieces) - 1] = counts - (pieces - 1) * 0xFFFF
                 ids.append(b)
-                blobs.append(_pack([keys[who], aim[who], np.diff(np.append(begin, len(text[s]))).astype(np.uint32), low[s], high[s], times[s].astype(np.uint8)]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
-
-    def rows_of(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in sums)], names=["key", "n", "t", "a"])
+                blobs.append(_pack([who.astype(np.uint16), aim[who], sizes.astype(np.uint16), low[s], high[s], times[s].astype(np.uint8)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), chunk)), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "payload"])
+            chunk += 1
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in by_bucket(batches):
-            if bucket < 0:
-                for blob in blobs:
-                    keys = _unpack(blob, (np.int64,))[0]
-                    yield rows_of(keys, np.frombuffer(blob, np.float64, 3 * len(keys), 4 + keys.nbytes).reshape(3, -1))
+        for bucket, held in _by_bucket(batches):
+            chunks = [c for c, _ in held]
+            if bucket < 0:  # the texts' keys and what their hot n-grams add pass through
+                yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([True] * len(held)), pa.array([b for _, b in held], pa.binary())], names=["chunk", "keys", "payload"])
                 continue
-            keys, aim, counts, low, high, times = (np.concatenate(x) for x in zip(*(_unpack(b, _KINDS) for b in blobs), strict=True))
-            owner = np.repeat(np.arange(len(keys)), counts)
+            parts = [_unpack(b, _KINDS) for _, b in held]
+            who, aim, counts, low, high, times = (np.concatenate([p[j] for p in parts]) for j in range(6))
+            owner = np.repeat(np.arange(len(who)), counts)
             times = times.astype(float)
             uniq, which = np.unique(low | high.astype(np.uint64) << np.uint64(32), return_inverse=True)
             t, a = np.bincount(which, times * aim[owner], len(uniq)), np.bincount(which, times, len(uniq))
             t, a = terms(t, a, (uniq & np.uint64(1)).astype(bool))
-            sums = np.stack((np.zeros(len(keys)), np.bincount(owner, t[which] * times, len(keys)), np.bincount(owner, a[which] * times, len(keys))))
-            ids, back = np.unique(keys, return_inverse=True)
-            yield rows_of(ids, np.stack([np.bincount(back, s, len(ids)) for s in sums]))
-
-    home = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(buckets))).otherwise(F.col("bucket"))
-    dealt = named.mapInArrow(sent, "bucket int, payload binary").repartition(buckets, home).sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(summed, "key long, n double, t double, a double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("a").alias("a"))
+            sums = np.stack((np.bincount(owner, t[which] * times, len(who)), np.bincount(owner, a[which] * times, len(who))))
+            ends = np.cumsum([len(p[0]) for p in parts])
+            blobs = [_pack([who[e - len(p[0]) : e]]) + np.ascontiguousarray(sums[:, e - len(p[0]) : e]).tobytes() for p, e in zip(parts, ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([False] * len(held)), pa.array(blobs, pa.binary())], names=["chunk", "keys", "payload"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_bucket(batches):
+            keys, sums = None, None
+            for is_keys, blob in sorted(held, key=lambda x: not x[0]):  # the keys first
+                if is_keys:
+                    keys = _unpack(blob, (np.int64,))[0]
+                    sums = np.frombuffer(blob, np.float64, 3 * len(keys), 4 + keys.nbytes).reshape(3, -1).copy()
+                    continue
+                who = _unpack(blob, (np.uint16,))[0]
+                more = np.frombuffer(blob, np.float64, 2 * len(who), 4 + who.nbytes).reshape(2, -1)
+                for j in (0, 1):
+                    sums[j + 1] += np.bincount(who, more[j], len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in sums)], names=["key", "n", "t", "a"])
+
+    home = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.col("bucket"))
+    dealt = named.mapInArrow(sent, "bucket int, chunk long, payload binary").repartition(buckets, home).sortWithinPartitions("bucket", "chunk")
+    back = dealt.mapInArrow(summed, "chunk long, keys boolean, payload binary").repartition(buckets, "chunk").sortWithinPartitions("chunk")
+    parts = back.mapInArrow(gathered, "key long, n double, t double, a double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("a").alias("a"))
     per = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
     out = parts.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_scored"), per("t").alias("target_loss"), per("a").alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
