@@ -2,8 +2,9 @@
 
 Coarse centroids and product codebooks are fitted on at most SAMPLE vectors (those of least id hash). Every vector is
 indexed: its cell is its nearest centroid, its code quantises the residual in M parts. A query visits its PROBES nearest
-cells, ranks their vectors by asymmetric distance tables, and reranks the best RERANK of each block by the exact
-distance. Cells are split into blocks of bounded size by a hash of the id, so a cell that holds a third of all rows is
+cells, ranks their vectors by asymmetric distance tables, and reranks by the exact distance the best RERANK of each
+block and every other vector that could be among the k nearest of its block: an asymmetric distance is off by the
+vector's own quantisation error at most. So a block's k nearest are exact, also where many vectors share a code. Cells are split into blocks of bounded size by a hash of the id, so a cell that holds a third of all rows is
 many blocks, each searched in full; queries of a block travel in groups of bounded size.
 
 Null ids, null, zero, empty or non-finite vectors take no part; vectors of other lengths than the most frequent one are
@@ -32,6 +33,8 @@ CODES = 256
 RERANK = 400
 BLOCK = 2048
 QUERY_GROUP = 256
+#: Room for rounding in bounds, as a share of the distances to the centroid (squares lose half of the digits).
+ROUNDING = 1e-6
 SEED = 7
 
 
@@ -50,6 +53,10 @@ class Index:
         rest = x - self.centroids[cell]
         return np.stack([distances(rest[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, cell: int) -> np.ndarray:
+        """The vectors that codes of one cell stand for."""
+        return self.centroids[cell] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances from each part of each query's residual to each code: (queries, parts, codes)."""
         rest = q - self.centroids[cell]
@@ -90,6 +97,24 @@ def fit(sample: np.ndarray, cells: int = CELLS, parts: int = PARTS, share: float
     return Index(centroids, books, cuts, max(1, int(np.ceil(share * len(centroids)))))
 
 
+def nearest(index: Index, cell: int, queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per query the ids and distances of its k nearest rows of a block, other than those with its own id."""
+    centre = index.centroids[cell]
+    error = np.sqrt(((x - index.decode(codes, cell)) ** 2).sum(1)) + ROUNDING * np.sqrt(((x - centre) ** 2).sum(1))
+    for i, table in enumerate(index.tables(queries, cell)):
+        rough = np.sqrt(np.maximum(table[np.arange(codes.shape[1]), codes].sum(1), 0))
+        order = np.lexsort((ids, rough))
+        order = order[ids[order] != own[i]]
+        first, rest = np.split(order, [max(RERANK, k)])
+        exact = np.sqrt(((x[first] - queries[i]) ** 2).sum(1))
+        if len(rest):
+            reach = np.partition(exact, k - 1)[k - 1] + ROUNDING * np.sqrt(((queries[i] - centre) ** 2).sum())
+            rest = rest[rough[rest] - error[rest] <= reach]
+            first, exact = np.concatenate((first, rest)), np.concatenate((exact, np.sqrt(((x[rest] - queries[i]) ** 2).sum(1))))
+        top = np.lexsort((ids[first], exact))[:k]
+        yield ids[first][top], exact[top]
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
@@ -151,14 +176,8 @@ def _one_length(q: DataFrame, x: DataFrame, k: int, index: Index | None) -> Data
                 qv, rv = _vectors(a.field(1)), _vectors(r.field(2))
                 codes = np.frombuffer(b"".join(r.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
                 found = [[], [], []]
-                for i, table in enumerate(index.tables(qv, cell)):
-                    rough = table[np.arange(codes.shape[1]), codes].sum(1)
-                    rough[ids == q_ids[i]] = np.inf
-                    first = np.lexsort((ids, rough))[:RERANK]
-                    first = first[np.isfinite(rough[first])]
-                    exact = np.sqrt(((rv[first] - qv[i]) ** 2).sum(1))
-                    top = np.lexsort((ids[first], exact))[:k]
-                    for to, v in zip(found, (np.full(len(top), q_ids[i]), ids[first][top], exact[top]), strict=True):
+                for i, (near, score) in enumerate(nearest(index, cell, qv, q_ids, rv, ids, codes, k)):
+                    for to, v in zip(found, (np.full(len(near), q_ids[i]), near, score), strict=True):
                         to.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "score"])
 

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,25 @@ def test_neighbours_recall_on_fixture(spark):
     assert right >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.02])
+def test_neighbours_recall_in_group_of_near_copies(spark, tmp_path, noise):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200_000, 64))
+    group = np.sort(rng.choice(len(x), 3000, replace=False))
+    x[group] = rng.normal(size=64) + noise * rng.normal(size=(3000, 64))
+    x = x.astype(np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), f"{tmp_path}/x.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/x.parquet").repartition(8)
+    asked, right = group[::150].tolist(), 0
+    got = ann.neighbours(rows.where(F.col("vec_id").isin(asked)), rows).toPandas()
+    y = x[group].astype(float)
+    for q in asked:
+        d = np.sqrt(((y - x[q].astype(float)) ** 2).sum(1))
+        right += len(set(got["vec_id"][got["query_id"] == q]) & set(group[np.argsort(d)[1:11]].tolist()))
+    assert right >= 0.99 * 10 * len(asked)
+
+
 def test_jaccard(docs, corpus):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs.withColumn("n", F.lit(1)).withColumn("e1", F.lit("x"))).collect()}
     assert got == brute.components(corpus)
