@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking (operator 6).
 
 Coarse centroids and product codebooks are fitted on at most SAMPLE vectors (those of least id hash). Every vector is
-indexed: its cell is its nearest centroid, its code quantises the residual in M parts. A query visits its PROBES nearest
-cells, ranks their vectors by asymmetric distance tables, and reranks by the exact distance the best RERANK of each
+indexed: its cell is its nearest centroid, its code quantises the residual in M parts. A query visits its nearest
+cells, PROBE_SHARE of all and further ones until they hold k rows besides its own, ranks their vectors by asymmetric distance tables, and reranks by the exact distance the best RERANK of each
 block and every other vector that could be among the k nearest of its block: an asymmetric distance is off by the
 vector's own quantisation error at most. So a block's k nearest are exact, also where many vectors share a code. Cells are split into blocks of bounded size by a hash of the id, so a cell that holds a third of all rows is
 many blocks, each searched in full; queries of a block travel in groups of bounded size.
@@ -148,19 +148,28 @@ def _one_length(q: DataFrame, x: DataFrame, k: int, index: Index | None) -> Data
                 codes = index.encode(v, cell)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), common.binaries(codes.ravel(), np.arange(len(codes) + 1) * codes.shape[1]), b.column(1)], names=["id", "cell", "code", "vector"])
 
+    indexed = common.stage(x.select("id", "vector").mapInArrow(assigned, "id long, cell int, code binary, vector array<double>"), "index")
+    sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # a row a cell at most
+    sizes = F.broadcast(sizes)
+    held_by = np.zeros(len(index.centroids), np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # a row a cell at most
+        held_by[r["cell"]] = r["count"]
+
     def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cells = index.nearest_cells(_vectors(b.column(1)), index.probes)
-                take = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cells.ravel().astype(np.int32)), b.column(1).take(take)], names=["id", "cell", "vector"])
+                cells = index.nearest_cells(_vectors(b.column(1)), len(held_by))
+                short = held_by[cells].cumsum(1) < (k + b.column(2).to_numpy())[:, None]
+                n = np.minimum(np.maximum(short.sum(1) + 1, index.probes), len(held_by))
+                take = np.repeat(np.arange(b.num_rows), n)
+                near = cells[take, common.ragged(np.zeros(len(n), np.int64), n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), pa.array(near.astype(np.int32)), b.column(1).take(pa.array(take))], names=["id", "cell", "vector"])
 
-    indexed = common.stage(x.select("id", "vector").mapInArrow(assigned, "id long, cell int, code binary, vector array<double>"), "index")
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # a row a cell at most
-    sizes = F.broadcast(sizes)
     held = indexed.join(sizes, "cell").withColumn("block", vectors.slot("id", F.col("n"), 4))
     held = held.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "code", "vector")).alias("rows"))
-    asked = q.select("id", "vector").mapInArrow(aimed, "id long, cell int, vector array<double>").join(sizes, "cell")
+    own = indexed.groupBy("id").agg(F.count("*").alias("own"))  # these are no candidates of the query
+    asked = q.select("id", "vector").join(own, "id", "left").select("id", "vector", F.coalesce("own", F.lit(0)).alias("own"))
+    asked = asked.mapInArrow(aimed, "id long, cell int, vector array<double>").join(sizes, "cell")
     loads = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_GROUP).cast("int").alias("groups")))
     asked = asked.join(loads, "cell").withColumn("part", vectors.slot("id", F.col("groups"), 5))
     asked = asked.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vector")).alias("asked"), F.max("n").alias("n"))

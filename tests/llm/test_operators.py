@@ -160,6 +160,26 @@ def test_neighbours_recall_in_group_of_near_copies(spark, tmp_path, noise):
     assert right >= 0.99 * 10 * len(asked)
 
 
+@pytest.mark.parametrize("n", range(2, 13))
+def test_neighbours_of_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))])
+    got = ann.neighbours(rows.where("vec_id = 0"), rows).collect()
+    assert len(got) == len({r["vec_id"] for r in got} - {0}) == min(n - 1, 10)
+
+
+def test_neighbours_of_rare_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    many = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    rare = [(100 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(9, 5)))]
+    again = [(200, [50.0 + i] * 6) for i in range(40)] + [(201 + i, [float(i)] * 6) for i in range(1, 13)]
+    rows = vectors(spark, many + rare + again)
+    got = {}
+    for r in ann.neighbours(rows.where("vec_id in (0, 100)").union(vectors(spark, [(200, [60.0] * 6)])), rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got[0]) == 10 and got[100] == set(range(101, 109)) and len(got[200]) == 10 and 200 not in got[200]
+
+
 def test_jaccard(docs, corpus):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs.withColumn("n", F.lit(1)).withColumn("e1", F.lit("x"))).collect()}
     assert got == brute.components(corpus)
