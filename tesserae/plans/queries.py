@@ -367,7 +367,7 @@ def accept_share(s, d):
 
 @query
 def typo_noise(s, d):
-    rows = turns(s, d).where("role = 'user'").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), F.substring("text", 1, 120).alias("text"))
+    rows = turns(s, d).where("role = 'user'").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), "text")
     return noise.noisy(rows, "key", "text", "typos", sampling.uniform("key", "typos") < 0.25)
 
 

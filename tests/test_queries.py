@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tesserae.operators import noise
 from tesserae.plans import registry
 
 
@@ -41,6 +42,14 @@ def test_audit_counts(spark, sf):
     assert registry.QUERIES["contam_summary"](spark, sf).first()[1:5] == (40, 40, 3, 3)
 
 
+def test_typo_noise_of_whole_messages(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
+    whole = {f"{r['conv_id']}-{r['turn']}": (r["text"], r["fit"]) for r in rows.select("*", noise.eligible("text").alias("fit")).collect()}
+    got = registry.QUERIES["typo_noise"](spark, sf).collect()
+    assert {r["key"] for r in got} == set(whole) and any(r["noised"] for r in got)
+    assert all(whole[r["key"]][1] if r["noised"] else r["text"] == whole[r["key"]][0] for r in got)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
