@@ -8,9 +8,12 @@ are part of the key, so lines of one length must lack the word at the same place
 only against the whole of a line of n - 1 words. Per key only the earliest line is kept, so no pairs arise however many lines
 are alike.
 
-Before that, lines are screened: within one word edit, the first or the second half of a line is equal, so only lines
-that share a half with another line emit variants. Lines of fewer than `min_words` words always stay (they repeat by
-chance). Null keys keep their text as it is; null texts stay null; empty texts have no lines to remove; rows of equal
+Lines of fewer than `fuzzy_words` words are compared by characters if `fuzzy_chars` is given: one character changed, added
+or left out, in lines of at least so many characters (with one space between words). So lines without white space, such
+as Chinese ones or addresses, have near copies too. The query does so, and takes exact repeats of any line with a word.
+
+Before that, lines are screened: within one edit, the first or the second half of a line is equal, so only lines
+that share a half with another line emit variants. Lines of fewer than `min_words` words always stay. Null keys keep their text as it is; null texts stay null; empty texts have no lines to remove; rows of equal
 key are told apart by their text, and equal rows keep equal results. Columns other than key and text are not read.
 """
 
@@ -27,12 +30,21 @@ from tesserae.llm import common
 
 MIN_WORDS = 3
 FUZZY_WORDS = 10
+#: For the query: every line with a word takes part, and lines of fewer than FUZZY_WORDS words by characters from here on.
+LEAST_WORDS = 1
+FUZZY_CHARS = 20
+#: Words or characters whose variants are made at once (a longer line is one step of its own).
+STEP_UNITS = 200_000
+#: Keeps a character apart from a word of the same bytes.
+CHARACTER = np.uint64(0xA0761D6478BD642F)
 #: Largest side that is broadcast, by its measured size; beyond it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, where each line's words begin, text of each line, number of the line in its text)."""
+def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit hashes, where each line's units begin, text of each line, number of the line in its text, its words).
+
+    Units are words; by_chars, they are the characters of lines of fewer than `fuzzy` words."""
     breaks = np.flatnonzero(data == 10)
     begins = np.concatenate((offsets[:-1], breaks + 1))
     text = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
@@ -42,7 +54,24 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends, _ = common.word_spans(data, offsets)
     words = common.span_hashes(data, starts, ends)
     first = np.searchsorted(starts, np.append(begins, len(data)))
-    return words, first, text, number
+    count = np.diff(first)
+    if not by_chars:
+        return words, first, text, number, count
+    line = np.repeat(np.arange(len(count)), count)
+    few = count[line] < fuzzy
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[few]] += 1
+    inside[ends[few]] -= 1
+    begin = (data & 0xC0) != 0x80
+    begin[starts] = True
+    char = np.flatnonzero(begin & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
+    word = np.searchsorted(starts, char, "right") - 1
+    chars = common.mix(common.span_hashes(data, char, np.minimum(np.append(char[1:], len(data)), ends[word])) ^ CHARACTER)
+    gap = np.flatnonzero(few & (np.arange(len(line)) > first[:-1][line]))  # words with one before them in their line
+    order = np.argsort(np.concatenate((2 * starts[~few] + 1, 2 * char + 1, 2 * starts[gap])), kind="stable")
+    units = np.concatenate((words[~few], chars, np.full(len(gap), CHARACTER)))[order]
+    first = np.searchsorted(np.concatenate((line[~few], line[word], line[gap]))[order], np.arange(len(count) + 1))
+    return units, first, text, number, count
 
 
 def ranges(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,17 +83,17 @@ def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray) -> np.ndarray:
     return common.mix(h ^ common.mix(np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)))
 
 
-def read_lines(docs: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
-    """(key, tag, line, words, hash, halves): lines that can be removed or remove others."""
+def read_lines(docs: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None) -> DataFrame:
+    """(key, tag, line, units, hash, halves): lines that can be removed or remove others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, text, number = line_words(data, offsets)
+            words, first, text, number, count = line_units(data, offsets, fuzzy, fuzzy_chars is not None)
             n = np.diff(first)
-            use = n >= min_words
-            a, b, n, text, number = first[:-1][use], first[1:][use], n[use], text[use], number[use]
+            use = count >= min_words
+            a, b, n, text, number, count = first[:-1][use], first[1:][use], n[use], text[use], number[use], count[use]
             whole = keyed(ranges(words, a, b), 0, n)
-            longer = np.flatnonzero(n >= fuzzy)
+            longer = np.flatnonzero(count >= fuzzy if fuzzy_chars is None else (count >= fuzzy) | (n >= fuzzy_chars))
             x, y, m = a[longer], b[longer], n[longer]
             parts = []
             for less in (0, 1):  # as a line of its length, and as the longer partner of one with a word less
@@ -75,19 +104,19 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
             sizes[1:][longer] = 4
             halves = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), halves], names=["key", "tag", "line", "words", "hash", "halves"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), halves], names=["key", "tag", "line", "units", "hash", "halves"])
 
-    return docs.mapInArrow(run, "key long, tag long, line int, words int, hash long, halves array<long>")
+    return docs.mapInArrow(run, "key long, tag long, line int, units int, hash long, halves array<long>")
 
 
-def variants(joined: DataFrame) -> DataFrame:
-    """(variant, hash, own): each listed line's own key and the keys of its one-word deletions. joined: text, lines(line, hash).
+def variants(joined: DataFrame, fuzzy: int, by_chars: bool) -> DataFrame:
+    """(variant, hash, own): each listed line's own key and the keys of its deletions of one unit. joined: text, lines(line, hash).
 
     own is false for a deletion that only a whole line of that length may meet: two such deletions are two edits apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, text, number = line_words(data, offsets)
+            words, first, text, number, _ = line_units(data, offsets, fuzzy, by_chars)
             lists = rows.column(1)
             per = lists.value_lengths().fill_null(0).to_numpy()
             flat = lists.flatten()
@@ -102,13 +131,17 @@ def variants(joined: DataFrame) -> DataFrame:
             whole = ranges(words, a, b)
             ok = keyed(whole, 0, n).view(np.int64) == name  # a row of equal key and other text has other lines
             a, b, n, name, whole = a[ok], b[ok], n[ok], name[ok], whole[ok]
-            row, place = np.repeat(np.arange(len(n)), n), common.ragged(np.zeros(len(n), np.int64), n)
-            # the hash of a line without one word: words before it, then words after it
-            left, right = ranges(words, a[row], a[row] + place), ranges(words, a[row] + place + 1, b[row])
-            same = keyed(common.mix(left) * np.uint64(5) + right, 3 + place, n[row])
-            short = keyed(_without(words, a[row], place, n[row]), 0, n[row] - 1)
-            out = np.concatenate((keyed(whole, 0, n), same, short)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.concatenate((name, name[row], name[row]))), pa.array(np.arange(len(out)) < len(name) + len(row))], names=["variant", "hash", "own"])
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // STEP_UNITS)) + 1):
+                yield one_step(words, a[part], b[part], n[part], name[part], whole[part])
+
+    def one_step(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, name: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        row, place = np.repeat(np.arange(len(n)), n), common.ragged(np.zeros(len(n), np.int64), n)
+        # the hash of a line without one unit: units before it, then units after it
+        left, right = ranges(words, a[row], a[row] + place), ranges(words, a[row] + place + 1, b[row])
+        same = keyed(common.mix(left) * np.uint64(5) + right, 3 + place, n[row])
+        short = keyed(_without(words, a[row], place, n[row]), 0, n[row] - 1)
+        out = np.concatenate((keyed(whole, 0, n), same, short)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.concatenate((name, name[row], name[row]))), pa.array(np.arange(len(out)) < len(name) + len(row))], names=["variant", "hash", "own"])
 
     return joined.mapInArrow(run, "variant long, hash long, own boolean")
 
@@ -129,9 +162,9 @@ def sized(df: DataFrame, weight: str) -> bool:
     return (got or 0) <= BROADCAST_BYTES
 
 
-def dropped(base: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
+def dropped(base: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None) -> DataFrame:
     """(key, tag, gone): the numbers of each text's removed lines."""
-    lines = common.stage(read_lines(base.where("key is not null"), min_words, fuzzy), "lines")
+    lines = common.stage(read_lines(base.where("key is not null"), min_words, fuzzy, fuzzy_chars), "lines")
     place = F.struct("key", "line")
     distinct = common.stage(lines.groupBy("hash").agg(F.min(F.struct("key", "line", "tag")).alias("head"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct")
     halves = distinct.where("size(halves) > 0").select("hash", F.explode("halves").alias("half"))
@@ -140,7 +173,7 @@ def dropped(base: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
     lists = distinct.join(able, "hash").groupBy(F.col("head.key").alias("key"), F.col("head.tag").alias("tag")).agg(F.collect_list(F.struct(F.col("head.line").alias("line"), "hash")).alias("lines"))
     lists = common.stage(lists, "able")
     side = F.broadcast(lists) if sized(lists, "32 + 12 * size(lines)") else lists
-    keys = common.stage(variants(base.join(side, ["key", "tag"]).select("text", "lines")), "variants")
+    keys = common.stage(variants(base.join(side, ["key", "tag"]).select("text", "lines"), fuzzy, fuzzy_chars is not None), "variants")
     heads = distinct.select("hash", F.struct("head.key", "head.line").alias("head"))
     named = keys.join(heads, "hash")
     earliest = named.groupBy("variant").agg(F.min("head").alias("any"), F.min(F.when(F.col("own"), F.col("head"))).alias("whole"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -152,13 +185,13 @@ def dropped(base: DataFrame, min_words: int, fuzzy: int) -> DataFrame:
     return gone.groupBy("key", "tag").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, fuzzy_chars: int | None = None) -> DataFrame:
     """docs with the removed lines taken out of the text, and n_lines and n_removed (which replace columns so named)."""
     docs = docs.drop("n_lines", "n_removed")
     common.prepare(docs.sparkSession)
     others = [c for c in docs.columns if c not in (key, text)]
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
-    gone = common.stage(dropped(base, min_words, fuzzy_words), "gone")
+    gone = common.stage(dropped(base, min_words, fuzzy_words, fuzzy_chars), "gone")
     side = F.broadcast(gone) if sized(gone, "32 + 4 * size(gone)") else gone
     named = _joined(docs, side, key, text)
     parts = F.split(F.col(text), "\n", -1)
@@ -181,5 +214,5 @@ def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(common.read(spark, sf_dir, "documents"))
+    out = dedup_lines(common.read(spark, sf_dir, "documents"), min_words=LEAST_WORDS, fuzzy_chars=FUZZY_CHARS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

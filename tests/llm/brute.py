@@ -96,6 +96,24 @@ def deduped_lines(docs, least=3, fuzzy=10):
     return out
 
 
+def deduped_all_lines(docs, fuzzy=10, chars=20):
+    """Exact repeats of any line with a word; one edit, of characters in lines of few words."""
+    out, seen = {}, defaultdict(list)
+    for i, t in sorted(docs, key=lambda r: r[0]):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = tuple(WORD.findall(line))
+            few = len(w) < fuzzy
+            u = tuple(" ".join(w)) if few else w
+            near = not few or len(u) >= chars
+            if not w or not any(o == u or (near and len(o) >= chars * few and one_edit(o, u)) for o in seen[few]):
+                kept.append(line)
+            if w:
+                seen[few].append(u)
+        out[i] = None if t is None else "\n".join(kept)
+    return out
+
+
 def losses(docs, target, smoothing):
     words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in docs}
     two, two_t, one, one_t = Counter(), Counter(), Counter(), Counter()

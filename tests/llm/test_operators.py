@@ -285,6 +285,34 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_lines_of_few_words(spark, corpus, monkeypatch):
+    rng = random.Random(8)
+    bases = ["".join(rng.choices("日本語中文字漢標準", k=n)) for n in (1, 2, 19, 20, 21, 400)] + ["https://example.org/a/very/long/path?x=1", "QUJD" * 3000, "}", "Read more", "a b c d e f g h i j", "abcdefghijklmnopqrst", "see the third table on page four"]
+    rows = []
+    for i in range(150):
+        part = []
+        for _ in range(rng.randint(1, 4)):
+            x = list(rng.choice(bases))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                j = rng.randrange(len(x)) if x else 0
+                x[j : j + rng.randint(0, 1)] = rng.choice(["", "q", "語", " ", "é"])
+            part.append(rng.choice(["", " "]) + "".join(x) + rng.choice(["", "  "]))
+        rows.append((10_000 + i, "\n".join(part)))
+    rows += corpus
+    monkeypatch.setattr(lines, "STEP_UNITS", 3000)
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, min_words=lines.LEAST_WORDS, fuzzy_chars=lines.FUZZY_CHARS).collect()}
+    assert got == brute.deduped_all_lines(rows)
+
+
+def test_lines_query_takes_short_lines(spark, tmp_path):
+    chinese = "中文字漢標準日本語" * 5
+    docs = [(1, f"Read more\n{chinese}\n}}\n"), (2, f"Read more\n{chinese[:20]}x{chinese[21:]}\n}}\n\nown"), (3, "https://example.org/a/long/path"), (4, "https://example.org/a/long/paths")]
+    spark.createDataFrame(docs, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in lines.query(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, brute.sha(docs[0][1])), 2: (3, brute.sha("\nown")), 3: (0, brute.sha(docs[2][1])), 4: (1, brute.sha(""))}
+
+
 @pytest.mark.parametrize("hot", [256, 10])
 def test_substring(docs, corpus, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
