@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,24 +69,55 @@ def opens_with_denial(content: Column | str) -> Column:
     return as_col(content).rlike(DENIAL)
 
 
+# Fixed value: a tool call in an assistant turn.
+CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
+
+
+def loose_json(s: str) -> str:
+    """[S20] JSON as it is, and a Python literal as JSON; other text stays as it is."""
+    try:
+        json.loads(s)
+    except ValueError:
+        try:
+            return json.dumps(ast.literal_eval(s), ensure_ascii=False)
+        except Exception:
+            pass
+    return s
+
+
+def loose(c: Column) -> Column:
+    """[S20]"""
+    return F.udf(lambda s: None if s is None else loose_json(s), "string", useArrow=True)(c)
+
+
+def with_json_calls(messages: Column) -> Column:
+    """[S20] The messages, with the calls in assistant turns that are Python literals as JSON."""
+
+    def redone(roles, contents):
+        if roles is None:
+            return None
+        fix = lambda m: f"<tool_call>{loose_json(m[1])}</tool_call>"
+        return [re.sub(CALL, fix, c) if r == "assistant" and c else c for r, c in zip(roles, contents, strict=True)]
+
+    contents = F.udf(redone, "array<string>", useArrow=True)(F.transform(messages, lambda m: m["role"]), F.transform(messages, lambda m: m["content"]))
+    return F.zip_with(messages, contents, lambda m, c: F.struct(m["role"].alias("role"), c.alias("content")))
+
+
 def tool_rewritten(messages: Column | str, system: Column) -> Column:
     """The kept conversation: tool prompt first, each call as name and arguments only, tool results as flagged user
     turns. For rows whose tool_drop_reason is null."""
-    call = lambda s: F.coalesce(F.try_parse_json(s), F.try_parse_json(F.translate(s, "'", '"')))
-    body = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
-
     def one(s: Column) -> Column:
-        v = call(s)
+        v = F.try_parse_json(s)
         args = F.coalesce(F.to_json(F.try_variant_get(v, "$.arguments", "variant")), F.lit("{}"))
         return F.concat(F.lit('<tool_call>\n{"name": '), F.to_json(F.try_variant_get(v, "$.name", "variant")), F.lit(', "arguments": '), args, F.lit("}\n</tool_call>"))
 
     def redone(c: Column) -> Column:
-        texts, calls = F.split(c, body), F.regexp_extract_all(c, F.lit(body), F.lit(1))
+        texts, calls = F.split(c, CALL), F.regexp_extract_all(c, F.lit(CALL), F.lit(1))
         return F.array_join(F.zip_with(texts, F.transform(calls, one), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
     turn = lambda m: F.struct(F.when(m["role"] == "tool", "user").otherwise(m["role"]).alias("role"), F.when(m["role"] == "assistant", redone(strip(m["content"]))).otherwise(strip(m["content"])).alias("content"), (m["role"] == "tool").alias("tool"))
     first = F.struct(F.lit("system").alias("role"), system.alias("content"), F.lit(False).alias("tool"))
-    return F.concat(F.array(first), F.transform(trimmed_to_reply(messages), turn))
+    return F.concat(F.array(first), F.transform(with_json_calls(trimmed_to_reply(messages)), turn))
 
 
 def cleaned(role: Column, content: Column) -> Column:
@@ -143,17 +178,15 @@ def trimmed_to_reply(messages: Column | str) -> Column:
 
 
 def tool_drop_reason(xml: Column | str, messages: Column | str) -> Column:
-    """Why a tool conversation is dropped, or null. Calls and tools are JSON (or Python literals, read as JSON with
-    single quotes)."""
-    tools = tools_of(xml)
-    loose = lambda s: F.coalesce(F.try_parse_json(s), F.try_parse_json(F.translate(s, "'", '"')))
-    m = trimmed_to_reply(messages)
+    """Why a tool conversation is dropped, or null. Calls and tools are JSON or Python literals."""
+    tools = loose(tools_of(xml))
+    m = with_json_calls(trimmed_to_reply(messages))
     ok = F.forall(F.transform(m, lambda x, i: (strip(x["content"]) != "") & F.when(i == 0, x["role"] == "user").when(i % 2 == 1, x["role"] == "assistant").otherwise(x["role"].isin("user", "tool"))), lambda x: F.coalesce(x, F.lit(False)))
-    calls = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
-    bad_call = lambda c: F.exists(calls(c), lambda s: F.coalesce(F.try_variant_get(loose(s), "$.name", "string"), F.lit("")) == "")
+    calls = lambda c: F.regexp_extract_all(c, F.lit(CALL), F.lit(1))
+    bad_call = lambda c: F.exists(calls(c), lambda s: F.coalesce(F.try_variant_get(F.try_parse_json(s), "$.name", "string"), F.lit("")) == "")
     late = F.transform(m, lambda x: F.when(x["role"] != "assistant", None).when(bad_call(x["content"]), "drop_bad_call_json").when(refuses(x["content"]), "drop_refusal").when(foreign(x["content"]), "drop_foreign_identity"))
     first = F.try_element_at(F.filter(late, lambda x: x.isNotNull()), F.lit(1))
-    listed = F.schema_of_variant(loose(tools)).startswith("ARRAY") & (F.try_variant_get(loose(tools), "$[0]", "variant").isNotNull())
+    listed = F.schema_of_variant(F.try_parse_json(tools)).startswith("ARRAY") & (F.try_variant_get(F.try_parse_json(tools), "$[0]", "variant").isNotNull())
     thinks = F.exists(m, lambda x: F.contains(x["content"], F.lit("<think>")))
     return F.when(tools.isNull(), "drop_no_tools").when(~F.coalesce(listed, F.lit(False)), "drop_bad_tools_json").when((F.size(m) < 2) | ~ok, "drop_structure").when(first.isNotNull(), first).when(thinks, "drop_structure")
 
@@ -171,6 +204,29 @@ def valid_transitions(messages: Column | str) -> Column:
     return (F.size(roles) > 0) & F.forall(steps, lambda s: F.array_contains(allowed, s)) & (F.element_at(roles, -1) == "assistant") & F.forall(as_col(messages), lambda m: F.coalesce(strip(m["content"]) != "", F.lit(False)))
 
 
+# Which role may follow which where calls are in assistant turns.
+GENERATED = ("user>assistant", "assistant>user", "assistant>tool", "tool>assistant")
+
+
+def valid_generated(messages: Column | str, names: Column | None = None) -> Column:
+    """A generated conversation with calls in assistant turns; `names` are those of the tools offered, if any.
+
+    Roles follow each other as they may, from a user to an assistant turn; no content is blank. Assistant turns claim no
+    other identity and don't think; their calls are JSON with a known name and an object of arguments. Tool turns need
+    tools, follow a call and hold a response."""
+    m = as_col(messages)
+    known = F.coalesce(names, F.array().cast("array<string>")) if names is not None else F.array().cast("array<string>")
+    call = lambda s: F.array_contains(known, F.try_variant_get(F.try_parse_json(s), "$.name", "string")) & F.schema_of_variant(F.try_variant_get(F.try_parse_json(s), "$.arguments", "variant")).startswith("OBJECT")
+    calls = lambda c: F.regexp_extract_all(c, F.lit(CALL), F.lit(1))
+    asks = lambda c: F.contains(c, F.lit("<tool_call>"))
+    speaks = lambda c: ~claims_foreign(c) & ~F.contains(c, F.lit("<think>")) & (~asks(c) | ((F.size(known) > 0) & (F.size(calls(c)) > 0))) & F.forall(calls(c), lambda s: F.coalesce(call(s), F.lit(False)))
+    own = lambda x: F.when(x["role"] == "assistant", speaks(x["content"])).when(x["role"] == "tool", (F.size(known) > 0) & F.contains(x["content"], F.lit("<tool_response>"))).otherwise(x["role"] == "user")
+    step = lambda a, b: F.concat(a["role"], F.lit(">"), b["role"]).isin(*GENERATED) & ((b["role"] != "tool") | asks(a["content"]))
+    steps = F.zip_with(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), step)
+    fine = F.forall(m, lambda x: F.coalesce((strip(x["content"]) != "") & own(x), F.lit(False))) & F.forall(steps, lambda x: F.coalesce(x, F.lit(False)))
+    return F.coalesce((F.size(m) >= 2) & (F.try_element_at(m, F.lit(1))["role"] == "user") & (F.try_element_at(m, F.lit(-1))["role"] == "assistant") & fine, F.lit(False))
+
+
 def first_user(messages: Column | str) -> Column:
     """[S13] The key of the first user message."""
     return collapse(F.try_element_at(F.filter(as_col(messages), lambda m: m["role"] == "user"), F.lit(1))["content"])

@@ -114,6 +114,31 @@ def test_tool_rewrite(spark):
     assert got[2]["content"] == 'I look. <tool_call>\n{"name": "f", "arguments": {"a":1}}\n</tool_call>' and got[0]["content"] == "TOOLS"
 
 
+def test_python_literals_in_tool_calls(spark):
+    m = [("user", "q"), ("assistant", """<tool_call>{'name': 'f', 'arguments': {'q': "it's", 'all': True, 'n': None}}</tool_call>"""), ("tool", "1"), ("assistant", "done")]
+    df = spark.createDataFrame([("<tools>[{'name': 'f', 'strict': False}]</tools>", m)], f"xml string, m {MESSAGES}")
+    got = df.select(chat.tool_drop_reason("xml", "m").alias("x"), chat.tool_rewritten("m", F.lit("T")).alias("y")).first()
+    assert got["x"] is None
+    call = got["y"][2]["content"].removeprefix("<tool_call>\n").removesuffix("\n</tool_call>")
+    assert json.loads(call) == {"name": "f", "arguments": {"q": "it's", "all": True, "n": None}}
+
+
+def test_generated(spark):
+    def ok(*turns, names=("f",)):
+        df = spark.createDataFrame([(list(turns), list(names))], f"v {MESSAGES}, n array<string>")
+        return df.select(chat.valid_generated("v", F.col("n")).alias("x")).first()["x"]
+
+    ask, reply, done = ("user", "q"), ("tool", "<tool_response>1</tool_response>"), ("assistant", "a")
+    call = lambda c: ("assistant", f"<tool_call>{c}</tool_call>")
+    good = '{"name": "f", "arguments": {"a": 1}}'
+    assert ok(ask, done, names=()) and ok(ask, call(good), reply, done) and ok(ask, ("assistant", "I'm not ChatGPT."), names=())
+    assert not ok(ask) and not ok(done, ask) and not ok(ask, ask, done) and not ok(ask, ("assistant", " "))
+    assert not ok(ask, call(good), reply, done, names=()) and not ok(ask, call(good), reply, done, names=("g",))
+    assert not ok(ask, call('{"name": "f", "arguments": "a"}'), reply, done) and not ok(ask, call("{'name': 'f', 'arguments': {}}"), reply, done)
+    assert not ok(ask, call(good), ("tool", "1"), done) and not ok(ask, done, reply, done) and not ok(ask, ("assistant", "<tool_call>"), reply, done)
+    assert not ok(ask, ("assistant", "<think>x</think> a")) and not ok(ask, ("assistant", "I am ChatGPT.")) and not ok(ask, ("system", "s"), done)
+
+
 def test_transitions(spark):
     ok = lambda *r: one(spark, chat.valid_transitions("v"), [(x, "c") for x in r], schema=f"v {MESSAGES}")
     assert ok("user", "tool_call", "tool", "assistant") and not ok("user", "tool_call", "assistant") and not ok("user", "user") and not ok("user")
