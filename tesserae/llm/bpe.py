@@ -5,6 +5,10 @@ vectorised check then tests every adjacent token pair for compatibility (whether
 have come before the merges that built the two tokens). A proposal whose pairs are all compatible is the exact
 encoding. Only the failing words are merged step by step, many words at once.
 
+Words are remembered by a hash, and a remembered word counts only after its characters were compared. Words of any
+length are proposed and checked alike; very long ones are proposed in pieces of PIECE bytes, whose seams are checked
+like any other pair.
+
 Input that is null or empty gives no ids. Very long texts and words are handled whole; a worker holds one text and
 its ids at a time. Duplicate rows are encoded alike; an empty table gives an empty table.
 """
@@ -26,8 +30,12 @@ from tesserae.llm import common
 CACHE_WORDS = 400_000
 #: Bytes of text encoded in one vectorised step.
 STEP_BYTES = 2 << 20
-#: Words over this many bytes are merged one by one with a heap instead of in a padded matrix.
-LONG_WORD = 96
+#: Bytes of a word that one greedy walk covers.
+PIECE = 4096
+#: Failing words over this many bytes are merged with a heap each instead of in a padded matrix.
+LONG_WORD = 1024
+#: Cells of a padded matrix.
+CELLS = 1 << 20
 # Fixed values of the tokenizer format: the contractions that its splitting pattern names.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -146,20 +154,25 @@ class Codec:
             self.token_at[node] = k
 
     def _forget(self) -> None:
-        self.seen, self.known_at, self.known_len, self.known_ids = IntMap(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known_keys, self.waiting = np.zeros(0, np.uint64), []
-
-    def _learn(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Remembers words; the map is built anew when those that wait are a third of what it holds."""
-        self.waiting.append((keys, ids, counts))
-        if sum(len(k) for k, _, _ in self.waiting) < max(10_000, len(self.known_keys) // 3):
+        none = np.zeros(0, np.int64)
+        self.seen, self.known_keys, self.waiting = IntMap(np.zeros(0, np.uint64), none), np.zeros(0, np.uint64), []
+        self.known_at, self.known_len, self.known_ids = none, none, none
+        self.spelt, self.spelt_at, self.spelt_len = np.zeros(0, np.uint32), none, none
+
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, spelt: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers words with their characters; the map is built anew when those that wait are a third of what it holds."""
+        self.waiting.append((keys, ids, counts, spelt, sizes))
+        if sum(len(w[0]) for w in self.waiting) < max(10_000, len(self.known_keys) // 3):
             return
         self.waiting, new = [], self.waiting
-        counts = np.concatenate([c for _, _, c in new])
-        self.known_at = np.concatenate((self.known_at, len(self.known_ids) + np.cumsum(counts) - counts))
-        self.known_len = np.concatenate((self.known_len, counts))
-        self.known_ids = np.concatenate([self.known_ids, *(i for _, i, _ in new)])
-        self.known_keys = np.concatenate([self.known_keys, *(k for k, _, _ in new)])
+        _, first = np.unique(np.concatenate([w[0] for w in new]), return_index=True)  # words that came twice while waiting
+        counts, sizes = np.concatenate([w[2] for w in new]), np.concatenate([w[4] for w in new])
+        self.known_at = np.concatenate((self.known_at, (len(self.known_ids) + np.cumsum(counts) - counts)[first]))
+        self.spelt_at = np.concatenate((self.spelt_at, (len(self.spelt) + np.cumsum(sizes) - sizes)[first]))
+        self.known_len, self.spelt_len = np.concatenate((self.known_len, counts[first])), np.concatenate((self.spelt_len, sizes[first]))
+        self.known_ids = np.concatenate([self.known_ids, *(w[1] for w in new)])
+        self.spelt = np.concatenate([self.spelt, *(w[3] for w in new)])
+        self.known_keys = np.concatenate((self.known_keys, np.concatenate([w[0] for w in new])[first]))
         self.seen = IntMap(self.known_keys, np.arange(len(self.known_keys)))
 
     # -- splitting -----------------------------------------------------------------------------------------------
@@ -243,8 +256,11 @@ class Codec:
         lengths = ends - starts
         out_w, out_t = [], []
         order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(order), 20_000):
-            rows = order[at : at + 20_000]
+        at = 0
+        while at < len(order):
+            fits = np.searchsorted(np.arange(1, len(order) - at + 1) * lengths[order[at:]], CELLS, "right")
+            rows = order[at : at + max(1, int(fits))]
+            at += len(rows)
             width = int(lengths[rows].max())
             none = np.int64(1 << 40)
             grid = np.full((len(rows), width + 1), -1, np.int64)
@@ -324,28 +340,27 @@ class Codec:
     def words(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each word)."""
         lengths = np.fromiter(map(len, items), np.int64, len(items))
-        long = lengths > LONG_WORD
+        if not lengths.any():
+            return np.zeros(0, np.int64), np.zeros(len(items), np.int64)
         data = np.frombuffer(b"".join(items), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        short = np.flatnonzero(~long & (lengths > 0))
-        w, t = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(short):
-            s, e = starts[short], starts[short] + lengths[short]
-            w, t = self.greedy(data, s, e)
-            inner = w[1:] == w[:-1]
-            fails = np.zeros(len(short), bool)
-            fails[w[1:][inner][~self.compatible(t[:-1][inner], t[1:][inner])]] = True
-            if fails.any():
-                bad = np.flatnonzero(fails)
-                w2, t2 = self.merged(data, s[bad], e[bad])
-                good = ~fails[w]
-                w, t = np.concatenate((w[good], bad[w2])), np.concatenate((t[good], t2))
-            w = short[w]
-        for k in np.flatnonzero(long):
-            ids = self.merged_long(items[k])
-            w, t = np.concatenate((w, np.full(len(ids), k))), np.concatenate((t, ids))
-        order = np.argsort(w, kind="stable")
-        return t[order], np.bincount(w, minlength=len(items))
+        begins = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // PIECE)
+        word = np.repeat(np.arange(len(items)), pieces)
+        starts = begins[word] + PIECE * common.ragged(np.zeros(len(items), np.int64), pieces)
+        piece, tokens = self.greedy(data, starts, np.minimum(starts + PIECE, (begins + lengths)[word]))
+        owner = word[piece]
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        fails = np.zeros(len(items), bool)
+        fails[owner[inner[~self.compatible(tokens[inner], tokens[inner + 1])]]] = True
+        if fails.any():
+            good = ~fails[owner]
+            bad = np.flatnonzero(fails & (lengths <= LONG_WORD))
+            again, merged = self.merged(data, begins[bad], begins[bad] + lengths[bad]) if len(bad) else (bad, bad)
+            long = [(k, self.merged_long(items[k])) for k in np.flatnonzero(fails & (lengths > LONG_WORD)).tolist()]
+            owner = np.concatenate((owner[good], bad[again], *(np.full(len(ids), k) for k, ids in long)))
+            tokens = np.concatenate((tokens[good], merged, *(np.array(ids, np.int64) for _, ids in long)))
+        order = np.argsort(owner, kind="stable")
+        return tokens[order], np.bincount(owner, minlength=len(items))
 
     # -- encoding of texts ---------------------------------------------------------------------------------------
 
@@ -369,31 +384,55 @@ class Codec:
         if specials:
             starts = starts[~inside[starts]]
         ends = np.append(starts[1:], len(codes))
-        keys = common.span_hashes(codes, starts, ends)
+        keys, sizes = self.hashed(codes, starts, ends), ends - starts
         slot = self.seen.get(keys)
-        old = slot >= 0
+        old = np.flatnonzero(slot >= 0)
+        same = self.spelt_len[slot[old]] == sizes[old]
+        same[same] = ~common.unequal(codes, starts[old[same]], self.spelt, self.spelt_at[slot[old[same]]], sizes[old[same]])
+        alike = [old[~same]]  # words of a remembered word's hash that aren't that word
+        old = old[same]
         at, per_word, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.known_ids
         at[old], per_word[old] = self.known_at[slot[old]], self.known_len[slot[old]]
-        missing = np.flatnonzero(~old)
+        missing = np.flatnonzero(slot < 0)
         if len(missing):
             uniq, first, which = np.unique(keys[missing], return_index=True, return_inverse=True)
             first = missing[first]
-            items = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            got, counts = self.words([b"" if x in self.special else x.encode() for x in items])
-            for k, x in enumerate(items) if specials else ():
-                if x in self.special:
-                    spot = int(counts[:k].sum())
-                    got, counts[k] = np.insert(got, spot, self.special[x]), 1
+            head = first[which]
+            same = sizes[head] == sizes[missing]
+            same[same] = ~common.unequal(codes, starts[missing[same]], codes, starts[head[same]], sizes[missing[same]])
+            alike.append(missing[~same])
+            missing, which = missing[same], which[same]
+            got, counts = self.spelled([text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
             begin = len(ids) + np.cumsum(counts) - counts
             ids = np.concatenate((ids, got))
             at[missing], per_word[missing] = begin[which], counts[which]
             if len(self.known_keys) < CACHE_WORDS:
-                self._learn(uniq, got, counts)
+                self._learn(uniq, got, counts, codes[common.ragged(starts[first], sizes[first])], sizes[first])
+        odd = np.concatenate(alike)
+        if len(odd):
+            items = [text[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            distinct = {x: k for k, x in enumerate(dict.fromkeys(items))}
+            got, counts = self.spelled(list(distinct))
+            begin, which = len(ids) + np.cumsum(counts) - counts, np.array([distinct[x] for x in items])
+            ids = np.concatenate((ids, got))
+            at[odd], per_word[odd] = begin[which], counts[which]
         flat = ids[common.ragged(at, per_word)].astype(self.dtype)
         sums = np.concatenate(([0], np.cumsum(per_word)))
         bounds = sums[np.searchsorted(starts, where)]
         return flat, np.diff(bounds)
 
+    def hashed(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By these keys words are looked up; what is found is compared."""
+        return common.span_hashes(codes, starts, ends)
+
+    def spelled(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """words() for strings, any of which may be a special token."""
+        got, counts = self.words([b"" if x in self.special else x.encode() for x in items])
+        for k, x in enumerate(items):
+            if x in self.special:
+                got, counts[k] = np.insert(got, int(counts[:k].sum()), self.special[x]), 1
+        return got, counts
+
     def _found(self, blob: bytes, token: bytes, offsets: np.ndarray) -> Iterator[int]:
         at = blob.find(token)
         while at >= 0:

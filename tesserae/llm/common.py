@@ -91,18 +91,35 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_223_459_887
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2^64, and of its inverse."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for x below 2^63."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _powers(n: int) -> dict[str, np.ndarray]:
+    """The first n powers of two bases and of their inverses: one modulo 2^64, one modulo a prime."""
     if len(_tables.get("up", ())) < n:
         n = max(n, CHUNK_BYTES + 4096)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, np.uint64(base))
             steps[0] = 1
             _tables[key] = np.multiply.accumulate(steps)
-    return _tables["up"], _tables["down"]
+        for key, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, int(_PRIME)))):
+            out = np.ones(n, np.uint64)
+            done = 1
+            while done < n:
+                more = min(done, n - done)
+                out[done : done + more] = _reduced(out[:more] * np.uint64(pow(base, done, int(_PRIME))))
+                done += more
+            _tables[key] = out
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,12 +132,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Spans:
+    """64-bit hashes of stretches of an array, whatever their place, from prefix sums made once.
+
+    Two polynomials are joined, modulo 2^64 and modulo a prime: sequences that cancel out in one (such as words of
+    the Thue-Morse kind modulo a power of two) don't in the other."""
+
+    def __init__(self, data: np.ndarray):
+        t, n = _powers(len(data) + 2), len(data)
+        wide = data.astype(np.uint64)
+        small = mix(wide) >> np.uint64(33) if data.dtype.itemsize > 4 else None
+        wide += np.uint64(1)
+        small = (wide if small is None else small) * t["prime_up"][:n]
+        if data.dtype.itemsize > 1 or n >= 1 << 24:  # sums of bytes stay below 2^63 as they are
+            small = (small & _PRIME) + (small >> np.uint64(31))
+        wide *= t["up"][:n]
+        self.sums, self.prime = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(wide, out=self.sums[1:])
+        np.cumsum(small, out=self.prime[1:])
+
+    def _joined(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix(a + length.astype(np.uint64) + mix((b + np.uint64(1)) << np.uint64(20)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each data[start:end]."""
+        t = _powers(len(self.sums) + 1)
+        a = (self.sums[ends] - self.sums[starts]) * t["down"][starts]
+        b = _reduced(_reduced(self.prime[ends] - self.prime[starts]) * t["prime_down"][starts])
+        return self._joined(a, b, ends - starts)
+
+    def without(self, starts: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash that data[start:end] would have without the element at a place."""
+        t = _powers(len(self.sums) + 1)
+        a = (self.sums[at] - self.sums[starts]) * t["down"][starts] + (self.sums[ends] - self.sums[at + 1]) * t["down"][starts + 1]
+        b = _reduced(self.prime[at] - self.prime[starts]) * t["prime_down"][starts]
+        c = _reduced(self.prime[ends] - self.prime[at + 1]) * t["prime_down"][starts + 1]
+        return self._joined(a, _reduced(_reduced(b) + _reduced(c)), ends - starts - 1)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], whatever its place."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Spans(data).of(starts, ends)
+
+
+def unequal(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of the pairs of stretches of these lengths differ."""
+    odd = a[ragged(a_starts, lengths)] != b[ragged(b_starts, lengths)]
+    out = np.zeros(len(lengths), bool)
+    if odd.any():
+        out[np.searchsorted(np.cumsum(lengths), np.flatnonzero(odd), "right")] = True
+    return out
 
 
 def lower(data: np.ndarray) -> np.ndarray:

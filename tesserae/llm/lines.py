@@ -1,24 +1,28 @@
 """Line dedup by a deletion-neighbourhood join (operator 7).
 
-A line is a stretch between newlines; its words are compared. A line is removed if an earlier line, in the order of
-(key, line number), has the same words or is within one word edit (a word changed, added or left out), which needs at
-least `fuzzy_words` words in both. Every line that can have such a partner emits, as hashed keys, itself and each variant with
-one word deleted. Equal variants meet by key, and the edit distance is verified: the place of the deletion and the line's length
-are part of the key, so lines of one length must lack the word at the same place, and a variant of n - 1 words counts
-only against the whole of a line of n - 1 words. Per key only the earliest line is kept, so no pairs arise however many lines
-are alike.
-
-Lines of fewer than `fuzzy_words` words are compared by characters if `fuzzy_chars` is given: one character changed, added
-or left out, in lines of at least so many characters (with one space between words). So lines without white space, such
-as Chinese ones or addresses, have near copies too. The query does so, and takes exact repeats of any line with a word.
-
-Before that, lines are screened: within one edit, the first or the second half of a line is equal, so only lines
-that share a half with another line emit variants. Lines of fewer than `min_words` words always stay. Null keys keep their text as it is; null texts stay null; empty texts have no lines to remove; rows of equal
-key are told apart by their text, and equal rows keep equal results. Columns other than key and text are not read.
+A line is a stretch between newlines; its words are compared, whatever white space is between them. A line is removed if
+an earlier line, in the order of (key, line number), has the same words or is within one edit of it. In lines of
+`fuzzy_words` words or more an edit changes, adds or leaves out a word; shorter lines are compared by characters, one
+space between words, if they have `fuzzy_chars` of them (None: such lines have exact repeats only). So lines without
+white space, such as Chinese ones or addresses, have near copies too.
+
+Every line that can have such a partner emits, as hashed keys, itself and each variant with one unit deleted. Equal
+variants meet by key; the place of the deletion and the line's length are part of the key, so lines of one length must lack
+the unit at the same place, and a variant of n - 1 units counts only against the whole of a line of n - 1 units. Per key
+only the earliest line is kept, so no pairs arise however many lines are alike. Then the edit distance of each line to the
+line that it met is verified on their words. Where keys met by chance, all lines of those keys are joined again by
+cryptographic digests of their variants. Lines are identified by such digests too.
+
+Before that, lines are screened: within one edit, the first or the second half of a line is equal, so only lines that
+share a half with another line emit variants. Lines of fewer than `min_words` words always stay (by default only those
+without a word). Null keys keep their text as it is; null texts stay null; empty texts have no lines to remove; rows of
+equal key are told apart by their text, and equal rows keep equal results; an empty table gives an empty table. Columns
+other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +32,37 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-MIN_WORDS = 3
+MIN_WORDS = 1
 FUZZY_WORDS = 10
-#: For the query: every line with a word takes part, and lines of fewer than FUZZY_WORDS words by characters from here on.
-LEAST_WORDS = 1
 FUZZY_CHARS = 20
 #: Words or characters whose variants are made at once (a longer line is one step of its own).
 STEP_UNITS = 200_000
 #: Keeps a character apart from a word of the same bytes.
 CHARACTER = np.uint64(0xA0761D6478BD642F)
+#: Bits of a key that count; tests take fewer, so that keys meet by chance.
+KEY_BITS = 64
 #: Largest side that is broadcast, by its measured size; beyond it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
-def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit hashes, where each line's units begin, text of each line, number of the line in its text, its words).
-
-    Units are words; by_chars, they are the characters of lines of fewer than `fuzzy` words."""
+def line_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text, number in its text) of each line."""
     breaks = np.flatnonzero(data == 10)
     begins = np.concatenate((offsets[:-1], breaks + 1))
     text = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
     order = np.lexsort((begins, text))
     begins, text = begins[order], text[order]
-    number = np.arange(len(text)) - np.searchsorted(text, np.arange(len(offsets) - 1))[text]
+    ends = offsets[text + 1]
+    inner = text[1:] == text[:-1]
+    ends[:-1][inner] = begins[1:][inner] - 1
+    return begins, ends, text, np.arange(len(text)) - np.searchsorted(text, np.arange(len(offsets) - 1))[text]
+
+
+def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit hashes, where each line's units begin, text of each line, number of the line in its text, its words).
+
+    Units are words; by_chars, they are the characters of lines of fewer than `fuzzy` words."""
+    begins, _, text, number = line_places(data, offsets)
     starts, ends, _ = common.word_spans(data, offsets)
     words = common.span_hashes(data, starts, ends)
     first = np.searchsorted(starts, np.append(begins, len(data)))
@@ -74,86 +86,123 @@ def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool
     return units, first, text, number, count
 
 
-def ranges(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return common.span_hashes(words, a, b)
+def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A join key from a hash, its kind and a length."""
+    return common.mix(h ^ common.mix(np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))) >> np.uint64(64 - bits)
 
 
-def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray) -> np.ndarray:
-    """A join key from a hash, its kind and a length."""
-    return common.mix(h ^ common.mix(np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)))
+def words_of(line: bytes) -> bytes:
+    return b" ".join(line.split())
+
+
+def digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
 
 
 def read_lines(docs: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None) -> DataFrame:
-    """(key, tag, line, units, hash, halves): lines that can be removed or remove others."""
+    """(key, tag, line, hash, halves): lines that can be removed or remove others; hash identifies the words."""
+    bits = KEY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
             words, first, text, number, count = line_units(data, offsets, fuzzy, fuzzy_chars is not None)
+            begin, end, _, _ = line_places(data, offsets)
             n = np.diff(first)
-            use = count >= min_words
+            use = np.flatnonzero(count >= min_words)
+            blob = data.tobytes()
+            names = [digest(words_of(blob[x:y])) for x, y in zip(begin[use].tolist(), end[use].tolist(), strict=True)]
             a, b, n, text, number, count = first[:-1][use], first[1:][use], n[use], text[use], number[use], count[use]
-            whole = keyed(ranges(words, a, b), 0, n)
+            spans = common.Spans(words)
             longer = np.flatnonzero(count >= fuzzy if fuzzy_chars is None else (count >= fuzzy) | (n >= fuzzy_chars))
             x, y, m = a[longer], b[longer], n[longer]
             parts = []
             for less in (0, 1):  # as a line of its length, and as the longer partner of one with a word less
                 p = (m - less) // 2
-                parts += [keyed(ranges(words, x, x + p), 1, m - less), keyed(ranges(words, y - (m - less - p), y), 2, m - less)]
+                parts += [keyed(spans.of(x, x + p), 1, m - less, bits), keyed(spans.of(y - (m - less - p), y), 2, m - less, bits)]
             flat = np.stack(parts, 1).ravel().view(np.int64) if len(longer) else np.zeros(0, np.int64)
             sizes = np.zeros(len(n) + 1, np.int32)
             sizes[1:][longer] = 4
             halves = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), halves], names=["key", "tag", "line", "units", "hash", "halves"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(names, pa.binary()), halves], names=["key", "tag", "line", "hash", "halves"])
+
+    return docs.mapInArrow(run, "key long, tag long, line int, hash binary, halves array<long>")
+
 
-    return docs.mapInArrow(run, "key long, tag long, line int, units int, hash long, halves array<long>")
+def listed(rows: pa.RecordBatch, text: np.ndarray, begin: np.ndarray, end: np.ndarray, blob: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """(place, hash, words) of the lines that a column of lists (line, hash) names. A row of equal key and other text
+    has other lines."""
+    lists = rows.column(1)
+    per = lists.value_lengths().fill_null(0).to_numpy()
+    flat = lists.flatten()
+    doc, line = np.repeat(np.arange(len(per)), per), flat.field(0).to_numpy()
+    starts = np.searchsorted(text, np.arange(len(per) + 1))
+    at = starts[doc] + line
+    found = []
+    for k, there, name in zip(at.tolist(), (line < np.diff(starts)[doc]).tolist(), flat.field(1).to_pylist(), strict=True):
+        if there and digest(own := words_of(blob[begin[k] : end[k]])) == name:
+            found.append((k, name, own))
+    places, names, words = zip(*found, strict=True) if found else ((), (), ())
+    return np.array(places, np.int64), list(names), list(words)
 
 
-def variants(joined: DataFrame, fuzzy: int, by_chars: bool) -> DataFrame:
+def variants(joined: DataFrame, fuzzy: int, by_chars: bool, strong: bool = False) -> DataFrame:
     """(variant, hash, own): each listed line's own key and the keys of its deletions of one unit. joined: text, lines(line, hash).
 
-    own is false for a deletion that only a whole line of that length may meet: two such deletions are two edits apart."""
+    own is false for a deletion that only a whole line of that length may meet: two such deletions are two edits apart.
+    strong: keys are digests, made one by one."""
+    bits = KEY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, text, number, _ = line_units(data, offsets, fuzzy, by_chars)
-            lists = rows.column(1)
-            per = lists.value_lengths().fill_null(0).to_numpy()
-            flat = lists.flatten()
-            doc, line, name = np.repeat(np.arange(len(per)), per), flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            begin = np.searchsorted(text, np.arange(len(per)))
-            count = np.diff(np.append(begin, len(text)))
-            fits = line < count[doc]
-            doc, line, name = doc[fits], line[fits], name[fits]
-            at = begin[doc] + line
-            a, b = first[at], first[at + 1]
-            n = b - a
-            whole = ranges(words, a, b)
-            ok = keyed(whole, 0, n).view(np.int64) == name  # a row of equal key and other text has other lines
-            a, b, n, name, whole = a[ok], b[ok], n[ok], name[ok], whole[ok]
+            words, first, _, _, _ = line_units(data, offsets, fuzzy, by_chars)
+            begin, end, text, _ = line_places(data, offsets)
+            at, name, own = listed(rows, text, begin, end, data.tobytes())
+            if strong:
+                yield from (digests(x, y, fuzzy) for x, y in zip(name, own, strict=True))
+                continue
+            a, b, spans = first[at], first[at + 1], common.Spans(words)
+            n, name = b - a, pa.array(name, pa.binary())
             for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // STEP_UNITS)) + 1):
-                yield one_step(words, a[part], b[part], n[part], name[part], whole[part])
+                yield one_step(spans, a[part], b[part], n[part], name.take(pa.array(part)))
 
-    def one_step(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, name: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    def one_step(spans: common.Spans, a: np.ndarray, b: np.ndarray, n: np.ndarray, name: pa.Array) -> pa.RecordBatch:
         row, place = np.repeat(np.arange(len(n)), n), common.ragged(np.zeros(len(n), np.int64), n)
         # the hash of a line without one unit: units before it, then units after it
-        left, right = ranges(words, a[row], a[row] + place), ranges(words, a[row] + place + 1, b[row])
-        same = keyed(common.mix(left) * np.uint64(5) + right, 3 + place, n[row])
-        short = keyed(_without(words, a[row], place, n[row]), 0, n[row] - 1)
-        out = np.concatenate((keyed(whole, 0, n), same, short)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.concatenate((name, name[row], name[row]))), pa.array(np.arange(len(out)) < len(name) + len(row))], names=["variant", "hash", "own"])
+        left, right = spans.of(a[row], a[row] + place), spans.of(a[row] + place + 1, b[row])
+        same = keyed(common.mix(left) * np.uint64(5) + right, 3 + place, n[row], bits)
+        short = keyed(spans.without(a[row], a[row] + place, b[row]), 0, n[row] - 1, bits)
+        out = np.concatenate((keyed(spans.of(a, b), 0, n, bits), same, short)).view(np.int64)
+        every = pa.array(np.concatenate((np.arange(len(n)), row, row)))
+        return pa.RecordBatch.from_arrays([pa.array(out), name.take(every), pa.array(np.arange(len(out)) < len(n) + len(row))], names=["variant", "hash", "own"])
 
-    return joined.mapInArrow(run, "variant long, hash long, own boolean")
+    return joined.mapInArrow(run, f"variant {'binary' if strong else 'long'}, hash binary, own boolean")
 
 
-def _without(words: np.ndarray, begin: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The hash that the line would have without the word at a place, equal to span_hashes of those words."""
-    up, down = common._powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum((words + np.uint64(1)) * up[: len(words)], out=sums[1:])
-    head = (sums[begin + place] - sums[begin]) * down[begin]
-    tail = (sums[begin + n] - sums[begin + place + 1]) * down[begin] * down[1]
-    return common.mix(head + tail + (n - 1).astype(np.uint64))
+def units_of(words: bytes, fuzzy: int) -> list:
+    """What edits of a line are counted in."""
+    parts = words.split(b" ")
+    return parts if len(parts) >= fuzzy else list(words.decode("utf-8", "surrogateescape"))
+
+
+def digests(name: bytes, words: bytes, fuzzy: int) -> pa.RecordBatch:
+    """As variants(), for one line, with digests for keys."""
+    u = units_of(words, fuzzy)
+    kind = "word" if u and isinstance(u[0], bytes) else "character"
+    keys = [digest(repr((kind, -1, u)).encode())] + [digest(repr((kind, k, u[:k], u[k + 1 :])).encode()) for k in range(len(u))]
+    own = len(keys)
+    keys += [digest(repr((kind, -1, u[:k] + u[k + 1 :])).encode()) for k in range(len(u))]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([name] * len(keys), pa.binary()), pa.array(np.arange(len(keys)) < own)], names=["variant", "hash", "own"])
+
+
+def one_edit(a: list, b: list) -> bool:
+    """Whether two sequences are at most one change, addition or omission apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    at = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :]
 
 
 def sized(df: DataFrame, weight: str) -> bool:
@@ -162,40 +211,91 @@ def sized(df: DataFrame, weight: str) -> bool:
     return (got or 0) <= BROADCAST_BYTES
 
 
+def broadcast_if_small(df: DataFrame, weight: str) -> DataFrame:
+    return F.broadcast(df) if sized(df, weight) else df
+
+
+def claims(keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """(hash, place, by): for each line of keys the earliest line of one of its variants, if that is another one."""
+    named = keys.join(heads, "hash").select("variant", "hash", "own", F.struct("key", "line", "hash").alias("head"))
+    earliest = named.groupBy("variant").agg(F.min("head").alias("any"), F.min(F.when(F.col("own"), F.col("head"))).alias("whole"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = keys.join(earliest, "variant").groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("any")).otherwise(F.col("whole"))).alias("first"))
+    return met.where("first.hash != hash").select("hash", F.struct("first.key", "first.line").alias("place"), F.col("first.hash").alias("by"))
+
+
+def of_text(heads: DataFrame, hashes: DataFrame, base: DataFrame) -> DataFrame:
+    """(text, lines): the texts that first hold the lines of these hashes."""
+    lists = heads.join(hashes, "hash", "left_semi").groupBy("key", "tag").agg(F.collect_list(F.struct("line", "hash")).alias("lines"))
+    lists = common.stage(lists, "able")
+    return base.join(broadcast_if_small(lists, "32 + 20 * size(lines)"), ["key", "tag"]).select("text", "lines")
+
+
+def spelt(joined: DataFrame) -> DataFrame:
+    """(hash, words) of listed lines. joined: text, lines(line, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.chunks(batches):
+            begin, end, text, _ = line_places(data, offsets)
+            _, names, words = listed(rows, text, begin, end, data.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(words, pa.binary())], names=["hash", "words"])
+
+    return joined.mapInArrow(run, "hash binary, words binary")
+
+
+def verified(met: DataFrame, heads: DataFrame, base: DataFrame, fuzzy: int) -> DataFrame:
+    """claims() with `right`: whether the two lines are one edit apart, judged by their words."""
+    both = met.select("hash").union(met.select(F.col("by").alias("hash"))).distinct()
+    words = common.stage(spelt(of_text(heads, both, base)).dropDuplicates(["hash"]), "words")
+    pairs = met.join(words, "hash").join(words.toDF("by", "other"), "by").select("hash", "place", "by", "words", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            x, y = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+            right = []
+            for p, q in zip(x, y, strict=True):
+                u, v = units_of(p, fuzzy), units_of(q, fuzzy)
+                right.append(type(u[0]) is type(v[0]) and one_edit(u, v))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(right, pa.bool_())], names=["hash", "place", "by", "right"])
+
+    return common.stage(pairs.mapInArrow(run, "hash binary, place struct<key:long,line:int>, by binary, right boolean"), "verified")
+
+
 def dropped(base: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None) -> DataFrame:
     """(key, tag, gone): the numbers of each text's removed lines."""
     lines = common.stage(read_lines(base.where("key is not null"), min_words, fuzzy, fuzzy_chars), "lines")
-    place = F.struct("key", "line")
     distinct = common.stage(lines.groupBy("hash").agg(F.min(F.struct("key", "line", "tag")).alias("head"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct")
+    heads = distinct.select("hash", "head.key", "head.line", "head.tag")
     halves = distinct.where("size(halves) > 0").select("hash", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     able = halves.join(met, "half").select("hash").distinct()
-    lists = distinct.join(able, "hash").groupBy(F.col("head.key").alias("key"), F.col("head.tag").alias("tag")).agg(F.collect_list(F.struct(F.col("head.line").alias("line"), "hash")).alias("lines"))
-    lists = common.stage(lists, "able")
-    side = F.broadcast(lists) if sized(lists, "32 + 12 * size(lines)") else lists
-    keys = common.stage(variants(base.join(side, ["key", "tag"]).select("text", "lines"), fuzzy, fuzzy_chars is not None), "variants")
-    heads = distinct.select("hash", F.struct("head.key", "head.line").alias("head"))
-    named = keys.join(heads, "hash")
-    earliest = named.groupBy("variant").agg(F.min("head").alias("any"), F.min(F.when(F.col("own"), F.col("head"))).alias("whole"), F.count("*").alias("n")).where("n > 1").drop("n")
-    beaten = keys.join(earliest, "variant").groupBy("hash").agg(F.min(F.when(F.col("own"), F.col("any")).otherwise(F.col("whole"))).alias("first"))
-    verdict = distinct.join(beaten, "hash", "left").select("hash", F.least(F.struct("head.key", "head.line"), F.coalesce("first", F.struct("head.key", "head.line"))).alias("first"), "times", F.struct("head.key", "head.line").alias("head"))
+    keys = common.stage(variants(of_text(heads, able, base), fuzzy, fuzzy_chars is not None), "variants")
+    found = common.stage(claims(keys, heads.select("hash", "key", "line")), "claims")
+    checked = verified(found, heads, base, fuzzy)
+    wrong = checked.where("not right").select("hash")
+    near = checked.where("right").select("hash", F.col("place").alias("first"))
+    if not wrong.isEmpty():  # keys that met by chance: their lines once more, by digests
+        touched = keys.join(keys.join(wrong, "hash", "left_semi").select("variant").distinct(), "variant", "left_semi").select("hash").distinct()
+        again = common.stage(variants(of_text(heads, common.stage(touched, "touched"), base), fuzzy, fuzzy_chars is not None, True), "variants")
+        near = near.union(claims(again, heads.select("hash", "key", "line")).join(wrong, "hash", "left_semi").select("hash", F.col("place").alias("first")))
+    own = F.struct("head.key", "head.line")
+    verdict = distinct.join(near, "hash", "left").select("hash", F.least(own, F.coalesce("first", own)).alias("first"), "times", own.alias("head"))
     verdict = common.stage(verdict.where("times > 1 or first < head").select("hash", "first"), "verdict")
     common.discard(keys)
-    gone = lines.select("key", "tag", "line", "hash").join(verdict, "hash").where(place > F.col("first"))
+    gone = lines.select("key", "tag", "line", "hash").join(verdict, "hash").where(F.struct("key", "line") > F.col("first"))
     return gone.groupBy("key", "tag").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, fuzzy_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, fuzzy_chars: int | None = FUZZY_CHARS) -> DataFrame:
     """docs with the removed lines taken out of the text, and n_lines and n_removed (which replace columns so named)."""
     docs = docs.drop("n_lines", "n_removed")
     common.prepare(docs.sparkSession)
     others = [c for c in docs.columns if c not in (key, text)]
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     gone = common.stage(dropped(base, min_words, fuzzy_words, fuzzy_chars), "gone")
-    side = F.broadcast(gone) if sized(gone, "32 + 4 * size(gone)") else gone
-    named = _joined(docs, side, key, text)
+    named = _joined(docs, broadcast_if_small(gone, "32 + 4 * size(gone)"), key, text)
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
     return named.select(key, out.alias(text), *others, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")).select(*docs.columns, "n_lines", "n_removed")
 
@@ -214,5 +314,5 @@ def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(common.read(spark, sf_dir, "documents"), min_words=LEAST_WORDS, fuzzy_chars=FUZZY_CHARS)
+    out = dedup_lines(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -76,26 +76,6 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def deduped_lines(docs, least=3, fuzzy=10):
-    out, seen, long = {}, set(), defaultdict(set)
-    for i, t in sorted(docs, key=lambda r: r[0]):
-        kept = []
-        for line in (t or "").split("\n"):
-            w = tuple(WORD.findall(line))
-            gone = len(w) >= least and w in seen
-            if len(w) >= fuzzy and not gone:  # an edit leaves the first or the last four words
-                gone = any(one_edit(o, w) for o in long[0, w[:4]] | long[1, w[-4:]])
-            if len(w) >= least:
-                seen.add(w)
-            if len(w) >= fuzzy:
-                long[0, w[:4]].add(w)
-                long[1, w[-4:]].add(w)
-            if not gone:
-                kept.append(line)
-        out[i] = None if t is None else "\n".join(kept)
-    return out
-
-
 def deduped_all_lines(docs, fuzzy=10, chars=20):
     """Exact repeats of any line with a word; one edit, of characters in lines of few words."""
     out, seen = {}, defaultdict(list)

@@ -40,7 +40,7 @@ def test_quality_keeps_what_is_good(spark, outputs):
 
 def test_lines(outputs):
     _, before, after = outputs[1]
-    want = brute.deduped_lines(list(texts(before).items()))
+    want = brute.deduped_all_lines(list(texts(before).items()))
     old = texts(before)
     assert texts(after) == {i: t for i, t in want.items() if t == old[i] or brute.WORD.search(t)}
 
