@@ -1,18 +1,28 @@
 """Repeated windows across a corpus: the distributed frame that operators 8 and 9 share.
 
-A window is `width` consecutive units (words or bytes) of one text. Equal windows have the same smallest gram hash at
-the same place (their anchor), so suffixes are dealt out by the prefix that ends in the anchor: its length varies from
-`gram` to `width` units, and consecutive suffixes with one anchor travel together as one run of text. Runs whose anchor
-occurs once can't repeat and go no further. The others are compared within groups of one anchor, in memory, by the
-operator's own suffix structure. Groups of more than HOT runs (a passage in very many documents) are split further by
-their whole windows and counted with partial aggregation, so no task gets an unbounded group.
-
-Rows with a null key take no part and stay as they are; null or empty texts have no windows. Rows with equal key and
-text are separate occurrences. Other columns are never read, so clashing names do no harm.
+A window is `width` consecutive units (words or bytes) of one text, seen as the beginning of the suffix that starts there.
+Suffixes are dealt to groups by a prefix of varying length:
+
+- Consecutive suffixes travel together as one run of text. Equal windows have the same smallest gram hash at the same
+  place, their anchor, so runs are cut where the anchor changes. Runs are dealt out by the gram at the anchor, which is a
+  prefix of the suffix that starts there. A run whose anchor occurs once holds no repeat and goes no further.
+- A group of more than GROUP_RUNS runs first has its equal runs joined, by partial aggregation, with their number and
+  their earliest place. If what is left of it is more than GROUP_BYTES, its runs are split: suffixes that start at about
+  the same distance before the anchor form a piece, and pieces are dealt out by all the text that the windows of such a
+  piece have in common, which is a prefix of its last suffix. The fewer distances a piece spans, the longer is that prefix, up
+  to the whole window; then a group is one piece. So groups fit in memory however frequent a passage is.
+
+Each group is solved in memory by the operator's own structure over the group's suffix array (suffix_array.py). What it finds
+in joined runs goes back to every place that they stand for.
+
+Words over LONG_WORD bytes travel as their digests. Rows with a null key take no part and stay as they are; null or empty
+texts have no windows; texts of any length are read whole. Rows with equal key and text are separate occurrences. An
+empty table gives an empty table. Other columns are never read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,10 +33,30 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-#: Runs in a group that one task compares; beyond it, windows are counted one by one.
-HOT = 256
-#: Bytes of runs that one in-memory structure holds.
-BLOCK_BYTES = 2 << 20
+#: Runs with one anchor beyond which equal ones are joined before they are dealt out.
+GROUP_RUNS = 256
+#: Bytes of different runs in a group beyond which it is split by longer prefixes.
+GROUP_BYTES = 1 << 20
+#: Pieces that a split makes of a run at most.
+SPLIT = 8
+#: Bytes of runs that one in-memory structure holds, unless a single group is larger.
+BLOCK_BYTES = 1 << 20
+#: Longer words travel as digests.
+LONG_WORD = 40
+
+#: Key and place that every place is beyond, and a place that none of the same key is beyond.
+ALWAYS, NOWHERE, NO_PLACE = -(1 << 63), -(1 << 40), (1 << 31) - 1
+
+
+@dataclass
+class Group:
+    """Different runs of complete groups, as an operator's structure sees them."""
+
+    codes: np.ndarray  # units of all runs, one after another
+    first: np.ndarray  # where each run's units begin, and their end
+    key: np.ndarray  # key and place (windows before it in its text) of each run's earliest occurrence
+    place: np.ndarray
+    times: np.ndarray  # occurrences of each run
 
 
 @dataclass(frozen=True)
@@ -34,8 +64,9 @@ class Spec:
     unit: str  # "words" or "bytes"
     width: int
     gram: int
-    keep: str  # "none": remove all copies; "first": keep the first place; "smaller": remove what a smaller key has
-    classes: Callable[[np.ndarray, int, np.ndarray], np.ndarray]  # (units, width, window starts) -> class of each window
+    #: group -> (run, start, end, key, place): units start to end of a run go in its occurrences beyond (key, place)
+    solve: Callable[[Group, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    other_key: bool = False  # whether only windows that a smaller key has too can go
 
 
 def units(spec: Spec, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +94,9 @@ def runs(spec: Spec, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
         return none, none, none, none.astype(np.uint64)
     at = np.arange(n - spec.gram + 1)
     grams = common.span_hashes(codes, at, at + spec.gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    ranked = (grams >> bits << bits) | at.astype(np.uint64)  # ties: the place further left
-    anchor = (sliding_min(ranked, w) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    half = np.uint64(32)
+    ranked = (grams >> half << half) | at.astype(np.uint64)  # ties: the place further left
+    anchor = (sliding_min(ranked, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     counts = np.maximum(np.diff(first) - spec.width + 1, 0)
     window = common.ragged(first[:-1], counts)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -93,9 +124,28 @@ def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, key long, tag long, lo int, hi int")
 
 
+def plain(spec: Spec, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the units in one spelling, words with a space after each and long ones as digests."""
+    if spec.unit == "bytes":
+        return data, starts, ends
+    size = ends - starts
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        blob = data.tobytes()
+        marks = b"".join(b"\x01" + hashlib.blake2b(blob[a:b], digest_size=16).hexdigest().encode() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        data = np.concatenate((data, np.frombuffer(marks, np.uint8)))
+        starts, size = starts.copy(), size.copy()
+        starts[long], size[long] = len(blob) + 33 * np.arange(len(long)), 33
+    begin = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    out[common.ragged(begin, size)] = data[common.ragged(starts, size)]
+    return out, begin, begin + size
+
+
 def carried(joined: DataFrame, spec: Spec) -> DataFrame:
-    """For each shared run its text (cold groups), or for each text the hashes and places of its windows (hot groups)."""
-    names = ["anchor", "key", "tag", "lo", "payload", "places"]
+    """(anchor, key, tag, lo, payload, at, name): each shared run's text; of runs in large groups also the anchor's
+    place in it and its identity."""
+    names = ["anchor", "key", "tag", "lo", "payload", "at", "name"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
@@ -104,152 +154,203 @@ def carried(joined: DataFrame, spec: Spec) -> DataFrame:
             per = np.diff(np.frombuffer(lists.offsets.buffers()[1], np.int32)[lists.offsets.offset : lists.offsets.offset + len(lists) + 1])
             flat = lists.flatten()
             text = np.repeat(np.arange(len(per)), per)
-            anchor, lo, hi, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            anchor, lo, hi, large = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             fits = hi + spec.width <= np.diff(first)[text]  # a row of equal key and other text has other runs
-            text, anchor, lo, hi, hot = (x[fits] for x in (text, anchor, lo.astype(np.int64), hi.astype(np.int64), hot))
-            keys, tags = rows.column(0), rows.column(1)
-            base = first[text]
-            for is_hot in (False, True):
-                pick = np.flatnonzero(hot == is_hot)
-                if not len(pick):
-                    continue
-                if is_hot:
-                    n = hi[pick] - lo[pick] + 1
-                    t, at = np.repeat(text[pick], n), common.ragged(lo[pick], n)
-                    begin = at + first[t]
-                    prints = common.span_hashes(codes, begin, begin + spec.width)
-                    order = np.lexsort((at, prints, t))  # one row for all places of a window in one text
-                    t, at, prints = t[order], at[order].astype(np.int32), prints[order]
-                    head = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (prints[1:] != prints[:-1]))))
-                    take = pa.array(t[head])
-                    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(t)).astype(np.int32)), pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[head].view(np.int64)), keys.take(take), tags.take(take), pa.array(at[head]), pa.nulls(len(head), pa.binary()), places], names=names)
-                    continue
-                a, b = starts[base[pick] + lo[pick]], ends[base[pick] + hi[pick] + spec.width - 1]
-                step = max(1, (32 << 20) // max(1, int((b - a).max())))
-                for s in range(0, len(pick), step):
-                    p, x, y = pick[s : s + step], a[s : s + step], b[s : s + step]
-                    payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[p]), keys.take(pa.array(text[p])), tags.take(pa.array(text[p])), pa.array(lo[p].astype(np.int32)), payload, pa.nulls(len(p), pa.list_(pa.int32()))], names=names)
-
-    return joined.mapInArrow(run, "anchor long, key long, tag long, lo int, payload binary, places array<int>")
-
-
-def compare(spec: Spec, key: np.ndarray, lo: np.ndarray, anchor: np.ndarray, payload: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end): the removed unit ranges of complete groups. Equal runs are compared once."""
-    order = np.lexsort((lo, key))
+            text, anchor, lo, hi, large = (x[fits] for x in (text, anchor, lo.astype(np.int64), hi.astype(np.int64), large))
+            if not len(text):
+                continue
+            data, starts, ends = plain(spec, data, starts, ends)
+            begin, last = first[text] + lo, first[text] + hi
+            a, b = starts[begin], ends[last + spec.width - 1]
+            at = np.full(len(text), -1, np.int64)
+            big = np.flatnonzero(large)
+            if len(big):
+                n = begin[big] + spec.width - spec.gram + 1 - last[big]
+                where = common.ragged(last[big], n)
+                whose = np.repeat(np.arange(len(big)), n)
+                hit = common.span_hashes(codes, where, where + spec.gram).view(np.int64) == anchor[big][whose]
+                own, head = np.unique(whose[hit], return_index=True)
+                at[big[own]] = where[hit][head] - begin[big[own]]
+            step = max(1, (16 << 20) // max(1, int((b - a).max())))
+            for s in range(0, len(text), step):
+                p = slice(s, s + step)
+                x, y = a[p], b[p]
+                payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
+                mark = pa.nulls(len(x), pa.binary())
+                if large[p].any():
+                    mark = pa.array([hashlib.blake2b(v, digest_size=16).digest() if g else None for v, g in zip(payload.to_pylist(), large[p].tolist(), strict=True)], pa.binary())
+                take = pa.array(text[p])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[p]), rows.column(0).take(take), rows.column(1).take(take), pa.array(lo[p].astype(np.int32)), payload, pa.array(at[p].astype(np.int32)), mark], names=names)
+
+    return joined.mapInArrow(run, "anchor long, key long, tag long, lo int, payload binary, at int, name binary")
+
+
+def compare(spec: Spec, group: np.ndarray, key: np.ndarray, place: np.ndarray, times: np.ndarray, payload: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(row, start, end, key, place) of complete groups: what goes of each row's run. Equal runs are compared once."""
+    order = np.lexsort((place, key))
     seen: dict[bytes, int] = {}
     variant = np.fromiter((seen.setdefault(payload[k], len(seen)) for k in order.tolist()), np.int64, len(order))
     distinct = list(seen)
+    _, head = np.unique(variant, return_index=True)  # of each different run the earliest row
+    of = np.empty(len(order), np.int64)
+    of[order] = variant
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
     codes, _, _, first = units(spec, np.frombuffer(b"".join(distinct), np.uint8), np.concatenate(([0], np.cumsum(lengths))))
-    windows = np.diff(first) - spec.width + 1
-    at = np.concatenate(([0], np.cumsum(windows)))
-    group = np.zeros(len(distinct), np.int64)
-    group[variant] = anchor[order]
-    _, which, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    several = sizes[which] > 1  # groups with one distinct run need no order
-    label = np.arange(at[-1])
-    if several.any():
-        v = np.flatnonzero(several)
-        n = np.diff(first)[v]
-        part = codes[common.ragged(first[:-1][v], n)]
-        begins = common.ragged(np.cumsum(n) - n, windows[v])
-        label[common.ragged(at[:-1][v], windows[v])] = at[-1] + spec.classes(part, spec.width, begins)
-    _, label = np.unique(label, return_inverse=True)
-    if spec.keep == "none":
-        times = np.bincount(variant, minlength=len(distinct))
-        many = np.bincount(label, np.repeat(times, windows)) >= 2
-        v, s, e = stretches(many[label], at)
-        per = np.bincount(v, minlength=len(distinct))
-        begin = np.cumsum(per) - per
-        rows = np.repeat(np.arange(len(order)), per[variant])
-        pick = common.ragged(begin[variant], per[variant])
-        row = order[rows]
-        return row, lo[row] + s[pick], lo[row] + e[pick] + spec.width
-    n = windows[variant]
-    every = label[common.ragged(at[:-1][variant], n)]
-    owner = np.repeat(np.arange(len(order)), n)
-    _, place, back = np.unique(every, return_index=True, return_inverse=True)
-    head = place[back]
-    flagged = key[order][owner[head]] < key[order][owner] if spec.keep == "smaller" else head < np.arange(len(every))
-    o, s, e = stretches(flagged, np.concatenate(([0], np.cumsum(n))))
-    row = order[o]
-    return row, lo[row] + s, lo[row] + e + spec.width
+    count = np.bincount(of, times, len(distinct)).astype(np.int64)
+    _, which, sizes = np.unique(group[order[head]], return_inverse=True, return_counts=True)
+    use = np.flatnonzero((sizes[which] > 1) | (count > 1))  # a run alone in its group holds no window twice
+    if not len(use):
+        return (np.zeros(0, np.int64),) * 5
+    n = np.diff(first)[use]
+    part = Group(codes[common.ragged(first[:-1][use], n)], np.concatenate(([0], np.cumsum(n))), key[order[head[use]]], place[order[head[use]]], count[use])
+    v, start, end, k, p = spec.solve(part, spec.width)
+    found = np.argsort(use[v], kind="stable")
+    v, start, end, k, p = use[v][found], start[found], end[found], k[found], p[found]
+    per = np.bincount(v, minlength=len(distinct))
+    row = np.repeat(np.arange(len(of)), per[of])
+    pick = common.ragged((np.cumsum(per) - per)[of], per[of])
+    return row, start[pick], end[pick], k[pick], p[pick]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
+    """Complete groups of a partition that is sorted by group, about BLOCK_BYTES at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            held.append(whole.slice(at, 1000))
+            size += held[-1].nbytes
+            if size < BLOCK_BYTES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            names = table.column(group).to_numpy()
+            cut = int(np.searchsorted(names, names[-1]))  # rows of the last group wait for the rest of it
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+            else:
+                held = table.to_batches()
+            size = sum(b.nbytes for b in held)
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def solved(rows: DataFrame, spec: Spec) -> DataFrame:
+    """(key, tag, start, end) from groups that are small as they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, "anchor"):
+            col = lambda k: table.column(k).to_numpy()
+            key, lo = col("key"), col("lo").astype(np.int64)
+            row, start, end, k, p = compare(spec, col("anchor"), key, lo, np.ones(len(key), np.int64), table.column("payload").to_pylist())
+            go = (key[row] > k) | ((key[row] == k) & (lo[row] > p))
+            row, start, end = row[go], start[go] + lo[row[go]], end[go] + lo[row[go]]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key).take(take), pa.array(col("tag")).take(take), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "tag", "start", "end"])
 
-def stretches(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, first, last) of each stretch of True, with places counted from the start of its part."""
-    if not len(flags):
-        return (np.zeros(0, np.int64),) * 3
-    edge = np.zeros(len(flags) + 1, bool)
-    edge[bounds] = True
-    on, off = flags.copy(), flags.copy()
-    on[1:] &= ~flags[:-1] | edge[1:-1]
-    off[:-1] &= ~flags[1:] | edge[1:-1]
-    a, b = np.flatnonzero(on), np.flatnonzero(off)
-    part = np.searchsorted(bounds, a, "right") - 1
-    return part, a - bounds[part], b - bounds[part]
+    return rows.select("anchor", "key", "tag", "lo", "payload").repartition(common.shuffles(rows.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, tag long, start int, end int")
+
+
+def judged(pieces: DataFrame, spec: Spec) -> DataFrame:
+    """(name, start, end, key, place): what goes of each piece's occurrences beyond (key, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, "part"):
+            col = lambda k: table.column(k).to_numpy()
+            row, start, end, k, p = compare(spec, col("part"), col("key"), col("place").astype(np.int64), col("times"), table.column("payload").to_pylist())
+            yield pa.RecordBatch.from_arrays([table.column("name").combine_chunks().take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(k), pa.array(p)], names=["name", "start", "end", "key", "place"])
 
+    return pieces.select("part", "name", "payload", "times", "key", "place").repartition(common.shuffles(pieces.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "name binary, start int, end int, key long, place long")
 
-def cold(rows: DataFrame, spec: Spec) -> DataFrame:
-    """(key, tag, start, end) from groups that are small enough for one task."""
 
-    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        col = lambda k: table.column(k).to_numpy()
-        row, start, end = compare(spec, col("key"), col("lo").astype(np.int64), col("anchor"), table.column("payload").to_pylist())
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(col("key")).take(take), pa.array(col("tag")).take(take), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "tag", "start", "end"])
+def split(pieces: DataFrame, spec: Spec, cell: int) -> DataFrame:
+    """Pieces cut where the distance of a window's start from the anchor passes a multiple of `cell`, with the piece
+    that each comes from (whole) and its place in that (shift). Their groups are named by the text that all windows of such
+    distances share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                held.append(batch)
-                size += batch.nbytes
-                if size < BLOCK_BYTES:
-                    continue
-                table = pa.Table.from_batches(held).combine_chunks()
-                anchor = table.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchor, anchor[-1]))  # rows of the last group wait for the rest of it
-                if cut:
-                    yield solved(table.slice(0, cut).to_batches())
-                    held = table.slice(cut).to_batches()
-                    size = sum(b.nbytes for b in held)
-        if held and sum(b.num_rows for b in held):
-            yield solved(held)
-
-    return rows.mapInArrow(run, "key long, tag long, start int, end int")
+        for rows in common.merged(batches, 2000, 1 << 20):
+            blob = rows.column(1)
+            sizes = np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1])
+            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            data = np.frombuffer(b"".join(blob.to_pylist()), np.uint8)
+            codes, starts, ends, first = units(spec, data, offsets)
+            at = rows.column(2).to_numpy().astype(np.int64)
+            n = np.diff(first) - spec.width + 1
+            row, window = np.repeat(np.arange(len(n)), n), common.ragged(np.zeros(len(n), np.int64), n)
+            distance = at[row] - window
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (distance[1:] // cell != distance[:-1] // cell)
+            head = np.flatnonzero(new)
+            row, lo, last = row[head], window[head], window[np.append(head[1:], len(window)) - 1]
+            low = distance[head] // cell * cell
+            high = np.minimum(low + cell, spec.width - spec.gram + 1)  # windows of this cell start `low` to `high` - 1 units before
+            centre = first[row] + at[row]
+            part = common.mix(common.span_hashes(codes, centre - low, centre - high + 1 + spec.width) ^ common.mix((low * 4096 + cell).astype(np.uint64)))
+            x, y = starts[first[row] + lo], ends[first[row] + last + spec.width - 1]
+            payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
+            here = at[row] - lo
+            names = [hashlib.blake2b(v, digest_size=16, salt=b"%d.%d" % (cell, h)).digest() for v, h in zip(payload.to_pylist(), here.tolist(), strict=True)]
+            take = pa.array(row)
+            place = rows.column(5).to_numpy()[row] + np.where(rows.column(5).to_numpy()[row] == NO_PLACE, 0, lo)
+            out = [pa.array(part.view(np.int64)), payload, pa.array(here.astype(np.int32)), pa.array(names, pa.binary()), rows.column(3).take(take), rows.column(4).take(take), pa.array(place), rows.column(6).take(take), pa.array(lo.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, names=["part", "payload", "at", "name", "times", "key", "place", "whole", "shift"])
+
+    sent = pieces.select("part", "payload", "at", "times", "key", "place", "name")
+    return sent.mapInArrow(run, "part long, payload binary, at int, name binary, times long, key long, place long, whole binary, shift int")
+
+
+def large(rows: DataFrame, spec: Spec) -> DataFrame:
+    """(key, tag, start, end) from groups of many runs."""
+    least = F.min(F.struct("key", F.col("lo").cast("long").alias("place")))
+    groups = ["anchor", "payload", "at", "name"]
+    if spec.other_key:  # places don't matter, and a plain minimum is cheaper
+        joined = rows.groupBy(*groups).agg(F.count("*").alias("times"), F.min("key").alias("key")).withColumn("place", F.lit(NO_PLACE).cast("long"))
+    else:
+        joined = rows.groupBy(*groups).agg(F.count("*").alias("times"), least.alias("m")).select(*groups, "times", "m.key", "m.place")
+    pieces = common.stage(joined.withColumnRenamed("anchor", "part"), "pieces")
+    cell, layers, found = spec.width - spec.gram + 1, [], []
+    while True:
+        sizes = pieces.groupBy("part").agg(F.sum(F.length("payload")).alias("bytes"), F.count("*").alias("n"))
+        over = common.stage(sizes.where(f"n > 1 and bytes > {GROUP_BYTES}").select("part"), "over")
+        if cell == 1 or over.isEmpty():
+            found.append(judged(pieces, spec))
+            break
+        found.append(judged(pieces.join(over, "part", "left_anti"), spec))
+        cell = max(1, -(-cell // SPLIT))
+        cut = common.stage(split(pieces.join(over, "part", "left_semi"), spec, cell), "cut")
+        layers.append(cut.select("name", "whole", "shift"))
+        names = ["part", "payload", "at", "name"]
+        pieces = common.stage(cut.groupBy(*names).agg(F.sum("times").alias("times"), F.min(F.struct("key", "place")).alias("m")).select(*names, "times", "m.key", "m.place"), "pieces")
+    got = found.pop()
+    for layer, above in zip(layers[::-1], found[::-1], strict=True):  # back to the pieces that were cut
+        moved = common.stage(got, "judged").join(layer, "name")
+        at = F.when(F.col("place") == NO_PLACE, F.col("place")).otherwise(F.col("place") - F.col("shift"))
+        got = above.union(moved.select(F.col("whole").alias("name"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "key", at.alias("place")))
+    listed = got.groupBy("name").agg(F.collect_list(F.struct("start", "end", F.col("key").alias("bound"), "place")).alias("found"))
+    met = rows.select("name", "key", "tag", "lo").join(common.stage(listed, "judged"), "name")  # a plain table, so that a skewed side can be split
+    beyond = lambda r: (F.col("key") > r["bound"]) | ((F.col("key") == r["bound"]) & (F.col("lo") > r["place"]))
+    spans = F.transform(F.filter("found", beyond), lambda r: F.struct((r["start"] + F.col("lo")).alias("start"), (r["end"] + F.col("lo")).alias("end")))
+    return met.select("key", "tag", spans.alias("spans")).where("size(spans) > 0")
 
 
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
     """(key, tag, spans): for each text with something to remove, its removed ranges in units, unordered.
 
     docs: key, tag (a hash of the text, so that rows of one key stay apart), text."""
-    spark = docs.sparkSession
     every = common.stage(anchors(docs, spec), "anchors")
     counts = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = counts.where("least < most" if spec.keep == "smaller" else "n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
-    lists = every.join(shared, "anchor").groupBy("key", "tag").agg(F.collect_set(F.struct("anchor", "lo", "hi", "hot")).alias("runs"))
+    shared = counts.where("least < most" if spec.other_key else "n > 1").select("anchor", (F.col("n") > GROUP_RUNS).alias("large"))
+    shared = common.stage(shared, "shared")  # a plain table, so that a skewed side of the join can be split
+    lists = every.join(shared, "anchor").groupBy("key", "tag").agg(F.collect_set(F.struct("anchor", "lo", "hi", "large")).alias("runs"))
     rows = common.stage(carried(docs.join(lists, ["key", "tag"]).select("key", "tag", "text", "runs"), spec), "runs")
     common.discard(every)
-    n = common.shuffles(spark)
-    few = rows.where("payload is not null").drop("places").repartition(n, "anchor").sortWithinPartitions("anchor")
     pair = F.array(F.struct("start", "end"))
-    found = cold(few, spec).select("key", "tag", pair.alias("spans"))
-    many = rows.where("payload is null").select("anchor", "key", "tag", "lo", "places")
-    total = many.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("key", "lo")).alias("head"))
-    total = common.stage(total.where("n > 1"), "windows")  # a plain table, so that a skewed side of the join can be split
-    met = many.join(total, "anchor")
-    if spec.keep == "smaller":
-        met = met.where("head.key < key")
-    elif spec.keep == "first":  # the first place stays
-        met = met.withColumn("places", F.when(F.col("head") == F.struct("key", "lo"), F.slice("places", F.lit(2), F.size("places"))).otherwise(F.col("places")))
-    hot = met.select("key", "tag", F.transform("places", lambda x: F.struct(x.alias("start"), (x + spec.width).alias("end"))).alias("spans"))
-    return found.union(hot).groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = solved(rows.where("name is null"), spec).select("key", "tag", pair.alias("spans"))
+    many = rows.where("name is not null")
+    if not many.isEmpty():
+        out = out.union(large(many, spec))
+    return out.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -265,6 +366,20 @@ def removed(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("key", key)
 
 
+def stretches(flags: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first, last) of each stretch of True, with places counted from the start of its part."""
+    if not len(flags):
+        return (np.zeros(0, np.int64),) * 3
+    edge = np.zeros(len(flags) + 1, bool)
+    edge[bounds] = True
+    on, off = flags.copy(), flags.copy()
+    on[1:] &= ~flags[:-1] | edge[1:-1]
+    off[:-1] &= ~flags[1:] | edge[1:-1]
+    a, b = np.flatnonzero(on), np.flatnonzero(off)
+    part = np.searchsorted(bounds, a, "right") - 1
+    return part, a - bounds[part], b - bounds[part]
+
+
 def cut(joined: DataFrame, spec: Spec) -> DataFrame:
     schema = joined.select("key", "tag").schema
     for name, kind in (("n_units", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tesserae.llm import ann, bpe, common, components, jaccard, lines, lm, packing, quality, repeats, substring, suffix, topk
+from tesserae.llm import ann, bpe, common, components, jaccard, lines, lm, packing, quality, repeats, substring, suffix, suffix_array, topk
 
 DOC = "doc_id long, text string"
 EDGE = [(5001, None), (5002, ""), (5003, "  \n"), (5004, "a b"), (5005, "A B"), (5006, "a b c"), (5007, "x" * 3000), (5008, "é" * 900), (5009, "a b c " * 200), (5010, ("q " * 10 + "\n") * 30)]
@@ -354,20 +354,36 @@ def test_lines_query_takes_short_lines(spark, tmp_path):
     assert got == {1: (0, brute.sha(docs[0][1])), 2: (3, brute.sha("\nown")), 3: (0, brute.sha(docs[2][1])), 4: (1, brute.sha(""))}
 
 
-@pytest.mark.parametrize("hot", [256, 10])
-def test_substring(docs, corpus, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+#: Runs with one anchor that are joined first, and bytes beyond which their group is split: from one round to all four.
+SIZES = [(256, 1 << 20), (3, 1 << 20), (3, 3000), (2, 0)]
+
+
+@pytest.mark.parametrize("runs,size", SIZES)
+def test_substring(docs, corpus, runs, size, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_RUNS", runs)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring.dedup(docs).collect()}
     assert got == brute.word_windows(corpus)
 
 
-@pytest.mark.parametrize("hot,keep", [(256, "none"), (10, "none"), (256, "first"), (10, "first")])
-def test_suffix(docs, corpus, hot, keep, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("runs,size,keep", [(*x, keep) for x in SIZES for keep in ("none", "first")][:-1])
+def test_suffix(docs, corpus, runs, size, keep, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_RUNS", runs)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix.dedup(docs, keep=keep).collect()}
     assert got == brute.byte_windows(corpus, keep=keep)
 
 
+def test_windows_of_long_words(spark):
+    """Words of the Thue-Morse kind, which some hashes confuse, and copies of a passage of long words."""
+    rng = random.Random(4)
+    long = [" ".join("".join(rng.choices("abc", k=100)) for _ in range(60)) for _ in range(2)]
+    a, b = (" ".join("".join(t) + str(i) for i in range(60)) for t in thue_morse("x", "y", 64))
+    rows = [(1, long[0]), (2, "own " + long[0] + " end"), (3, long[1]), (4, a), (5, b), (6, b.replace(" ", "\n  "))]
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring.dedup(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute.word_windows(rows) and got[6][1] == 60 and got[5][1] == 0
+
+
 def test_repeats_edges(spark):
     text = " ".join(f"w{i}" for i in range(120))
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], DOC).withColumn("spans", F.lit(1)).withColumn("tag", F.lit(1))
@@ -379,11 +395,51 @@ def test_repeats_edges(spark):
     assert substring.rewritten(rows).columns == rows.columns
 
 
-def test_suffix_ranks():
-    data = np.frombuffer(b"abracadabra" * 3, np.uint8)
-    rank = suffix.suffix_ranks(data, 10)
-    order = np.argsort(rank, kind="stable")
-    parts = [data[i : i + 10].tobytes() for i in order]
-    assert parts == sorted(parts)
-    earlier, later = suffix.previous_factors(rank, np.arange(len(rank)))
-    assert earlier[11] == 0 and later[0] == 11 and earlier[0] == -1
+def some_runs(kind, seed):
+    rng = random.Random(seed)
+    runs = [rng.choices([0, 1, 2] if kind == np.uint8 else [5, 9], k=rng.randint(1, 60)) for _ in range(rng.randint(1, 8))]
+    runs += [runs[0][:30] + [7] + runs[0]] * (seed % 2)
+    codes, first = np.array(sum(runs, []), kind), np.cumsum([0, *map(len, runs)])
+    run, at = suffix_array.window_starts(first, 5)
+    return codes, first, run, at, [tuple(codes[a : first[r + 1]].tolist()) for r, a in zip(run, at)]
+
+
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_suffix_arrays(kind):
+    """Order, common prefixes, previous factors and maximal repeats against their definitions."""
+    for seed in range(25):
+        codes, first, run, at, text = some_runs(kind, seed)
+        s = suffix_array.Suffixes(codes, first, at)
+        order = sorted(range(len(text)), key=lambda i: (text[i], i))
+        assert s.order.tolist() == order
+        assert s.lcp.tolist() == [shared(text[order[i - 1]], text[order[i]]) if i else 0 for i in range(len(order))]
+        place = np.array(random.Random(seed).sample(range(1000), len(at)), np.int64)
+        row, length = suffix.previous_factors(s.lcp, place[s.order], 5)
+        got = dict(zip(s.order[row].tolist(), length.tolist()))
+        for i in range(len(at)):
+            best = max((shared(text[i], text[j]) for j in range(len(at)) if place[j] < place[i]), default=0)
+            assert got.get(i, 0) == (best if best >= 5 else 0)
+        want = set()
+        for depth in range(5, 62):
+            groups = {}
+            for r, a in zip(run.tolist(), at.tolist()):
+                if a + depth <= first[r + 1]:
+                    groups.setdefault(tuple(codes[a : a + depth].tolist()), []).append((r, a))
+            for g in groups.values():
+                after = {codes[a + depth] if a + depth < first[r + 1] else -1 - r for r, a in g}
+                before = {codes[a - 1] if a > first[r] else -1 - r for r, a in g}
+                if len(g) > 1 and len(after) > 1 and len(before) > 1:
+                    want.add((depth, tuple(sorted(a for _, a in g))))
+        assert {(d, tuple(p)) for d, _, p in substring.maximal_repeats(codes, first, 5)} == want
+
+
+def test_deep_nodes_and_nearest_smaller():
+    begin, end, depth = suffix_array.deep_nodes(np.array([0, 7, 5, 2, 6, 1, 9, 9]), 5)
+    assert list(zip(begin.tolist(), end.tolist(), depth.tolist())) == [(0, 3, 5), (3, 5, 6), (5, 8, 9)]
+    x = np.array([4, 2, 2, 5, 1, 3])
+    before, after = suffix_array.nearest_smaller(x, np.zeros(6, np.int64), np.full(6, 6))
+    assert before.tolist() == [-1, -1, -1, 2, -1, 4] and after.tolist() == [1, 4, 4, 4, -1, -1]
