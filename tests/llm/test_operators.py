@@ -1,7 +1,9 @@
 """The ten operators against brute force, the public tokenizer, exact round trips and held-out labels."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +76,18 @@ def points():
     return x
 
 
-def test_top_k(spark, points):
+@pytest.mark.parametrize("per_pivot", [60, 10_000])
+def test_top_k(spark, points, per_pivot, monkeypatch):
     bad = [(900, None), (901, [float("nan")] * 16), (902, [None] * 16), (903, [1.0] * 3), (950, [0.0] * 16), (904, [float("inf")] * 16)]
     rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(points)] + bad)
-    old = topk.BLOCK, topk.QUERY_BLOCK
-    topk.BLOCK, topk.QUERY_BLOCK = 128, 8
-    try:
-        got = {}
-        for r in topk.top_k(rows.where("vec_id % 50 = 0"), rows).orderBy("query_id", "rank").collect():
-            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    finally:
-        topk.BLOCK, topk.QUERY_BLOCK = old
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", per_pivot)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(topk, "VISITORS", 5)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rows = rows.withColumn("cell", F.lit("x")).withColumn("worst", F.lit(1))
+    got = {}
+    for r in topk.top_k(rows.where("vec_id % 50 = 0"), rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     z, ids = np.floor(256.0 * np.vstack((points.astype(float), np.zeros((1, 16))))), np.array([*range(700), 950])
     assert set(got) == {*range(0, 700, 50), 950}
     for q in got:
@@ -107,10 +110,56 @@ def test_cover_tree_invariants(points):
         todo += n.children
 
 
+def exact_best(rows, q, k=5):
+    """(vec_id, score) by integers of any size."""
+    z = {}
+    for i, v in rows:
+        z.setdefault(i, []).append([math.floor(Fraction(x) * 256) for x in v])
+    found = [(-sum(a * b for a, b in zip(z[q][0], v)), i) for i, vs in z.items() if i != q for v in vs if len(v) == len(z[q][0])]
+    return [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in sorted(found)[:k]]
+
+
 def test_top_k_of_large_numbers(spark):
-    rows = vectors(spark, [(0, [1e16, 1.0]), (1, [1e16, 2.0]), (2, [1e16, 3.0])])
-    got = topk.top_k(rows.where("vec_id = 0"), rows).orderBy("rank").collect()
-    assert [r["vec_id"] for r in got] == [2, 1] or [r["vec_id"] for r in got] == [1, 2]
+    """Beyond 2^52, beyond 64 bits, and beyond what a double times 256 can hold."""
+    groups = [
+        [(0, [1e16, 1.0]), (1, [1e16, 2.0]), (2, [1e16, 3.0]), (3, [-1e16, 3.0])],
+        [(0, [1.0, 1.0]), (1, [1e17, -2e17]), (2, [-5.0, 0.5]), (3, [1e17, -1e17]), (4, [0.25, 0.5])],
+        [(0, [1e307, -3.0]), (1, [1e307, 2.0]), (2, [-1e307, 2.0]), (3, [1.5, 2.0]), (4, [1e308, 1.0])],
+    ]
+    for group in groups:
+        rows = spark.createDataFrame(group, "vec_id long, embedding array<double>")
+        for q, _ in group:
+            got = [(r["vec_id"], r["score"]) for r in topk.top_k(rows.where(F.col("vec_id") == q), rows).orderBy("rank").collect()]
+            assert got == exact_best(group, q)
+    values = [0, 5, -5, 10**400, -(10**400), 2**63, -7, 99, 100]
+    assert sorted(values) == sorted(values, key=topk.sortable) and [topk.unsorted(topk.sortable(v)) for v in values] == values
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Ids that come several times, with equal and with other vectors, and a very common vector."""
+    rows = [(i % 7, [1.0, 0.5]) for i in range(40)] + [(3, [2.0, 2.0])] * 3 + [(50 + i, [1.0, 0.5]) for i in range(9)] + [(90, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for q in (0, 50, 90):
+        got = [(r["vec_id"], r["score"]) for r in topk.top_k(frame.where(F.col("vec_id") == q).limit(1), frame).orderBy("rank").collect()]
+        assert got == exact_best(rows, q)
+    assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0 and topk.top_k(frame.limit(1), frame.limit(0)).count() == 0
+
+
+def test_dual_trees_prune_clusters():
+    """Of clustered vectors the trees compare a small share; of evenly spread ones, all pairs."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 12_000)] + 0.02 * rng.normal(size=(12_000, 64))
+    ids, shares = np.arange(len(x)), []
+    for rows in (x, rng.normal(size=x.shape)):
+        side = topk.Side(rows, ids, 256.0)
+        s = topk.Search(rows[::50], ids[::50], [None] * 240, side, 5, 256.0)
+        s.run()
+        shares.append(s.compared / (240 * 12_000))
+        z = np.floor(rows * 256)
+        for j in range(0, 240, 17):
+            score = z @ z[50 * j]
+            assert s.top_ids[j].tolist() == [i for i in np.lexsort((ids, -score)).tolist() if i != 50 * j][:5]
+    assert shares[0] < 0.25 and shares[1] > 0.9
 
 
 def test_neighbours_recall_and_scores(spark, points):
