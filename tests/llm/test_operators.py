@@ -178,16 +178,34 @@ def test_neighbours_recall_and_scores(spark, points):
     assert ann.neighbours(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def recall(x, ids, found, k=10):
+    """Share of the true nearest among those found; found: query id -> ids."""
+    right = 0
+    for q, got in found.items():
+        d = ((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1)
+        right += len(set(got) & set([i for i in ids[np.lexsort((ids, d))].tolist() if i != q][:k]))
+    return right / (k * len(found))
+
+
 def test_neighbours_recall_on_fixture(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
     got = ann.query(spark, sf).toPandas()
-    right = 0
-    for q, part in got.groupby("query_id"):
-        d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
-        right += len(set(part["vec_id"]) & {ids[k] for k in np.lexsort((ids, d)) if ids[k] != q and True} & set([ids[k] for k in np.lexsort((ids, d)) if ids[k] != q][:10]))
-    assert right >= 0.9 * len(got)
+    assert recall(x, ids, got.groupby("query_id")["vec_id"].agg(list).to_dict()) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_codes_decide_what_is_compared(spread):
+    """Of the rows scanned few are compared, and still most of the nearest are found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))[rng.integers(0, 300, 12_000)] + spread * rng.normal(size=(12_000, 64))
+    index, ids = ann.fit(x, len(x)), np.arange(len(x))
+    cell = ann.nearest(x, index.centroids)
+    block = ann.Block(index, ids, cell, index.encode(x, cell), x)
+    every = [np.arange(len(index.centroids))] * 60
+    found = dict(zip(ids[::200].tolist(), (near.tolist() for near, _ in block.search(x[::200], ids[::200], every, 10)), strict=True))
+    assert recall(x, ids, found) >= 0.9 and block.compared <= 0.02 * block.scanned
 
 
 @pytest.mark.parametrize("noise", [0.002, 0.02])
