@@ -6,11 +6,15 @@ takes its own l: a longer prefix brings more postings but asks for more matches,
 cost of reading postings and verifying candidates; a pair must match min(l, l') times to be verified.
 
 How the work is dealt out:
-- document frequencies: shingles travel packed, four bytes each, to buckets by hash; equal sets travel as one entity.
+- document frequencies: shingles travel packed, four bytes each, to buckets by hash, of which there are as many as the
+  shingles need; equal sets travel as one entity. What is left of a shingle's hash (its bucket and four bytes) only
+  proposes: shingles that meet by chance make frequencies and prefixes a little larger, never smaller.
 - shingles of one entity alone match nothing and are not kept; an entity with fewer than t n shared ones has no partner.
 - first links: each entity is verified against a few hubs per posting list (the most central entity and some at
   random), which settles large groups of near copies in linear work; then all candidate pairs between different
   components are verified, so no link that changes a component is lost.
+- verification reads the texts of entities that have candidates again and compares their sets by 64-bit hashes of whole
+  shingles, pair by pair: two shingles of one pair would have to collide, not two of the corpus.
 
 Null or empty texts have no shingles and link with nothing; a text under k words is one shingle. Rows of equal key are
 separate. A null key gives a null component and joins nothing. Ties in frequency are broken by hash. Very long texts
@@ -31,6 +35,8 @@ from tesserae.llm.components import components
 
 WORDS = 5
 PERCENT = 80
+#: Bytes of shingles in a bucket.
+BUCKET_BYTES = 16 << 20
 #: Longest extension of a prefix that is considered.
 MOST_MATCHES = 6
 #: Cost of verifying a candidate, in postings read.
@@ -218,7 +224,8 @@ def choose(n: int, freq: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def entities(back: DataFrame, homes: int, percent: int) -> DataFrame:
-    """(e1, e2, n, l, prefix, central, tokens): entities that can have a partner, shingles rare first."""
+    """(e1, e2, n, s, l, central, tokens): entities that can have a partner; s of their n shingles occur elsewhere too, and
+    tokens is the prefix of these, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in by_bucket(batches):
@@ -243,12 +250,12 @@ def entities(back: DataFrame, homes: int, percent: int) -> DataFrame:
                 t, f = tokens[begin[j] : begin[j] + total[j]], df[begin[j] : begin[j] + total[j]]
                 o = np.lexsort((t, f))
                 l, prefix = choose(int(size[j]), f[o], percent)  # noqa: E741
-                out.append((int(a[starts[j]]), int(b[starts[j]]), int(size[j]), l, prefix, float(np.log(f).sum() / size[j]), t[o].tobytes()))
+                out.append((int(a[starts[j]]), int(b[starts[j]]), int(size[j]), len(t), l, float(np.log(f).sum() / size[j]), t[o[:prefix]].tobytes()))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["e1", "e2", "n", "l", "prefix", "central", "tokens"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["e1", "e2", "n", "s", "l", "central", "tokens"])
 
-    return back.repartition(homes, "home").sortWithinPartitions("home").mapInArrow(run, "e1 long, e2 long, n long, l int, prefix int, central double, tokens binary")
+    return back.repartition(homes, "home").sortWithinPartitions("home").mapInArrow(run, "e1 long, e2 long, n long, s long, l int, central double, tokens binary")
 
 
 def postings(ents: DataFrame) -> DataFrame:
@@ -257,28 +264,43 @@ def postings(ents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids, n, l, prefix, central = (rows.column(k).to_numpy() for k in range(5))  # noqa: E741
-            blobs = rows.column(5)
-            known = np.array([len(x.as_py()) // 8 for x in blobs], np.int64)
-            tokens = [np.frombuffer(x.as_py(), np.int64, int(p)) for x, p in zip(blobs, prefix, strict=True)]
+            ids, n, known, l, central = (rows.column(k).to_numpy() for k in range(5))  # noqa: E741
+            blobs = rows.column(5).to_pylist()
+            prefix = np.array([len(x) // 8 for x in blobs], np.int64)
             rep = np.repeat(np.arange(len(ids)), prefix)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            at = n[rep] - known[rep] + common.ragged(np.zeros(len(ids), np.int64), prefix.astype(np.int64))
+            flat = np.frombuffer(b"".join(blobs), np.int64)
+            at = n[rep] - known[rep] + common.ragged(np.zeros(len(ids), np.int64), prefix)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids[rep]), pa.array(n[rep]), pa.array(known[rep]), pa.array(at), pa.array(l[rep]), pa.array(central[rep])], names=["token", "id", "n", "s", "at", "l", "central"])
 
-    return ents.select("id", "n", "l", "prefix", "central", "tokens").mapInArrow(run, "token long, id long, n long, s long, at long, l int, central double")
+    return ents.select("id", "n", "s", "l", "central", "tokens").mapInArrow(run, "token long, id long, n long, s long, at long, l int, central double")
 
 
-def verified(pairs: DataFrame, ents: DataFrame, percent: int) -> DataFrame:
+def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): of each entity (id, e1, e2) all its shingles' hashes, sorted. docs: key, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.chunks(batches):
+            sets = shingle_sets(data, offsets, k)
+            a, b = fingerprints(sets)
+            own = np.flatnonzero((a == rows.column(2).to_numpy()) & (b == rows.column(3).to_numpy()))  # not another row of that key
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], names=["id", "hashes"])
+
+    found = docs.join(named.select(F.col("id").alias("key"), "e1", "e2"), "key").select("key", "text", "e1", "e2")
+    return found.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that reach the similarity."""
-    side = ents.select("id", "n", "tokens")
-    both = pairs.join(side.toDF("u", "nu", "tu"), "u").join(side.toDF("v", "nv", "tv"), "v").select("u", "v", "nu", "nv", "tu", "tv")
+    both = pairs.join(sets.toDF("u", "tu"), "u").join(sets.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            nu, nv = rows.column(2).to_numpy(), rows.column(3).to_numpy()
-            same = np.fromiter((len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)) for x, y in zip(rows.column(4), rows.column(5), strict=True)), np.int64, rows.num_rows)
-            yield rows.select([0, 1]).filter(pa.array(100 * same >= percent * (nu + nv - same)))
+            keep = []
+            for x, y in zip(rows.column(2), rows.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * same >= percent * (len(a) + len(b) - same))
+            yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "u long, v long")
 
@@ -294,8 +316,9 @@ def possible(percent: int) -> str:
     return f"least(su, sv) >= {o} and at_u < nu - {o} + least(lu, lv) and at_v < nv - {o} + least(lu, lv) and {around} >= {o}"
 
 
-def links(ents: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over entities (id, n, l, prefix, central, tokens) with any link."""
+def links(ents: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) over entities (id, e1, e2, n, s, l, central, tokens) with any link."""
+    sets = common.stage(whole_sets(docs, ents, k), "sets")
     lists = common.stage(postings(ents), "postings")
     one = lambda x: F.struct(x["id"].alias("hub"), x["n"].alias("nv"), x["s"].alias("sv"))
     draws = [one(F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), "id", "n", "s"))) for j in range(RANDOM_HUBS)]
@@ -303,7 +326,7 @@ def links(ents: DataFrame, percent: int) -> DataFrame:
     fits = F.filter("hubs", lambda h: (F.col("id") != h["hub"]) & ((100 + percent) * F.least(F.col("s"), h["sv"]) >= percent * (F.col("n") + h["nv"])))
     met = lists.join(hubs, "token").select("id", F.explode(F.transform(fits, lambda h: h["hub"])).alias("hub"))
     first = common.stage(met.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct(), "pairs")
-    found = common.stage(verified(first, ents, percent), "links")
+    found = common.stage(verified(first, sets, percent), "links")
     groups = common.stage(components(found), "components")
     # what is left: candidates between components, each pair with a member outside its list's main component
     named = lists.join(groups.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -316,7 +339,7 @@ def links(ents: DataFrame, percent: int) -> DataFrame:
     pairs = apart.join(other, "token").where(f"cu != cv and (cv = main or u < v) and {possible(percent)}")
     pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("times"), F.min(F.least("lu", "lv")).alias("l"))
     rest = pairs.where("times >= l").select("u", "v").join(first, ["u", "v"], "left_anti")
-    more = common.stage(verified(rest, ents, percent), "links")
+    more = common.stage(verified(rest, sets, percent), "links")
     if more.isEmpty():
         return groups
     return components(more.union(groups.toDF("u", "v")))
@@ -327,13 +350,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     spark = docs.sparkSession
     common.prepare(spark)
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    buckets = max(64, 2 * common.shuffles(spark))
     sets = common.stage(profiles(base, k), "profiles")
+    shingles = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    buckets = max(64, 2 * common.shuffles(spark), -(-4 * shingles // BUCKET_BYTES))
+    known = base.where("key is not null")
     classes = sets.where("n > 0 and key is not null").groupBy("e1", "e2", "n").agg(F.min("key").alias("id"))
-    back = shared(dealt(base.where("key is not null"), k, buckets), buckets, buckets)
+    back = shared(dealt(known, k, buckets), buckets, buckets)
     found = common.stage(entities(back, buckets, percent), "entities")
-    ents = common.stage(found.join(classes, ["e1", "e2", "n"]).select("id", "n", "l", "prefix", "central", "tokens"), "entities")
-    groups = links(ents, percent)
+    ents = common.stage(found.join(classes, ["e1", "e2", "n"]).select("id", "e1", "e2", "n", "s", "l", "central", "tokens"), "entities")
+    groups = links(ents, known, k, percent)
     named = classes.join(groups.toDF("id", "component"), "id", "left").select("e1", "e2", "n", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "classes")
     joined = sets.join(named, ["e1", "e2", "n"], "left")
