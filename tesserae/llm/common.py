@@ -175,6 +175,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Spans(data).of(starts, ends)
 
 
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """31-bit hashes of stretches of bytes that have nothing in common with span_hashes()."""
+    n = len(data)
+    if len(_tables.get("second_up", ())) < n + 1:
+        t, many = _powers(n + 1), max(n + 1, CHUNK_BYTES + 4096)
+        for key, of in (("second_up", "prime_up"), ("second_down", "prime_down")):  # the powers of the square of a base
+            twice = np.arange(many) * 2
+            low = t[of][np.minimum(twice, len(t[of]) - 1)]
+            out = low.copy()
+            far = np.flatnonzero(twice >= len(t[of]))
+            out[far] = _reduced(t[of][twice[far] // 2] * t[of][twice[far] // 2])
+            _tables[key] = out.astype(np.uint32)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_reduced((data.astype(np.uint64) + np.uint64(77)) * _tables["second_up"][:n]), out=sums[1:])
+    return _reduced(_reduced(sums[ends] - sums[starts]) * _tables["second_down"][starts])
+
+
 def unequal(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of the pairs of stretches of these lengths differ."""
     odd = a[ragged(a_starts, lengths)] != b[ragged(b_starts, lengths)]

@@ -11,7 +11,7 @@ variants meet by key; the place of the deletion and the line's length are part o
 the unit at the same place, and a variant of n - 1 units counts only against the whole of a line of n - 1 units. Per key
 only the earliest line is kept, so no pairs arise however many lines are alike. Then the edit distance of each line to the
 line that it met is verified on their words. Where keys met by chance, all lines of those keys are joined again by
-cryptographic digests of their variants. Lines are identified by such digests too.
+cryptographic digests of their variants. Exact repeats are told by 128 bits, of two unlike hashes.
 
 Before that, lines are screened: within one edit, the first or the second half of a line is equal, so only lines that
 share a half with another line emit variants. Lines of fewer than `min_words` words always stay (by default only those
@@ -23,7 +23,7 @@ other than key and text are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,15 @@ def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray, bits: int = 64)
     return common.mix(h ^ common.mix(np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))) >> np.uint64(64 - bits)
 
 
+def identities(data: np.ndarray, offsets: np.ndarray, spans: common.Spans, first: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """128 bits that identify the words of some lines: a hash of their units, and one of other hashes of their words."""
+    starts, ends, _ = common.word_spans(data, offsets)
+    begin, _, _, _ = line_places(data, offsets)
+    words = common.Spans(common.second_hashes(data, starts, ends))
+    at = np.searchsorted(starts, np.append(begin, len(data)))
+    return np.stack((spans.of(first[use], first[use + 1]), words.of(at[use], at[use + 1])), 1)
+
+
 def words_of(line: bytes) -> bytes:
     return b" ".join(line.split())
 
@@ -106,13 +115,11 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
             words, first, text, number, count = line_units(data, offsets, fuzzy, fuzzy_chars is not None)
-            begin, end, _, _ = line_places(data, offsets)
             n = np.diff(first)
             use = np.flatnonzero(count >= min_words)
-            blob = data.tobytes()
-            names = [digest(words_of(blob[x:y])) for x, y in zip(begin[use].tolist(), end[use].tolist(), strict=True)]
-            a, b, n, text, number, count = first[:-1][use], first[1:][use], n[use], text[use], number[use], count[use]
             spans = common.Spans(words)
+            names = identities(data, offsets, spans, first, use)
+            a, b, n, text, number, count = first[:-1][use], first[1:][use], n[use], text[use], number[use], count[use]
             longer = np.flatnonzero(count >= fuzzy if fuzzy_chars is None else (count >= fuzzy) | (n >= fuzzy_chars))
             x, y, m = a[longer], b[longer], n[longer]
             parts = []
@@ -124,26 +131,24 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | N
             sizes[1:][longer] = 4
             halves = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(names, pa.binary()), halves], names=["key", "tag", "line", "hash", "halves"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), common.binaries(names.ravel(), 2 * np.arange(len(names) + 1)), halves], names=["key", "tag", "line", "hash", "halves"])
 
     return docs.mapInArrow(run, "key long, tag long, line int, hash binary, halves array<long>")
 
 
-def listed(rows: pa.RecordBatch, text: np.ndarray, begin: np.ndarray, end: np.ndarray, blob: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """(place, hash, words) of the lines that a column of lists (line, hash) names. A row of equal key and other text
-    has other lines."""
+def listed(rows: pa.RecordBatch, text: np.ndarray, name_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """(place, hash) of the lines that a column of lists (line, hash) names. A row of equal key and other text has other
+    lines."""
     lists = rows.column(1)
     per = lists.value_lengths().fill_null(0).to_numpy()
     flat = lists.flatten()
     doc, line = np.repeat(np.arange(len(per)), per), flat.field(0).to_numpy()
     starts = np.searchsorted(text, np.arange(len(per) + 1))
-    at = starts[doc] + line
-    found = []
-    for k, there, name in zip(at.tolist(), (line < np.diff(starts)[doc]).tolist(), flat.field(1).to_pylist(), strict=True):
-        if there and digest(own := words_of(blob[begin[k] : end[k]])) == name:
-            found.append((k, name, own))
-    places, names, words = zip(*found, strict=True) if found else ((), (), ())
-    return np.array(places, np.int64), list(names), list(words)
+    there = np.flatnonzero(line < np.diff(starts)[doc])
+    at = (starts[doc] + line)[there]
+    names = flat.field(1).take(pa.array(there))
+    same = (np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(-1, 2) == name_of(at)).all(1)
+    return at[same], names.filter(pa.array(same))
 
 
 def variants(joined: DataFrame, fuzzy: int, by_chars: bool, strong: bool = False) -> DataFrame:
@@ -155,14 +160,16 @@ def variants(joined: DataFrame, fuzzy: int, by_chars: bool, strong: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, _, _, _ = line_units(data, offsets, fuzzy, by_chars)
-            begin, end, text, _ = line_places(data, offsets)
-            at, name, own = listed(rows, text, begin, end, data.tobytes())
+            words, first, text, _, _ = line_units(data, offsets, fuzzy, by_chars)
+            spans = common.Spans(words)
+            at, name = listed(rows, text, lambda use: identities(data, offsets, spans, first, use))  # noqa: B023
             if strong:
-                yield from (digests(x, y, fuzzy) for x, y in zip(name, own, strict=True))
+                begin, end, _, _ = line_places(data, offsets)
+                blob = data.tobytes()
+                yield from (digests(x, words_of(blob[begin[k] : end[k]]), fuzzy) for k, x in zip(at.tolist(), name.to_pylist(), strict=True))
                 continue
-            a, b, spans = first[at], first[at + 1], common.Spans(words)
-            n, name = b - a, pa.array(name, pa.binary())
+            a, b = first[at], first[at + 1]
+            n = b - a
             for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // STEP_UNITS)) + 1):
                 yield one_step(spans, a[part], b[part], n[part], name.take(pa.array(part)))
 
@@ -230,22 +237,25 @@ def of_text(heads: DataFrame, hashes: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(broadcast_if_small(lists, "32 + 20 * size(lines)"), ["key", "tag"]).select("text", "lines")
 
 
-def spelt(joined: DataFrame) -> DataFrame:
+def spelt(joined: DataFrame, fuzzy: int, by_chars: bool) -> DataFrame:
     """(hash, words) of listed lines. joined: text, lines(line, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            begin, end, text, _ = line_places(data, offsets)
-            _, names, words = listed(rows, text, begin, end, data.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(words, pa.binary())], names=["hash", "words"])
+            units, first, text, _, _ = line_units(data, offsets, fuzzy, by_chars)
+            at, names = listed(rows, text, lambda use: identities(data, offsets, common.Spans(units), first, use))  # noqa: B023
+            begin, end, _, _ = line_places(data, offsets)
+            blob = data.tobytes()
+            words = [words_of(blob[begin[k] : end[k]]) for k in at.tolist()]
+            yield pa.RecordBatch.from_arrays([names, pa.array(words, pa.binary())], names=["hash", "words"])
 
     return joined.mapInArrow(run, "hash binary, words binary")
 
 
-def verified(met: DataFrame, heads: DataFrame, base: DataFrame, fuzzy: int) -> DataFrame:
+def verified(met: DataFrame, heads: DataFrame, base: DataFrame, fuzzy: int, by_chars: bool) -> DataFrame:
     """claims() with `right`: whether the two lines are one edit apart, judged by their words."""
     both = met.select("hash").union(met.select(F.col("by").alias("hash"))).distinct()
-    words = common.stage(spelt(of_text(heads, both, base)).dropDuplicates(["hash"]), "words")
+    words = common.stage(spelt(of_text(heads, both, base), fuzzy, by_chars).dropDuplicates(["hash"]), "words")
     pairs = met.join(words, "hash").join(words.toDF("by", "other"), "by").select("hash", "place", "by", "words", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +280,7 @@ def dropped(base: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None
     able = halves.join(met, "half").select("hash").distinct()
     keys = common.stage(variants(of_text(heads, able, base), fuzzy, fuzzy_chars is not None), "variants")
     found = common.stage(claims(keys, heads.select("hash", "key", "line")), "claims")
-    checked = verified(found, heads, base, fuzzy)
+    checked = verified(found, heads, base, fuzzy, fuzzy_chars is not None)
     wrong = checked.where("not right").select("hash")
     near = checked.where("right").select("hash", F.col("place").alias("first"))
     if not wrong.isEmpty():  # keys that met by chance: their lines once more, by digests
@@ -292,12 +302,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     others = [c for c in docs.columns if c not in (key, text)]
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     gone = common.stage(dropped(base, min_words, fuzzy_words, fuzzy_chars), "gone")
-    named = _joined(docs, broadcast_if_small(gone, "32 + 4 * size(gone)"), key, text)
-    parts = F.split(F.col(text), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    named = _joined(docs, broadcast_if_small(gone, "32 + 4 * size(gone)"), key, text).withColumn("__lines", F.split(F.col(text), "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     out = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)
-    return named.select(key, out.alias(text), *others, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")).select(*docs.columns, "n_lines", "n_removed")
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    return named.select(key, out.alias(text), *others, count.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")).select(*docs.columns, "n_lines", "n_removed")
 
 
 def _joined(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
