@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import as_col, collapse, strip
+from tesserae.functions.text import as_col, clean_dashes, collapse, strip
 
 # Phrases that signal a refusal or a disclaimer, matched in lower case in assistant turns.
 REFUSALS = (
@@ -73,51 +73,60 @@ def opens_with_denial(content: Column | str) -> Column:
 CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 
 
-def loose_json(s: str) -> str:
-    """[S20] JSON as it is, and a Python literal as JSON; other text stays as it is."""
+def loose_value(s: str):
+    """[S20] What JSON, or else a Python literal, stands for."""
     try:
-        json.loads(s)
+        return json.loads(s)
     except ValueError:
-        try:
-            return json.dumps(ast.literal_eval(s), ensure_ascii=False)
-        except Exception:
-            pass
-    return s
+        return ast.literal_eval(s)
+
+
+def loose_json(s: str | None) -> str | None:
+    """[S20] JSON as it is, and a Python literal as JSON; null for other text."""
+    try:
+        return json.dumps(loose_value(s), ensure_ascii=False)
+    except Exception:
+        return None
 
 
 def loose(c: Column) -> Column:
     """[S20]"""
-    return F.udf(lambda s: None if s is None else loose_json(s), "string", useArrow=True)(c)
+    return F.udf(loose_json, "string", useArrow=True)(c)
 
 
-def with_json_calls(messages: Column) -> Column:
-    """[S20] The messages, with the calls in assistant turns that are Python literals as JSON."""
+def plain_call(body: str) -> str:
+    """A call as name and arguments only, in that order; the arguments keep theirs."""
+    call = loose_value(body)
+    return "<tool_call>\n" + json.dumps({"name": call["name"], "arguments": call.get("arguments", {})}, ensure_ascii=False) + "\n</tool_call>"
+
+
+def plain_calls(roles: list | None, contents: list) -> list | None:
+    """The contents with the calls of assistant turns rewritten; null where a call can't be read."""
+    if roles is None:
+        return None
+    out = []
+    for role, content in zip(roles, contents, strict=True):
+        parts = re.split(CALL, content) if role == "assistant" and content else [content]
+        try:
+            out.append("".join(plain_call(x) if j % 2 else x for j, x in enumerate(parts)) if len(parts) > 1 else content)
+        except Exception:
+            out.append(None)
+    return out
 
-    def redone(roles, contents):
-        if roles is None:
-            return None
-        fix = lambda m: f"<tool_call>{loose_json(m[1])}</tool_call>"
-        return [re.sub(CALL, fix, c) if r == "assistant" and c else c for r, c in zip(roles, contents, strict=True)]
 
-    contents = F.udf(redone, "array<string>", useArrow=True)(F.transform(messages, lambda m: m["role"]), F.transform(messages, lambda m: m["content"]))
-    return F.zip_with(messages, contents, lambda m, c: F.struct(m["role"].alias("role"), c.alias("content")))
+def with_plain_calls(messages: Column) -> Column:
+    """(role, content, call_ok): the stripped messages with calls rewritten, as they are where one can't be read."""
+    m = F.transform(messages, lambda x: F.struct(x["role"].alias("role"), F.coalesce(strip(x["content"]), F.lit("")).alias("content")))
+    new = F.udf(plain_calls, "array<string>", useArrow=True)(F.transform(m, lambda x: x["role"]), F.transform(m, lambda x: x["content"]))
+    return F.zip_with(m, new, lambda x, c: F.struct(x["role"].alias("role"), F.coalesce(c, x["content"]).alias("content"), c.isNotNull().alias("call_ok")))
 
 
 def tool_rewritten(messages: Column | str, system: Column) -> Column:
     """The kept conversation: tool prompt first, each call as name and arguments only, tool results as flagged user
     turns. For rows whose tool_drop_reason is null."""
-    def one(s: Column) -> Column:
-        v = F.try_parse_json(s)
-        args = F.coalesce(F.to_json(F.try_variant_get(v, "$.arguments", "variant")), F.lit("{}"))
-        return F.concat(F.lit('<tool_call>\n{"name": '), F.to_json(F.try_variant_get(v, "$.name", "variant")), F.lit(', "arguments": '), args, F.lit("}\n</tool_call>"))
-
-    def redone(c: Column) -> Column:
-        texts, calls = F.split(c, CALL), F.regexp_extract_all(c, F.lit(CALL), F.lit(1))
-        return F.array_join(F.zip_with(texts, F.transform(calls, one), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-
-    turn = lambda m: F.struct(F.when(m["role"] == "tool", "user").otherwise(m["role"]).alias("role"), F.when(m["role"] == "assistant", redone(strip(m["content"]))).otherwise(strip(m["content"])).alias("content"), (m["role"] == "tool").alias("tool"))
+    turn = lambda m: F.struct(F.when(m["role"] == "tool", "user").otherwise(m["role"]).alias("role"), m["content"].alias("content"), (m["role"] == "tool").alias("tool"))
     first = F.struct(F.lit("system").alias("role"), system.alias("content"), F.lit(False).alias("tool"))
-    return F.concat(F.array(first), F.transform(with_json_calls(trimmed_to_reply(messages)), turn))
+    return F.concat(F.array(first), F.transform(with_plain_calls(trimmed_to_reply(messages)), turn))
 
 
 def cleaned(role: Column, content: Column) -> Column:
@@ -178,17 +187,24 @@ def trimmed_to_reply(messages: Column | str) -> Column:
 
 
 def tool_drop_reason(xml: Column | str, messages: Column | str) -> Column:
-    """Why a tool conversation is dropped, or null. Calls and tools are JSON or Python literals."""
-    tools = loose(tools_of(xml))
-    m = with_json_calls(trimmed_to_reply(messages))
-    ok = F.forall(F.transform(m, lambda x, i: (strip(x["content"]) != "") & F.when(i == 0, x["role"] == "user").when(i % 2 == 1, x["role"] == "assistant").otherwise(x["role"].isin("user", "tool"))), lambda x: F.coalesce(x, F.lit(False)))
-    calls = lambda c: F.regexp_extract_all(c, F.lit(CALL), F.lit(1))
-    bad_call = lambda c: F.exists(calls(c), lambda s: F.coalesce(F.try_variant_get(F.try_parse_json(s), "$.name", "string"), F.lit("")) == "")
-    late = F.transform(m, lambda x: F.when(x["role"] != "assistant", None).when(bad_call(x["content"]), "drop_bad_call_json").when(refuses(x["content"]), "drop_refusal").when(foreign(x["content"]), "drop_foreign_identity"))
-    first = F.try_element_at(F.filter(late, lambda x: x.isNotNull()), F.lit(1))
-    listed = F.schema_of_variant(F.try_parse_json(tools)).startswith("ARRAY") & (F.try_variant_get(F.try_parse_json(tools), "$[0]", "variant").isNotNull())
-    thinks = F.exists(m, lambda x: F.contains(x["content"], F.lit("<think>")))
-    return F.when(tools.isNull(), "drop_no_tools").when(~F.coalesce(listed, F.lit(False)), "drop_bad_tools_json").when((F.size(m) < 2) | ~ok, "drop_structure").when(first.isNotNull(), first).when(thinks, "drop_structure")
+    """Why a tool conversation is dropped, or null: its tools, then the first reason by message, then its whole.
+
+    Calls and tools are JSON or Python literals."""
+    block = tools_of(xml)
+    tools = F.try_parse_json(loose(block))
+    listed = F.coalesce(F.schema_of_variant(tools).startswith("ARRAY") & F.try_variant_get(tools, "$[0]", "variant").isNotNull(), F.lit(False))
+    m = with_plain_calls(trimmed_to_reply(messages))
+    place = lambda x, i: F.when(i == 0, x["role"] == "user").when(i % 2 == 1, x["role"] == "assistant").otherwise(x["role"].isin("user", "tool"))
+    own = lambda x: F.when(~x["call_ok"], "drop_bad_call_json").when(refuses(x["content"]), "drop_refusal").when(foreign(x["content"]), "drop_foreign_identity")
+    reason = lambda x, i: F.when((x["content"] == "") | ~F.coalesce(place(x, i), F.lit(False)), "drop_structure").when(x["role"] == "assistant", own(x))
+    first = F.try_element_at(F.filter(F.transform(m, reason), lambda x: x.isNotNull()), F.lit(1))
+    short = (F.size(m) < 2) | F.exists(m, lambda x: F.contains(x["content"], F.lit("<think>")))
+    return F.when(block.isNull(), "drop_no_tools").when(~listed, "drop_bad_tools_json").when(first.isNotNull(), first).when(short, "drop_structure")
+
+
+def answers_directly(messages: Column | str) -> Column:
+    """Whether a kept conversation offers tools and calls none; such are counted, not dropped."""
+    return ~F.exists(as_col(messages), lambda m: (m["role"] == "assistant") & F.contains(m["content"], F.lit("<tool_call>")))
 
 
 #: [F11] Which role may follow which in generated conversations.
@@ -227,6 +243,57 @@ def valid_generated(messages: Column | str, names: Column | None = None) -> Colu
     return F.coalesce((F.size(m) >= 2) & (F.try_element_at(m, F.lit(1))["role"] == "user") & (F.try_element_at(m, F.lit(-1))["role"] == "assistant") & fine, F.lit(False))
 
 
+def generated(messages: Column | str, names: Column | None = None) -> Column:
+    """A generated conversation, cleaned, or null if it isn't valid: dashes become commas but in tool turns."""
+    clean = F.transform(as_col(messages), lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "tool", strip(m["content"])).otherwise(clean_dashes(m["content"])).alias("content")))
+    return F.when(valid_generated(clean, names), clean)
+
+
+#: System prompts that ask for thinking where a conversation has none of its own.
+THINK_SYSTEMS = ("/think", SYSTEM + " /think", "Think step by step before answering. /think")
+
+
+def thinking_row(messages: Column | str, own: Column, drawn: Column) -> Column:
+    """[F8] A conversation that thinks_well, under a system prompt that asks for it: its own, unless that names another
+    assistant, else one of THINK_SYSTEMS by a number drawn from 0 to 1. User turns lose a trailing switch."""
+    mine = F.coalesce(strip(own), F.lit(""))
+    system = F.when((mine != "") & ~foreign(mine), F.concat(mine, F.lit(" /think"))).otherwise(F.get(F.array(*map(F.lit, THINK_SYSTEMS)), F.floor(drawn * len(THINK_SYSTEMS)).cast("int")))
+    bare = lambda c: strip(F.regexp_replace(c, r"\s*/(no_)?think\s*$", ""))
+    said = lambda c: F.when(bare(c) == "", c).otherwise(bare(c))
+    turns = F.transform(F.filter(as_col(messages), lambda m: m["role"] != "system"), lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "user", said(strip(m["content"]))).otherwise(strip(m["content"])).alias("content")))
+    return F.when(thinks_well(messages), F.concat(F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))), turns))
+
+
+#: [F9] Tokens of an example at most, and what a system prompt counts for.
+MOST_TOKENS, SYSTEM_TOKENS = 8192, 20
+
+
+def fits(tokens: Column | str, added: Column | None = None, most: int = MOST_TOKENS) -> Column:
+    """Whether an example is short enough, also with a system prompt if one was added."""
+    return as_col(tokens) + (F.when(added, SYSTEM_TOKENS).otherwise(0) if added is not None else 0) <= most
+
+
+def opening_turns(messages: Column | str, least: int = 2, most: int = 4) -> Column:
+    """The first user messages of a conversation that has at least two, else null."""
+    asked = F.transform(F.filter(as_col(messages), lambda m: m["role"] == "user"), lambda m: m["content"])
+    return F.when(F.size(asked) >= least, F.slice(asked, 1, most))
+
+
+# An opening that denies, also in the middle of a first sentence, and what a model says of itself.
+DENY = r"(?iU)^\W*(no\b|nope\b|i can't|i can’t|i cannot|i'm not\b|i’m not\b|i am not\b|i don't have|sorry\b|i'm sorry)|^[^.\n]{0,80}, but i can't|\bI(?:'|’)m not (a|an|your) \w+"
+SPEC = r"(?i)language model|1\.6 billion"
+
+
+def denies(c: Column | str) -> Column:
+    """[F13]"""
+    return as_col(c).rlike(DENY)
+
+
+def names_itself(c: Column | str, names: str = SPEC) -> Column:
+    """Whether a reply recites what the model is; a project adds its own names."""
+    return as_col(c).rlike(names)
+
+
 def first_user(messages: Column | str) -> Column:
     """[S13] The key of the first user message."""
     return collapse(F.try_element_at(F.filter(as_col(messages), lambda m: m["role"] == "user"), F.lit(1))["content"])
@@ -241,6 +308,13 @@ def rendered(messages: Column | str) -> Column:
     return F.array_join(F.transform(as_col(messages), lambda m, i: F.concat(F.when(i == 0, BEGIN).otherwise(""), header(m["role"]), F.trim(m["content"]), F.lit(END))), "")
 
 
+def rendered_flagged(messages: Column | str, generate: bool = False) -> Column:
+    """[S14] The same for messages (role, content, tool): a flagged turn's header is `tool`. generate: with the header of
+    a reply to come, for inference."""
+    whole = F.array_join(F.transform(as_col(messages), lambda m, i: F.concat(F.when(i == 0, BEGIN).otherwise(""), header(F.when(F.coalesce(m["tool"], F.lit(False)), "tool").otherwise(m["role"])), F.trim(m["content"]), F.lit(END))), "")
+    return F.concat(whole, header(F.lit("assistant"))) if generate else whole
+
+
 def packed_history(messages: Column | str) -> Column:
     """[S15] All messages as one user message, with literal turn tokens between them."""
     return F.array_join(F.transform(as_col(messages), lambda m, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit(END), header(m["role"]))), m["content"])), "")

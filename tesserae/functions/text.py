@@ -158,6 +158,12 @@ def occurrences(text: Column | str, part: Column | str) -> Column:
     return F.when(F.length(p) == 0, 0).otherwise((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.greatest(F.length(p), F.lit(1))).cast("long")
 
 
+def clear_winner(options: Column, margin: int = 2) -> Column:
+    """[S24] Of options (word, n) the word of most occurrences, if it leads the next one by a margin; else null."""
+    best = F.sort_array(F.transform(options, lambda o: F.struct(o["n"].alias("n"), o["word"].alias("word"))), False)
+    return F.when(F.get(best, F.lit(0))["n"] - F.get(best, F.lit(1))["n"] >= margin, F.get(best, F.lit(0))["word"])
+
+
 def tokens(c: Column | str) -> Column:
     """[S18] Default token count: runs of ASCII letters and digits, and single other signs."""
     return F.size(F.regexp_extract_all(as_col(c), F.lit("([A-Za-z0-9]+|[^A-Za-z0-9 \\t\\n\\r\\f\\x0B])"), F.lit(1))).cast("long")

@@ -42,18 +42,40 @@ def quiz_additions(quiz: DataFrame, caps: dict[str, int], correct_cap: int, seed
     return second.withColumn("set", chosen).select(*quiz.columns, "set")
 
 
-def alternatives(quiz: DataFrame) -> DataFrame:
+#: Places of the ring that are tried by join before the rest is searched in full.
+TRIES = 12
+
+
+def alternatives(quiz: DataFrame, q: str = "q") -> DataFrame:
     """[J9] For each row (q, prop, gold, answer) a wrong answer: the gold of another row with its property, equal to none
-    of its own and not in its answer; the one of least hash. Golds are first made distinct by property."""
-    pool = quiz.select("prop", F.col("gold").alias("alt")).where("alt is not null").distinct()
-    pool = pool.groupBy("prop").agg(F.array_sort(F.collect_list(F.struct(F.md5("alt").alias("h"), "alt"))).alias("pool"))
-    fit = F.filter("pool", lambda a: (F.lower(a["alt"]) != F.lower("gold")) & ~F.contains(F.lower("answer"), F.lower(a["alt"])))
-    return quiz.join(pool, "prop", "left").withColumn("alt", F.try_element_at(fit, F.lit(1))["alt"]).drop("pool")
+    of its own and not in its answer; the one of least hash. Golds are first made distinct by property.
+
+    Golds of a property are ranked by hash, and rows are joined to the first TRIES of them, so no row carries the whole
+    pool. The few rows that none of these fits search all the ranks beyond, once."""
+    pool = quiz.select("prop", F.col("gold").alias("alt")).where("alt is not null").distinct().withColumn("h", F.md5("alt"))
+    pool = sampling.ranked(pool, ["prop"], "h", "place").drop("h")
+    fit = (F.lower("alt") != F.lower("gold")) & ~F.contains(F.lower("answer"), F.lower("alt"))
+    best = F.min(F.when(fit, F.struct("place", "alt")))["alt"].alias("alt")
+    near = quiz.join(pool.where(F.col("place") <= TRIES), "prop", "left")
+    first = near.groupBy(*quiz.columns).agg(best)
+    rest = first.where("alt is null").drop("alt").join(pool.where(F.col("place") > TRIES), "prop", "left")
+    return first.where("alt is not null").unionByName(rest.groupBy(*quiz.columns).agg(best))
 
 
 def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """[W1, J6, IO9] The last row of each group."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    """[W1, J6, IO9] The row of each group that is last by order, by partial aggregation."""
+    last = rows.groupBy(by).agg(F.max_by(F.struct(*rows.columns), order).alias("__last"))
+    return last.select(*(F.col(f"__last.`{c}`").alias(c) for c in rows.columns))
+
+
+def judged_rollouts(rollouts: DataFrame, judgments: DataFrame, at: str) -> DataFrame:
+    """[J6] Rollouts (id, ...) with their last judgment (id, at, ...)."""
+    return rollouts.join(latest(judgments, "id", at).drop(at), "id")
+
+
+def without_lines(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows (source, line_no, ...) but for listed lines of their sources."""
+    return rows.join(dropped.select("source", "line_no").distinct(), ["source", "line_no"], "left_anti")
 
 
 def turn_report(turns: DataFrame) -> DataFrame:

@@ -45,6 +45,18 @@ def capped(df: DataFrame, by: list[str], key: str, seed: str, cap: Column | int)
     return out.where(F.col("__rank") <= cap).drop("__draw", "__rank")
 
 
+def quotas(df: DataFrame, by: str, key: str, seed: str, wanted: dict[str, int]) -> DataFrame:
+    """[L7] Of each source as many rows as the mix wants, drawn at random; none of a source that it doesn't name."""
+    cap = F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv))[F.col(by)]
+    return capped(df.where(F.col(by).isin(*wanted)), [by], key, seed, cap)
+
+
+def accepted_first(df: DataFrame, shard: str, order: str, key: str, seed: str, share: float, take: int) -> DataFrame:
+    """[L8] Of each shard the first `take` rows among those that a draw accepts."""
+    some = df.where(uniform(key, seed) <= share).withColumn("__n", F.row_number().over(Window.partitionBy(shard).orderBy(order)))
+    return some.where(F.col("__n") <= take).drop("__n")
+
+
 def oversampled(df: DataFrame, by: list[str], key: str, seed: str, k: int, keep: Column) -> DataFrame:
     """[L1] int(1.15 k) rows of each group at random, of these the ones to keep, of these the first k."""
     first = capped(df, by, key, seed, int(k * 1.15)).where(keep)
@@ -87,6 +99,28 @@ def bucket_choice(u: Column, edges: list[tuple[float, str]]) -> Column:
     return out.otherwise(edges[-1][1])
 
 
+# Documents drawn from each corpus by training stage (weights pick documents, not tokens).
+MIXES = {
+    "1": {"nemotron-cc": 0.35, "ultra-fineweb": 0.35, "starcoder": 0.16, "finemath": 0.06, "open-web-math": 0.04, "megamath": 0.04},
+    "2": {"nemotron-cc": 0.30, "ultra-fineweb": 0.30, "starcoder": 0.22, "finemath": 0.07, "open-web-math": 0.05, "megamath": 0.06},
+    "3": {"nemotron-cc": 0.27, "ultra-fineweb": 0.28, "starcoder": 0.22, "finemath": 0.05, "open-web-math": 0.03, "megamath": 0.05, "openthoughts": 0.012, "nemotron-math": 0.14},
+}
+# Fixed value: tokens of a training step.
+STEP_TOKENS = 2_097_152
+
+
+def stage_mixes(spark, mixes: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """[M1] (stage, source, weight, share): the mixes, and each weight's share of its stage."""
+    rows = [(stage, name, float(w)) for stage, mix in (mixes or MIXES).items() for name, w in mix.items()]
+    every = Window.partitionBy("stage")  # a row a source
+    return spark.createDataFrame(rows, "stage string, source string, weight double").withColumn("share", F.col("weight") / F.sum("weight").over(every))
+
+
+def tokens_seen(steps: Column | str) -> Column:
+    """[M4]"""
+    return (F.col(steps) if isinstance(steps, str) else steps).cast("long") * STEP_TOKENS
+
+
 def mixture(sources: DataFrame) -> DataFrame:
     """[M2, M3] From (source, share, avg_tokens): the document weight that gives the wanted share of tokens, and the
     share of tokens that taking documents by `share` would give instead."""

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
-from tesserae.operators import sampling
+from tesserae.operators import report, sampling
 
 # Words too frequent to ask about.
-STOP = ("that", "this", "with", "from", "have", "were", "they", "their", "which", "there", "been", "would", "will", "them", "then", "than", "when", "what", "into", "more", "some", "such", "also")
+STOP = tuple(
+    """that this with from have were been their which would there could other these those about after before where when what while into
+    than then them they your some such only also more most over under between through because during each both being within without against
+    using used based shown figure table data results study studies however therefore thus given since among upon very much many said will shall
+    must might should like just even still well made make does done here have having were""".split()
+)
 TOPICS = ("harbour", "orchard", "lighthouse", "foundry", "archive", "greenhouse", "quarry", "mill")
 
 
@@ -52,6 +57,56 @@ def planted(docs: DataFrame, key: str, seed: str, least: int = 12) -> DataFrame:
     return some.select(key, F.array_join(doc, "\n\n").alias("text"), F.concat(F.lit("What is the access code of the "), topic, F.lit("?")).alias("question"), code.alias("answer"), place.alias("place"))
 
 
+# Bounds of a finished document.
+LEAST_TOKENS, LEAST_PARAGRAPHS, LEAST_QUESTIONS, MOST_TOKENS = 3000, 10, 4, 60_000
+#: Ways to write a question and its answer.
+STYLES = ("Question: {q}\nAnswer: {a}", "Q: {q}\nA: {a}", "{lead}: {a}")
+
+
+def long_enough(body: Column, least: int = LEAST_TOKENS, paragraphs: int = LEAST_PARAGRAPHS) -> Column:
+    """Whether a document's paragraphs are a body to ask about."""
+    return (F.size(body) >= paragraphs) & (F.aggregate(F.transform(body, tx.tokens), F.lit(0).cast("long"), lambda a, n: a + n + 2) >= least)
+
+
+def chained(docs: DataFrame, key: str, seed: str, hops: int = 3, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> DataFrame:
+    """[S28, F19] (key, text, tokens, n_questions): documents with a chain of definitions planted in order, as many notes with
+    a code, and questions on all of them, rendered in one of three styles. Documents whose body, questions or whole
+    don't pass their bounds are left out."""
+    pick = lambda salt, n: F.floor(sampling.uniform(key, f"{seed}-{salt}") * n).cast("int")
+    p = tx.paragraphs("text")
+    rows = docs.withColumn("p", p).where(long_enough(F.col("p"), least) & (F.size("p") > hops + 1))
+    value = F.lpad(pick("value", 90_000).cast("string"), 5, "1")
+    names = [F.concat(F.get(F.array(*map(F.lit, TOPICS)), pick(f"name{j}", len(TOPICS))), F.lit(f"-{j}-"), pick(f"mark{j}", 90).cast("string")) for j in range(hops)]
+    codes = [F.lpad(pick(f"code{j}", 1_000_000).cast("string"), 6, "0") for j in range(hops)]
+    rows = rows.withColumn("value", value).withColumn("names", F.array(*names)).withColumn("codes", F.array(*codes))
+    # hop j lies in the j-th part of the body, so the hops stay in order
+    place = [(F.floor((F.lit(j) + sampling.uniform(key, f"{seed}-place{j}")) * F.size("p") / hops)).cast("int") for j in range(hops)]
+    said = [F.concat(F.lit("Let "), F.get("names", F.lit(0)), F.lit(" be "), F.col("value"), F.lit("."))] + [F.concat(F.lit("Let "), F.get("names", F.lit(j)), F.lit(" be equal to "), F.get("names", F.lit(j - 1)), F.lit(".")) for j in range(1, hops)]
+    note = [F.concat(F.lit("For the record, the code of "), F.get("names", F.lit(j)), F.lit(" is "), F.get("codes", F.lit(j)), F.lit(".")) for j in range(hops)]
+    lines = F.array(*(F.struct(x.alias("place"), a.alias("a"), b.alias("b")) for x, a, b in zip(place, said, note, strict=True)))
+    rows = rows.withColumn("lines", lines)
+    before = F.flatten(F.transform("p", lambda x, i: F.concat(F.flatten(F.transform(F.filter("lines", lambda h: h["place"] == i), lambda h: F.array(h["a"], h["b"]))), F.array(x))))
+    rows = rows.withColumn("doc", F.array_join(before, "\n\n"))
+    ask = [(F.concat(F.lit("What is the value of "), F.get("names", F.lit(j)), F.lit("?")), F.concat(F.lit("The value of "), F.get("names", F.lit(j)), F.lit(" is")), F.col("value")) for j in range(hops)]
+    ask += [(F.concat(F.lit("What is the code of "), F.get("names", F.lit(j)), F.lit("?")), F.concat(F.lit("The code of "), F.get("names", F.lit(j)), F.lit(" is")), F.get("codes", F.lit(j))) for j in range(hops)]
+    style = F.get(F.array(*map(F.lit, STYLES)), pick("style", len(STYLES)))
+    block = lambda q, lead, a: F.replace(F.replace(F.replace(style, F.lit("{q}"), q), F.lit("{lead}"), lead), F.lit("{a}"), a)
+    out = rows.select(key, F.concat_ws("\n\n", "doc", *(block(*x) for x in ask)).alias("text"), F.lit(len(ask)).alias("n_questions"))
+    out = out.withColumn("tokens", tx.tokens("text"))
+    return out.where((F.col("n_questions") >= LEAST_QUESTIONS) & (F.col("tokens") <= most)).select(key, "text", "tokens", "n_questions")
+
+
+def manifest(stats: DataFrame, edges: list[int]) -> DataFrame:
+    """[A13] (metric, key, value) over finished documents (kind, tokens, n_questions, tasks, error): totals, means, documents
+    by kind and by half-open length, questions by task, and errors. tasks: an array of names."""
+    good = stats.where("error is null")
+    whole = stats.agg(F.count_if(F.col("error").isNull()).alias("records"), F.sum(F.when(F.col("error").isNull(), F.col("tokens"))).alias("total_tokens"), F.avg(F.when(F.col("error").isNull(), F.col("tokens"))).alias("avg_tokens"), F.max(F.when(F.col("error").isNull(), F.col("tokens"))).alias("max_tokens"), F.avg(F.when(F.col("error").isNull(), F.col("n_questions"))).alias("avg_questions"), F.count("error").alias("errors"))
+    names = ["records", "total_tokens", "avg_tokens", "max_tokens", "avg_questions", "errors"]
+    one = whole.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.lit("").alias("key"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
+    count = lambda metric, rows, c: rows.groupBy(c.alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit(metric).alias("metric"), "key", "value")
+    return one.union(count("by_kind", good, F.col("kind"))).union(count("length", good, report.half_open(F.col("tokens"), edges))).union(count("tasks", good.select(F.explode("tasks").alias("task")), F.col("task")))
+
+
 def fit_templates(rows: DataFrame, text: str, places: list[str]) -> DataFrame:
     """Distinct templates of 8 to 400 characters with each placeholder once and no stray braces."""
     c = F.col(text)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tesserae.functions import chat, text as tx
 from tesserae.operators import contamination as con
 from tesserae.operators import dialogue, noise, report, sampling, synth
+from tesserae.sources import benchmarks, io  # noqa: F401  benchmarks registers its recipes
 from tesserae.sources.io import remaining, table
 
 QUERIES = {}
@@ -67,7 +71,65 @@ def contam_summary(s, d):
 @query
 def contam_by_source(s, d):
     _, hit = audit(s, d)
-    return hit.join(docs(s, d).select(F.col("doc_id").alias("doc"), "source"), "doc").groupBy("source").agg(F.countDistinct("id").alias("items_hit"), F.count("*").alias("hits"))
+    return con.by_dataset(hit, docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("ds"))).select(F.col("ds").alias("source"), "items_hit", "hits")
+
+
+def benches(s, d):
+    """The benchmark's items as those of three."""
+    name = F.get(F.array(F.lit("gsm8k"), F.lit("mmlu"), F.lit(con.GENERIC)), (F.col("item_id") % 3).cast("int"))
+    return table(s, d, "benchmark").select(name.alias("bench"), F.col("item_id").alias("id"), "text")
+
+
+def scanned(s, d):
+    """(probes, texts, hits by text) of three benchmarks."""
+    probes = con.probe_table(benches(s, d), None)
+    rows = docs(s, d).select(F.col("doc_id").alias("doc"), "source", tx.norm("text").alias("norm"))
+    return probes, rows, con.hits(rows.select("doc", "norm"), probes)
+
+
+@query
+def contam_by_bench(s, d):
+    """[A3]"""
+    probes, rows, found = scanned(s, d)
+    return con.by_dataset(con.item_hits(found, probes), rows.select("doc", F.col("source").alias("ds")))
+
+
+@query
+def contam_examples(s, d):
+    """[A4, S4]"""
+    probes, rows, found = scanned(s, d)
+    out = con.examples(con.occurrences(rows, found), probes)
+    return out.select("bench", "rank", F.col("id").alias("item_id"), F.col("doc").alias("doc_id"), "ctx")
+
+
+@query
+def contam_hit_ids(s, d):
+    """[A4]"""
+    probes, _, found = scanned(s, d)
+    return con.hit_ids(con.item_hits(found, probes)).select("bench", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query
+def contam_occurrences(s, d):
+    """[A5, S4]"""
+    probes, rows, found = scanned(s, d)
+    return con.chat_overlap(con.occurrences(rows, found), probes, rows.select("doc", "source"))
+
+
+@query
+def overlap_counters(s, d):
+    """[F10, W7]"""
+    return con.overlap_counts(docs(s, d), con.probe_table(benches(s, d), None), "doc_id", "source", "text")
+
+
+@query
+def chat_overlap_lines(s, d):
+    """[A5, IO4, IO5] What a scan of line files reads and what it can't: every seventh line is cut off."""
+    line = F.to_json(F.struct("source", "doc_id"))
+    path = f"{io.shared_dir(s)}/lines-{uuid.uuid4().hex}"
+    docs(s, d).select(F.when(F.col("doc_id") % 7 == 0, F.substr(line, F.lit(1), F.length(line) - 4)).otherwise(line).alias("value")).write.text(path)
+    rows = io.read_jsonl(s, path, StructType([StructField("source", StringType()), StructField("doc_id", LongType())]))
+    return con.scanned(rows.withColumn("source", F.regexp_extract(F.coalesce("source", "_bad"), "src[0-9]+", 0)))
 
 
 @query
@@ -90,8 +152,13 @@ def decontaminate_docs(s, d):
 
 @query
 def accuracy_split(s, d):
-    logs = table(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("metric"))
-    return con.accuracy_split(logs, audit(s, d)[1].select(F.col("doc").alias("key")))
+    """[A6, J5] Of benchmark y only documents of 1,500 characters or more count as probed."""
+    bench = F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y").alias("bench")
+    model = F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model")
+    logs = table(s, d, "labels").select(bench, model, F.col("doc_id").alias("key"), F.col("quality").alias("metric"))
+    probed = docs(s, d).where("n_chars >= 1500 and doc_id % 2 = 1").select(bench, F.col("doc_id").alias("key"))
+    hit = audit(s, d)[1].withColumn("doc_id", F.col("doc")).select(bench, F.col("doc").alias("key"))
+    return con.accuracy_split(logs, hit, probed)
 
 
 @query
@@ -201,8 +268,10 @@ def token_count(s, d):
 
 @query
 def length_filter(s, d):
-    """[F9]"""
-    return docs(s, d).select("doc_id", tx.tokens("text").alias("n_tokens")).where("n_tokens <= 4096")
+    """Both bounds; the second again with a system prompt before a quarter of the texts."""
+    added = sampling.uniform("doc_id", "system") < 0.25
+    rows = docs(s, d).select("doc_id", tx.tokens("text").alias("n_tokens"), added.alias("added"))
+    return rows.select("doc_id", "n_tokens", (F.col("n_tokens") <= 4096).alias("fits_first"), chat.fits("n_tokens", F.col("added"), 1024).alias("fits_second"))
 
 
 @query
@@ -232,11 +301,14 @@ def planted_notes(s, d):
 
 
 def quiz(s, d):
-    """Documents as quiz rows: the gold is the fortieth word, the answer the first 300 characters."""
-    gold = F.try_element_at(F.split(tx.norm("text"), " "), F.lit(40))
-    kind = F.element_at(F.array(F.lit("attr"), F.lit("def"), F.lit("nq")), (F.col("doc_id") % 3 + 1).cast("int"))
-    answer = F.substring("text", 1, 300)
-    rows = docs(s, d).select(F.col("doc_id").alias("q"), kind.alias("kind"), gold.alias("gold"), answer.alias("answer"), F.col("lang").alias("prop"))
+    """Documents as quiz rows: the answer is the whole text, the gold its fortieth word, or for a quarter of them the next
+    document's, so that some answers are wrong."""
+    word = F.try_element_at(F.split(tx.norm("text"), " "), F.lit(40))
+    kind = F.get(F.array(F.lit("attr"), F.lit("def"), F.lit("nq")), F.pmod("q", F.lit(3)).cast("int"))
+    rows = docs(s, d).select(F.col("doc_id").alias("q"), word.alias("word"), F.col("text").alias("answer"), F.col("lang").alias("prop"))
+    after = rows.select((F.col("q") - 1).alias("q"), F.col("word").alias("next"))
+    gold = F.when(sampling.md5_mod(F.col("q").cast("string"), 4) == 0, F.coalesce("next", "word")).otherwise(F.col("word"))
+    rows = rows.join(after, "q", "left").select("q", kind.alias("kind"), gold.alias("gold"), "answer", "prop")
     return rows.withColumn("grade", tx.grade("answer", F.array(F.coalesce("gold", F.lit("")))))
 
 
@@ -259,8 +331,10 @@ def wrong_alternatives(s, d):
 
 @query
 def transition_matrix(s, d):
-    rows = quiz(s, d).select(F.col("grade").alias("before"), F.when(sampling.md5_mod(F.col("q").cast("string"), 3) == 0, "abstain").otherwise(F.col("grade")).alias("after"))
-    return report.transitions(rows, "before", "after")
+    """[A10, J8] Stored grades and those of a second run, which abstains on a third."""
+    before = quiz(s, d).select("q", "grade")
+    after = before.select("q", F.when(sampling.md5_mod(F.col("q").cast("string"), 3) == 0, "abstain").otherwise(F.col("grade")).alias("grade"))
+    return report.transitions(report.paired_grades(before, after, "q"), "before", "after")
 
 
 def judged_turns(s, d):
@@ -371,6 +445,14 @@ def typo_noise(s, d):
     return noise.noisy(rows, "key", "text", "typos", sampling.uniform("key", "typos") < 0.25)
 
 
+@query
+def typo_conversations(s, d):
+    """[S19] One user message of half of the conversations; those of every fifth come from a source to skip."""
+    source = F.when(F.col("conv_id") % 5 == 0, "xlam_traces").otherwise("general")
+    out = noise.noisy_conversations(turns(s, d), "conv_id", "turn", "role", "text", "slips", 0.5, source)
+    return out.select("conv_id", "turn", "text", "noised")
+
+
 @query
 def typo_eligible(s, d):
     return turns(s, d).where("role = 'user'").select("conv_id", "turn", noise.eligible("text").alias("fit"))
@@ -389,14 +471,16 @@ def resume_antijoin(s, d):
 
 @query
 def pushback_rates(s, d):
-    """[A11]"""
-    return turns(s, d).groupBy("role").agg((100.0 * F.avg(tx.accepts("text").cast("double"))).alias("accepts"))
+    """[A11] Corrections are right in even conversations (A) and wrong in odd ones (B)."""
+    rows = turns(s, d).where("role = 'assistant'").select(F.when(F.col("conv_id") % 2 == 0, "A").otherwise("B").alias("kind"), tx.accepts("text").alias("accepted"))
+    return report.pushback(rows, "kind", "accepted")
 
 
 @query
 def probe_tallies(s, d):
     """[A12]"""
-    return judged_turns(s, d).groupBy("problem").agg(F.count(F.when(~F.col("ok"), 1)).alias("bad"), F.count("*").alias("n"))
+    rows = judged_turns(s, d).select("problem", F.when(F.col("id") % 2 == 0, "clean").otherwise("typo").alias("group"), (~F.col("ok")).alias("bad"))
+    return report.tallies(rows, "problem", "group", "bad")
 
 
 @query
@@ -404,7 +488,14 @@ def prompt_windows(s, d):
     """[F14]"""
     n = F.length("text")
     rows = turns(s, d).where("role = 'user'")
-    return rows.groupBy(F.when((n > 30) & (n < 1500), "math").when((n > 20) & (n < 3000), "general").otherwise("none").alias("fits")).agg(F.count("*").alias("n"))
+    fits = F.array_join(F.array_compact(F.array(F.when((n > 30) & (n < 1500), "math"), F.when((n > 50) & (n < 2500), "code"), F.when((n > 20) & (n < 3000), "general"))), " ")
+    return rows.groupBy(fits.alias("fits")).agg(F.count("*").alias("n"))
+
+
+@query
+def opening_turns(s, d):
+    """[F14]"""
+    return dialogue.assembled(turns(s, d)).select("conv_id", F.array_join(chat.opening_turns("messages"), "\n--\n").alias("asked")).where("asked is not null")
 
 
 @query
@@ -461,3 +552,251 @@ def invented_terms(s, d):
 def denial_openers(s, d):
     """[F13, F12]"""
     return turns(s, d).where("role = 'assistant'").select("conv_id", "turn", chat.opens_with_denial("text").alias("denies"), chat.claims_foreign("text").alias("claims"))
+
+
+def literal(s, schema, *rows):
+    return s.createDataFrame([*rows], schema)
+
+
+@query
+def role_names(s, d):
+    """[F2]"""
+    rows = turns(s, d).select("conv_id", "turn", F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, "human").otherwise("user")).when(F.col("role") == "assistant", "gpt").otherwise(F.col("role")).alias("role"))
+    return rows.select("conv_id", "turn", chat.mapped_role(F.col("role")).alias("role"))
+
+
+@query
+def cleaned_turns(s, d):
+    """Turns with an empty thinking block before or a switch behind."""
+    said = F.when(F.col("role") == "assistant", F.concat(F.lit("<think>\n</think>\n"), "text")).otherwise(F.concat("text", F.when(F.col("conv_id") % 2 == 0, " /no_think").otherwise(" /think ")))
+    return turns(s, d).select("conv_id", "turn", chat.cleaned(F.col("role"), said).alias("text"))
+
+
+@query
+def thinking_rows(s, d):
+    """[F8]"""
+    rows = dialogue.assembled(turns(s, d))
+    said = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.when(m["role"] == "assistant", F.concat(F.lit("<think>so</think> "), m["content"])).otherwise(F.concat(m["content"], F.lit(" /think"))).alias("content")))
+    own = F.when(F.col("conv_id") % 3 == 0, "Be brief.").when(F.col("conv_id") % 3 == 1, "You are ChatGPT.")
+    out = rows.select("conv_id", chat.thinking_row(said, own, sampling.uniform("conv_id", "think")).alias("m")).where("m is not null")
+    return out.select("conv_id", F.get("m", F.lit(0))["content"].alias("system"), F.array_join(F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: x["content"]), "\n").alias("body"))
+
+
+TOOLS = '<tools></tools> in prose <tools>[{"name": "f"}]</tools>'
+TOOL_ROWS = (
+    (1, TOOLS, [("system", "s"), ("user", "q"), ("assistant", '<tool_call>{"name": "f", "arguments": {"zeta": 1, "alpha": 2}, "id": 7}</tool_call>'), ("tool", "1"), ("assistant", "done"), ("user", "bye")]),
+    (2, TOOLS, [("user", "q"), ("assistant", "I look. <tool_call>{'name': 'f', 'arguments': {'all': True, 'q': \"it's\", 'n': None}}</tool_call>")]),
+    (3, "none", [("user", "q"), ("assistant", "a")]),
+    (4, "<tools>oops</tools>", [("user", "q"), ("assistant", "a")]),
+    (5, "<tools>{}</tools>", [("user", "q"), ("assistant", "a")]),
+    (6, TOOLS, [("user", "q"), ("assistant", "<tool_call>{oops</tool_call>"), ("assistant", "b"), ("assistant", "c")]),
+    (7, TOOLS, [("user", "q"), ("tool", "b"), ("assistant", "<tool_call>{oops</tool_call>")]),
+    (8, TOOLS, [("user", "q"), ("assistant", "I cannot assist"), ("user", " "), ("assistant", "c")]),
+    (9, TOOLS, [("user", "q"), ("assistant", "I am Claude")]),
+    (10, TOOLS, [("user", "q"), ("assistant", "<think>x</think> a")]),
+    (11, TOOLS, [("user", "q"), ("assistant", "plain answer"), ("tool", "1")]),
+    (12, TOOLS, [("user", "q"), ("assistant", '<tool_call>["f"]</tool_call>')]),
+    (13, TOOLS, [("user", "q")]),
+    (14, TOOLS, [("user", "q"), ("assistant", '<tool_call>{"name": "", "arguments": "none"}</tool_call>')]),
+)
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+@query
+def tool_conversations(s, d):
+    """[F6, S20]"""
+    rows = literal(s, f"id long, xml string, m {MESSAGES}", *TOOL_ROWS)
+    kept = F.when(F.col("reason").isNull(), chat.tool_rewritten("m", F.lit("TOOLS")))
+    out = rows.withColumn("reason", chat.tool_drop_reason("xml", "m")).withColumn("kept", kept)
+    return out.select("id", "reason", F.array_join(F.transform("kept", lambda x: F.concat(x["role"], F.when(x["tool"], "!").otherwise(""), F.lit(":"), x["content"])), "|").alias("kept"), chat.answers_directly("kept").alias("direct"))
+
+
+GENERATED_ROWS = (
+    (1, ["f"], [("user", "q"), ("assistant", '<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>'), ("tool", " <tool_response>1 \u2014 2</tool_response>"), ("assistant", "one \u2014 two ")]),
+    (2, [], [("user", "q \u2013 r"), ("assistant", "I'm not ChatGPT.")]),
+    (3, [], [("user", "q")]),
+    (4, [], [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    (5, ["g"], [("user", "q"), ("assistant", '<tool_call>{"name": "f", "arguments": {}}</tool_call>'), ("tool", "<tool_response>1</tool_response>"), ("assistant", "a")]),
+    (6, ["f"], [("user", "q"), ("assistant", '<tool_call>{"name": "f", "arguments": []}</tool_call>'), ("tool", "<tool_response>1</tool_response>"), ("assistant", "a")]),
+    (7, ["f"], [("user", "q"), ("assistant", "a"), ("tool", "<tool_response>1</tool_response>"), ("assistant", "a")]),
+    (8, [], [("user", "q"), ("assistant", "<think>x</think> a")]),
+    (9, [], [("user", "q"), ("assistant", "I am ChatGPT.")]),
+    (10, [], [("user", "q"), ("assistant", " ")]),
+    (11, ["f"], [("user", "q"), ("assistant", '<tool_call>{"name": "f", "arguments": {}}</tool_call>'), ("tool", "1"), ("assistant", "a")]),
+    (12, [], [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b")]),
+)
+
+
+@query
+def generated_conversations(s, d):
+    """[F11]"""
+    rows = literal(s, f"id long, names array<string>, m {MESSAGES}", *GENERATED_ROWS)
+    kept = chat.generated("m", F.col("names"))
+    return rows.select("id", F.array_join(F.transform(kept, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("kept"))
+
+
+@query
+def flagged_template(s, d):
+    """[S14] Every third turn's header is `tool`; odd conversations end with the header of a reply to come."""
+    rows = dialogue.assembled(turns(s, d)).withColumn("m", F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), (i % 3 == 2).alias("tool"))))
+    return rows.select("conv_id", F.when(F.col("conv_id") % 2 == 1, chat.rendered_flagged("m", True)).otherwise(chat.rendered_flagged("m")).alias("rendered"))
+
+
+@query
+def line_exclusion(s, d):
+    """[F7]"""
+    rows = docs(s, d).select("source", (F.col("doc_id") % 50).alias("line_no"), "doc_id")
+    return dialogue.without_lines(rows, literal(s, "source string, line_no long", ("src1", 3), ("src1", 7), ("src2", 11), ("src2", 11))).select("doc_id")
+
+
+@query
+def self_denials(s, d):
+    """[F13]"""
+    said = F.concat(F.get(F.array(F.lit("Nope, "), F.lit("I am a large language model and "), F.lit("Well, but i can't "), F.lit("I'm not a person: "), F.lit("")), (F.col("conv_id") % 5).cast("int")), "text")
+    return turns(s, d).select("conv_id", "turn", chat.denies(said).alias("denies"), chat.names_itself(said).alias("recites"))
+
+
+@query
+def split_keys(s, d):
+    """[S5]"""
+    return table(s, d, "benchmark").select("item_id", tx.split_key("text").alias("key"))
+
+
+@query
+def answer_forms(s, d):
+    """[S8, S9, F17]"""
+    n = F.col("doc_id").cast("string")
+    shown = F.get(F.array(F.concat(F.lit("$\\boxed{"), n, F.lit("}$")), F.concat(n, F.lit(".50")), F.concat(F.lit("\\dfrac{"), n, F.lit("}{7}.")), F.concat(F.lit(" X "), n)), (F.col("doc_id") % 4).cast("int"))
+    line = F.concat(F.lit("so\nAnswer: first\nthen\n answer:  "), n, F.lit(" \nend"))
+    gold = F.get(F.array(n, F.concat(F.lit(" a "), n), F.concat(F.lit("[x] "), n), F.lit("y")), (F.col("doc_id") % 4).cast("int"))
+    return docs(s, d).select("doc_id", tx.answer_norm(shown).alias("norm"), tx.answer_line(line).alias("line"), tx.clean_gold(gold).alias("gold"))
+
+
+@query
+def sentence_forms(s, d):
+    """[S10, S11, S12, S21]"""
+    first = tx.first_sentence("text")
+    dashes = tx.clean_dashes(F.concat("lang", F.lit(" \u2014 "), "source", F.lit("\u2013 x \u2013")))
+    traced = tx.without_meta(F.concat(F.lit("We add "), F.col("doc_id").cast("string"), F.lit(". The final line is due! So it is done.\n\nNeed final check\nEnd")))
+    object_ = tx.json_slice(F.concat(F.lit("here: {\"a\": {\"b\": "), F.col("doc_id").cast("string"), F.lit("}} done")))
+    return docs(s, d).select("doc_id", first.alias("first"), dashes.alias("dashes"), traced.alias("traced"), object_.alias("object"))
+
+
+@query
+def template_check(s, d):
+    """[F15, U4] Templates with a placeholder once, twice, never or beside a stray brace."""
+    name = F.get(F.array(F.lit("Sorry, no {s} in "), F.lit("{s} and {s} of "), F.lit("Nothing here of "), F.lit("A { before {s} of "), F.lit("{s}")), (F.col("doc_id") % 5).cast("int"))
+    return synth.fit_templates(docs(s, d).select(F.concat(name, F.when(F.col("doc_id") % 5 < 4, F.col("source")).otherwise("")).alias("template")), "template", ["s"])
+
+
+@query
+def most_frequent_word(s, d):
+    """[S24] Of each document's four most frequent words the first, if it leads by two."""
+    top = synth.words(docs(s, d), "doc_id", top=4).groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("options"))
+    return top.where("size(options) = 4").select("doc_id", tx.clear_winner(F.col("options")).alias("word"))
+
+
+def screened(s, d):
+    rows = dialogue.assembled(turns(s, d)).select(F.concat(F.lit("part"), (F.col("conv_id") % 3).cast("string")).alias("source"), chat.drop_reason("messages").alias("reason"), (F.col("conv_id") % 4 != 0).alias("taken"))
+    return report.filter_counters(rows, "source", "reason", "taken")
+
+
+@query
+def filter_counters(s, d):
+    """[A7]"""
+    return screened(s, d)
+
+
+@query
+def merged_counters(s, d):
+    """[J11] The same counters from three parts, with what the scan for overlaps dropped."""
+    parts = [screened(s, d).where(F.col("source") == f"part{k}") for k in range(3)]
+    more = literal(s, "source string, counter string, n long", ("part0", "drop_eval_overlap", 2), ("part0", "seen", 5), ("part9", "seen", 1))
+    return report.merged_counters(*parts, more)
+
+
+@query
+def api_budget(s, d):
+    """[A20] Calls until the spend passes a thousandth of a dollar."""
+    usage = turns(s, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("call"), F.when(F.col("role") == "assistant", 0).otherwise(F.length("text")).alias("tokens_in"), F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).alias("tokens_out"))
+    return report.within_budget(usage, "call", 0.25, 1.0, 0.001, 5000).select("call", F.round("usd", 9).alias("usd"))
+
+
+@query
+def source_quotas(s, d):
+    """[L7]"""
+    return sampling.quotas(docs(s, d).select("doc_id", "source"), "source", "doc_id", "quota", {"src0": 5, "src1": 9, "src2": 2}).select("doc_id", "source")
+
+
+@query
+def first_accepted(s, d):
+    """[L8]"""
+    return sampling.accepted_first(docs(s, d).select("doc_id", "source"), "source", "doc_id", "doc_id", "accept", 0.35, 4)
+
+
+@query
+def stage_mixes(s, d):
+    """[M1, M4] Each stage's mix, and the tokens of as many steps as the stage has thousandths of a source."""
+    return sampling.stage_mixes(s).select("stage", "source", "weight", F.round("share", 9).alias("share"), sampling.tokens_seen(F.round(F.col("weight") * 1000)).alias("tokens"))
+
+
+@query
+def cut_sequences(s, d):
+    """[M5] What truncation keeps, beside what chunking does (chunk_sequences)."""
+    n = tx.tokens("text")
+    return docs(s, d).select("doc_id", F.least(F.lit(1024).cast("long"), n).alias("kept"), F.greatest(F.lit(0).cast("long"), n - 1024).alias("lost"))
+
+
+@query
+def planted_chains(s, d):
+    """[S28, F19] With a bound that the fixture's short documents reach."""
+    return synth.chained(docs(s, d), "doc_id", "chain", least=200, most=4000)
+
+
+def finished(s, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "science").otherwise("books")
+    tasks = F.filter(F.array(F.lit("count"), F.when(F.col("doc_id") % 3 == 0, "chain"), F.when(F.col("doc_id") % 5 == 0, "first")), lambda x: x.isNotNull())
+    return docs(s, d).select(kind.alias("kind"), F.col("n_chars").alias("tokens"), F.size(tasks).alias("n_questions"), tasks.alias("tasks"), F.when(F.col("doc_id") % 11 == 0, "boom").alias("error"))
+
+
+@query
+def synthetic_manifest(s, d):
+    """[A13]"""
+    return synth.manifest(finished(s, d), [0, 8000, 16000, 32000, 48000, 10**9])
+
+
+@query
+def last_judgments(s, d):
+    """[J6] Each conversation with its last judged turn."""
+    marks = judged_turns(s, d).select("id", F.col("n").alias("at"), "n", "ok")
+    return dialogue.judged_rollouts(dialogue.assembled(turns(s, d)).select(F.col("conv_id").alias("id"), F.size("messages").alias("n_messages")), marks, "at")
+
+
+@query
+def shard_files(s, d):
+    """[IO2, IO6, IO7, IO8, IO12] Rows by pass and shard as they are read back from Parquet, less those of a shard done before."""
+    path = f"{io.shared_dir(s)}/shards-{uuid.uuid4().hex}"
+    io.write_shards(docs(s, d).select("doc_id"), path, "doc_id", "files", 2, 4)
+    back = s.read.parquet(path)
+    return remaining(back, back.where("pass = 1 and shard = 3").select("doc_id"), "doc_id").groupBy("pass", "shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
+@query
+def benchmark_items(s, d):
+    """[IO3, S3] The benchmark's texts in the columns of ten benchmarks, read back by their recipes."""
+    raw = table(s, d, "benchmark").withColumn("row", F.col("item_id"))
+    cut = lambda a, b: F.substr("text", F.lit(a), F.lit(b))
+    columns = {
+        "gsm8k": {"question": F.col("text")},
+        "arc_easy": {"id": F.concat(F.lit("q"), "item_id"), "question": F.col("text")},
+        "winogrande": {"sentence": F.col("text")},
+        "humaneval_prompt": {"task_id": F.concat(F.lit("t"), "item_id"), "prompt": F.col("text")},
+        "triviaqa": {"question_id": F.concat(F.lit("v"), "item_id"), "question": F.col("text")},
+        "hellaswag": {"ctx": cut(1, 30), "endings": F.array(cut(31, 10), cut(41, 10), cut(51, 10), cut(61, 10)), "label": (F.col("item_id") % 4).cast("string")},
+        "piqa": {"goal": cut(1, 30), "sol1": cut(31, 10), "sol2": cut(41, 10), "label": F.col("item_id") % 2},
+    }
+    out = None
+    for bench, made in columns.items():
+        part = io.loaded(bench, raw.withColumns(made))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tesserae.operators import sampling
 
-#: [IO3] Source registry: name -> reader of a common projection.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: [IO3] Source registry: name -> projection of a source's own columns to common ones.
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def source(name: str):
@@ -24,11 +27,33 @@ def source(name: str):
     return add
 
 
+def loaded(name: str, raw: DataFrame) -> DataFrame:
+    """[IO3] A registered source's rows in common columns."""
+    return READERS[name](raw)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the session was started."""
+    """Lets Python workers import this package: by its path where they share the driver's disk, else from an archive
+    that Spark ships to them."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all executors, once a session."""
+    if getattr(spark.sparkContext, "_tesserae_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark copies the archive
+        archive = Path(folder) / "tesserae.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._tesserae_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @source("corpus")
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(raw: DataFrame) -> DataFrame:
     """[IO1] Corpus records: dataset, record, text."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("ds"), F.col("doc_id").alias("rec"), "text")
+    return raw.select(F.col("source").alias("ds"), F.col("doc_id").alias("rec"), "text")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one that spark.checkpoint.dir names; in local tests one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, bad: str = "_bad") -> DataFrame:
@@ -58,10 +96,27 @@ def write_shards(df: DataFrame, path: str, key: str, seed: str, passes: int = 1,
     out.repartition(passes * shards, "pass", "shard").write.mode("overwrite").option("compression", "zstd").partitionBy("pass", "shard").parquet(path)
 
 
+def write_pairs(df: DataFrame, path: str) -> None:
+    """[IO7] Preference pairs as Parquet, schema as it is."""
+    df.select("source", "prompt", "chosen", "rejected").write.mode("overwrite").parquet(path)
+
+
+def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """[IO8] (name, bytes) of the files below a path with a suffix, in order; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    return files.select(relative(F.col("path"), path).alias("name"), F.col("length").alias("bytes")).orderBy("name")
+
+
+def relative(c: Column, root: str) -> Column:
+    """A file's path below a folder."""
+    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/")
+    return F.substr(c, F.instr(c, F.lit(below)) + len(below) + 1)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """[IO8, IO10] (name, md5) of the files below a path."""
+    """[IO10] (name, md5) of the files below a path, named by their paths below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"))
+    return files.select(relative(F.col("path"), path).alias("name"), F.md5("content").alias("md5"))
 
 
 def mismatches(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -70,8 +125,13 @@ def mismatches(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("name")
 
 
-def newest(spark: SparkSession, glob: str, schema: StructType, task: str) -> DataFrame:
-    """[IO9] Result files: of each task the rows of the file whose path is last."""
+def newest(spark: SparkSession, globs: list[str] | str, schema: StructType, task: str) -> DataFrame:
+    """[IO9] Result files: of each task the rows of the file whose path is last. Of several globs, such as a clean rerun's
+    and the first run's, the first that has any file is read alone."""
+    for glob in [globs] if isinstance(globs, str) else globs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(glob)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+            break
     rows = spark.read.schema(schema).json(glob).withColumn("_file", F.input_file_name())
     last = rows.groupBy(task).agg(F.max("_file").alias("_file"))
     return rows.join(last, [task, "_file"], "left_semi").drop("_file")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ def test_tool_rewrite(spark):
     m = [("system", "s"), ("user", "q"), ("assistant", "I look. <tool_call>{'arguments': {'a': 1}, 'name': 'f', 'id': 9}</tool_call>"), ("tool", "1"), ("assistant", "done"), ("user", "bye")]
     got = spark.createDataFrame([(m,)], f"m {MESSAGES}").select(chat.tool_rewritten("m", F.lit("TOOLS")).alias("x")).first()["x"]
     assert [(r["role"], r["tool"]) for r in got] == [("system", False), ("user", False), ("assistant", False), ("user", True), ("assistant", False)]
-    assert got[2]["content"] == 'I look. <tool_call>\n{"name": "f", "arguments": {"a":1}}\n</tool_call>' and got[0]["content"] == "TOOLS"
+    assert got[2]["content"] == 'I look. <tool_call>\n{"name": "f", "arguments": {"a": 1}}\n</tool_call>' and got[0]["content"] == "TOOLS"
 
 
 def test_python_literals_in_tool_calls(spark):
@@ -206,6 +207,60 @@ def test_noise(spark):
     assert got["a"]["noised"] and got["a"]["t"] != "how are you doing today" and not got["b"]["noised"] and not got["c"]["noised"] and got["d"]["t"] is None
 
 
+def test_noise_of_conversations(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "tell me about the weather today please") for c in range(40) for t in range(8)]
+    rows = spark.createDataFrame(turns, "c long, t long, r string, x string")
+    got = noise.noisy_conversations(rows, "c", "t", "r", "x", "s", 1.0, F.when(F.col("c") < 5, "xlam_a").otherwise("b")).collect()
+    per = {}
+    for r in got:
+        assert r["noised"] == (r["x"] != turns[0][3])
+        per.setdefault(r["c"], []).append(r["noised"])
+        assert not (r["noised"] and r["r"] != "user")
+    assert all(sum(per[c]) == (0 if c < 5 else 1) for c in per)
+
+
+def test_slips_by_kind(spark):
+    """Every kind of slip turns up, and each changes one plain word as it should."""
+    rows = spark.createDataFrame([(str(i), "abc #def x/ghi Jkl mno pq") for i in range(600)], "k string, t string")
+    seen = {r["t"] for r in noise.noisy(rows, "k", "t", "s", F.lit(True)).collect()}
+    assert {"acb #def x/ghi Jkl mno pq", "ac #def x/ghi Jkl mno pq", "aabc #def x/ghi Jkl mno pq", "a bc #def x/ghi Jkl mno pq", "abx #def x/ghi Jkl mno pq", "abc #def x/ghi Jkl mn opq"} <= seen
+    assert all("#def x/ghi Jkl" in t for t in seen)
+
+
+def test_hits_of_probes_without_inner_words(spark, monkeypatch):
+    """Such a probe may begin and end within words; few probes and many are joined in different ways, with one result."""
+    long = "abcdefghij" * 6
+    items = spark.createDataFrame([(1, long), (2, "q" * 30 + " " + "r" * 30), (3, "one " * 20), (4, "zz " + "w" * 60)], "id long, text string")
+    probes = con.probe_table(items, "b")
+    texts = ["x" + long + "y end", "aa" + "q" * 30 + " " + "r" * 33, "q" * 30 + " s " + "r" * 30, "the one " + "one " * 20 + "ones", long[1:], "fuzz " + "w" * 70, ""]
+    docs = spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts)], "doc long, norm string")
+    want = {(i, p) for i, t in enumerate(texts) for p in {r["pat"] for r in probes.collect()} if p in t.strip()}
+    assert len(want) == 4
+    for most in (con.BROADCAST_PROBES, 0):
+        monkeypatch.setattr(con, "BROADCAST_PROBES", most)
+        got = [(r["doc"], r["pat"]) for r in con.hits(docs, probes).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_occurrences_overlap(spark):
+    docs = spark.createDataFrame([(1, "aaaa b")], "doc long, norm string")
+    got = con.occurrences(docs, spark.createDataFrame([(1, "aa")], "doc long, pat string"), 1, 2)
+    assert [(r["end"], r["ctx"]) for r in got.orderBy("end").collect()] == [(1, "aaa"), (2, "aaa"), (3, "aa ")]
+
+
+def test_unscanned_sets_are_refused(spark):
+    with pytest.raises(ValueError):
+        con.overlap_counts(spark.range(1), None, "id", "id", "id")
+
+
+def test_budget_and_spikes_across_slices(spark):
+    usage = spark.createDataFrame([(i, 1e6, 0.0) for i in range(50)], "call long, tokens_in double, tokens_out double")
+    assert [r["call"] for r in report.within_budget(usage, "call", 1.0, 1.0, 7.5, step=3).orderBy("call").collect()] == list(range(8))
+    log = spark.createDataFrame([("a", i, 1.0 + i % 2 + 50 * (i in (90, 301))) for i in range(500)], "g string, i long, v double")
+    for step in (40, 4096):
+        assert [r["i"] for r in report.spikes(log, "g", "i", "v", 32, 6.0, step).orderBy("i").collect()] == [90, 301]
+
+
 def test_reports(spark):
     log = spark.createDataFrame([("a", i, s) for i, s in enumerate("xxxxyyz")], "g string, i long, s string")
     assert [r["i"] for r in report.stalls(log, "g", "i", "s").orderBy("i").collect()] == [2, 3]
@@ -229,7 +284,13 @@ def test_files(spark, tmp_path):
     assert [r[0] for r in io.mismatches(io.checksums(spark, str(tmp_path / "l")), io.checksums(spark, str(tmp_path / "r"))).collect()] == ["other"]
     for run in ("1", "2"):
         (tmp_path / f"run{run}.json").write_text(json.dumps({"task": "t", "v": run}))
-    got = io.newest(spark, str(tmp_path / "run*.json"), StructType([StructField("task", StringType()), StructField("v", StringType())]), "task").collect()
+    assert [r["name"] for r in io.listing(spark, str(tmp_path), "er").collect()] == ["l/other", "r/other"]
+    (tmp_path / "l" / "deep").mkdir()
+    (tmp_path / "l" / "deep" / "same").write_text("t")
+    assert {r[0] for r in io.mismatches(io.checksums(spark, str(tmp_path / "l")), io.checksums(spark, str(tmp_path / "r"))).collect()} == {"other", "deep/same"}
+    io.write_pairs(spark.createDataFrame([("s", "p", "c", "r", False)], "source string, prompt string, chosen string, rejected string, skipped boolean"), str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).columns == ["source", "prompt", "chosen", "rejected"]
+    got = io.newest(spark, [str(tmp_path / "clean*.json"), str(tmp_path / "run*.json")], StructType([StructField("task", StringType()), StructField("v", StringType())]), "task").collect()
     assert [r["v"] for r in got] == ["2"]
 
 
@@ -240,3 +301,6 @@ def test_resumed_scan(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(shards)
     scan_arrivals(spark, shards, out, mark, lambda df: df)
     assert spark.read.parquet(out).count() == 8
+    shutil.rmtree(f"{mark}/commits")  # as if a crash had come before the last commits
+    scan_arrivals(spark, shards, out, mark, lambda df: df)
+    assert spark.read.parquet(out).count() == 8
