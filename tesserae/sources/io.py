@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
+from io import BytesIO
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,28 +34,30 @@ def loaded(name: str, raw: DataFrame) -> DataFrame:
     return READERS[name](raw)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and workers are one machine, as in tests."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package: by its path where they share the driver's disk, else from an archive
-    that Spark ships to them."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-    if not spark.sparkContext.master.startswith("local"):
-        ship(spark)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to all executors, once a session."""
-    if getattr(spark.sparkContext, "_tesserae_shipped", False):
+    """Lets Python workers import this package: by its path where they share the driver's disk, and on a cluster from an
+    archive in the shared folder, which Spark sends to them once a session."""
+    context, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
+    if root not in context.environment.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, context.environment.get("PYTHONPATH")) if x)
+    if is_local(spark) or getattr(context, "_tesserae_sent", False):
         return
-    package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark copies the archive
-        archive = Path(folder) / "tesserae.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._tesserae_shipped = True
+    package, blob = Path(__file__).resolve().parents[1], BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}.zip")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(where)
+    out.write(bytearray(blob.getvalue()))
+    out.close()
+    context.addPyFile(files.makeQualified(where).toString())
+    context._tesserae_sent = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +76,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
