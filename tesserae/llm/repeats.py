@@ -3,17 +3,19 @@
 A window is `width` consecutive units (words or bytes) of one text, seen as the beginning of the suffix that starts there.
 Suffixes are dealt to groups by a prefix of varying length:
 
-- Consecutive suffixes travel together as one run of text. Equal windows have the same smallest gram hash at the same
+- Consecutive suffixes are handled together as one run of text. Equal windows have the same smallest gram hash at the same
   place, their anchor, so runs are cut where the anchor changes. Runs are dealt out by the gram at the anchor, which is a
   prefix of the suffix that starts there. A run whose anchor occurs once holds no repeat and goes no further.
-- A group of more than GROUP_RUNS runs first has its equal runs joined, by partial aggregation, with their number and
-  their earliest place. If what is left of it is more than GROUP_BYTES, its runs are split: suffixes that start at about
+- Of equal runs one travels with its text, and their number and earliest place. Where all runs of an anchor are equal, none
+  needs to. Runs are equal if two unlike hashes of theirs are, 95 bits in all, and their anchors too: two runs of one
+  anchor would have to collide, not two of the corpus.
+- If the different runs of an anchor are more than GROUP_BYTES, they are split: suffixes that start at about
   the same distance before the anchor form a piece, and pieces are dealt out by all the text that the windows of such a
   piece have in common, which is a prefix of its last suffix. The fewer distances a piece spans, the longer is that prefix, up
   to the whole window; then a group is one piece. So groups fit in memory however frequent a passage is.
 
 Each group is solved in memory by the operator's own structure over the group's suffix array (suffix_array.py). What it finds
-in joined runs goes back to every place that they stand for.
+goes back to every place that a run stands for.
 
 Words over LONG_WORD bytes travel as their digests. Rows with a null key take no part and stay as they are; null or empty
 texts have no windows; texts of any length are read whole. Rows with equal key and text are separate occurrences. An
@@ -33,14 +35,12 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-#: Runs with one anchor beyond which equal ones are joined before they are dealt out.
-GROUP_RUNS = 256
 #: Bytes of different runs in a group beyond which it is split by longer prefixes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Pieces that a split makes of a run at most.
 SPLIT = 8
 #: Bytes of runs that one in-memory structure holds, unless a single group is larger.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Longer words travel as digests.
 LONG_WORD = 40
 
@@ -66,7 +66,7 @@ class Spec:
     gram: int
     #: group -> (run, start, end, key, place): units start to end of a run go in its occurrences beyond (key, place)
     solve: Callable[[Group, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    other_key: bool = False  # whether only windows that a smaller key has too can go
+    keep: str  # "none": all copies go; "first": all but the first; "smaller": those that a smaller key has too
 
 
 def units(spec: Spec, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,14 +86,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - span)], x[w - span :]) if span < w else x
 
 
-def runs(spec: Spec, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, anchor hash) of each run of windows with one anchor; places within the chunk."""
+def runs(spec: Spec, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, anchor hash, the run's own hash) of each run of windows with one anchor; places
+    within the chunk."""
     n, w = len(codes), spec.width - spec.gram + 1
     none = np.zeros(0, np.int64)
     if n < spec.width:
-        return none, none, none, none.astype(np.uint64)
-    at = np.arange(n - spec.gram + 1)
-    grams = common.span_hashes(codes, at, at + spec.gram)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    at, spans = np.arange(n - spec.gram + 1), common.Spans(codes)
+    grams = spans.of(at, at + spec.gram)
     half = np.uint64(32)
     ranked = (grams >> half << half) | at.astype(np.uint64)  # ties: the place further left
     anchor = (sliding_min(ranked, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -101,27 +102,36 @@ def runs(spec: Spec, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     window = common.ragged(first[:-1], counts)
     text = np.repeat(np.arange(len(counts)), counts)
     if not len(window):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     anchor = anchor[window]
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(window)) - 1
-    return text[begins], window[begins], window[ends], grams[anchor[begins]]
+    lo, hi = window[begins], window[ends]
+    return text[begins], lo, hi, grams[anchor[begins]], spans.of(lo, hi + spec.width)
 
 
 def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(anchor, key, tag, lo, hi): every run; lo and hi count windows from the text's start."""
+    """(anchor, print, check, key, tag, lo, hi): every run with two hashes of it; lo and hi count windows from the text's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            codes, _, _, first = units(spec, data, offsets)
-            text, lo, hi, anchor = runs(spec, codes, first)
+            codes, starts, ends, first = units(spec, data, offsets)
+            text, lo, hi, anchor, prints = runs(spec, codes, first)
             base = first[text]
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), rows.column(0).take(take), rows.column(1).take(take), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["anchor", "key", "tag", "lo", "hi"])
+            out = [anchor.view(np.int64), prints.view(np.int64), checks(spec, data, starts, ends, lo, hi + spec.width)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), rows.column(0).take(take), rows.column(1).take(take), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["anchor", "print", "check", "key", "tag", "lo", "hi"])
+
+    return docs.mapInArrow(run, "anchor long, print long, check int, key long, tag long, lo int, hi int")
 
-    return docs.mapInArrow(run, "anchor long, key long, tag long, lo int, hi int")
+
+def checks(spec: Spec, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """31-bit hashes of stretches of units, by other hashes than the units' codes."""
+    if spec.unit == "bytes":
+        return common.second_hashes(data, a, b).astype(np.int32)
+    return (common.span_hashes(common.second_hashes(data, starts, ends), a, b) >> np.uint64(33)).astype(np.int32)
 
 
 def plain(spec: Spec, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,46 +153,36 @@ def plain(spec: Spec, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 def carried(joined: DataFrame, spec: Spec) -> DataFrame:
-    """(anchor, key, tag, lo, payload, at, name): each shared run's text; of runs in large groups also the anchor's
-    place in it and its identity."""
-    names = ["anchor", "key", "tag", "lo", "payload", "at", "name"]
+    """(part, print, check, payload, at, times, key, place): the text of listed runs and the anchor's place in it."""
+    names = ["part", "print", "check", "payload", "at", "times", "key", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
             codes, starts, ends, first = units(spec, data, offsets)
-            lists = rows.column(3)
-            per = np.diff(np.frombuffer(lists.offsets.buffers()[1], np.int32)[lists.offsets.offset : lists.offsets.offset + len(lists) + 1])
+            lists = rows.column(2)
+            per = lists.value_lengths().fill_null(0).to_numpy()
             flat = lists.flatten()
             text = np.repeat(np.arange(len(per)), per)
-            anchor, lo, hi, large = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            fits = hi + spec.width <= np.diff(first)[text]  # a row of equal key and other text has other runs
-            text, anchor, lo, hi, large = (x[fits] for x in (text, anchor, lo.astype(np.int64), hi.astype(np.int64), large))
             if not len(text):
                 continue
+            anchor, lo, hi = (flat.field(k).to_numpy() for k in (0, 3, 4))
             data, starts, ends = plain(spec, data, starts, ends)
             begin, last = first[text] + lo, first[text] + hi
+            n = begin + spec.width - spec.gram + 1 - last
+            where, whose = common.ragged(last, n), np.repeat(np.arange(len(text)), n)
+            hit = common.span_hashes(codes, where, where + spec.gram).view(np.int64) == anchor[whose]
+            _, head = np.unique(whose[hit], return_index=True)  # every run has its anchor
+            at = where[hit][head] - begin
             a, b = starts[begin], ends[last + spec.width - 1]
-            at = np.full(len(text), -1, np.int64)
-            big = np.flatnonzero(large)
-            if len(big):
-                n = begin[big] + spec.width - spec.gram + 1 - last[big]
-                where = common.ragged(last[big], n)
-                whose = np.repeat(np.arange(len(big)), n)
-                hit = common.span_hashes(codes, where, where + spec.gram).view(np.int64) == anchor[big][whose]
-                own, head = np.unique(whose[hit], return_index=True)
-                at[big[own]] = where[hit][head] - begin[big[own]]
             step = max(1, (16 << 20) // max(1, int((b - a).max())))
             for s in range(0, len(text), step):
-                p = slice(s, s + step)
-                x, y = a[p], b[p]
+                x, y, cut = a[s : s + step], b[s : s + step], slice(s, min(s + step, len(text)))
                 payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
-                mark = pa.nulls(len(x), pa.binary())
-                if large[p].any():
-                    mark = pa.array([hashlib.blake2b(v, digest_size=16).digest() if g else None for v, g in zip(payload.to_pylist(), large[p].tolist(), strict=True)], pa.binary())
-                take = pa.array(text[p])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[p]), rows.column(0).take(take), rows.column(1).take(take), pa.array(lo[p].astype(np.int32)), payload, pa.array(at[p].astype(np.int32)), mark], names=names)
+                some = [flat.field(k).slice(cut.start, cut.stop - cut.start) for k in (0, 1, 2, 5)]
+                place = np.full(len(x), NO_PLACE) if spec.keep == "smaller" else lo[cut].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*some[:3], payload, pa.array(at[cut].astype(np.int32)), some[3], rows.column(0).take(pa.array(text[cut])), pa.array(place)], names=names)
 
-    return joined.mapInArrow(run, "anchor long, key long, tag long, lo int, payload binary, at int, name binary")
+    return joined.mapInArrow(run, "part long, print long, check int, payload binary, at int, times long, key long, place long")
 
 
 def compare(spec: Spec, group: np.ndarray, key: np.ndarray, place: np.ndarray, times: np.ndarray, payload: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -235,47 +235,35 @@ def blocks(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def solved(rows: DataFrame, spec: Spec) -> DataFrame:
-    """(key, tag, start, end) from groups that are small as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "anchor"):
-            col = lambda k: table.column(k).to_numpy()
-            key, lo = col("key"), col("lo").astype(np.int64)
-            row, start, end, k, p = compare(spec, col("anchor"), key, lo, np.ones(len(key), np.int64), table.column("payload").to_pylist())
-            go = (key[row] > k) | ((key[row] == k) & (lo[row] > p))
-            row, start, end = row[go], start[go] + lo[row[go]], end[go] + lo[row[go]]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key).take(take), pa.array(col("tag")).take(take), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "tag", "start", "end"])
-
-    return rows.select("anchor", "key", "tag", "lo", "payload").repartition(common.shuffles(rows.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, tag long, start int, end int")
+#: What names a piece.
+NAME = ["part", "print", "check"]
 
 
 def judged(pieces: DataFrame, spec: Spec) -> DataFrame:
-    """(name, start, end, key, place): what goes of each piece's occurrences beyond (key, place)."""
+    """(part, print, check, start, end, bound, place): what goes of each piece's occurrences beyond (bound, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "part"):
             col = lambda k: table.column(k).to_numpy()
-            row, start, end, k, p = compare(spec, col("part"), col("key"), col("place").astype(np.int64), col("times"), table.column("payload").to_pylist())
-            yield pa.RecordBatch.from_arrays([table.column("name").combine_chunks().take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(k), pa.array(p)], names=["name", "start", "end", "key", "place"])
+            row, start, end, k, p = compare(spec, col("part"), col("key"), col("place"), col("times"), table.column("payload").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(col(x)[row]) for x in NAME), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(k), pa.array(p)], names=[*NAME, "start", "end", "bound", "place"])
 
-    return pieces.select("part", "name", "payload", "times", "key", "place").repartition(common.shuffles(pieces.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "name binary, start int, end int, key long, place long")
+    sent = pieces.select(*NAME, "payload", "times", "key", "place").repartition(common.shuffles(pieces.sparkSession), "part").sortWithinPartitions("part")
+    return sent.mapInArrow(run, "part long, print long, check int, start int, end int, bound long, place long")
 
 
 def split(pieces: DataFrame, spec: Spec, cell: int) -> DataFrame:
-    """Pieces cut where the distance of a window's start from the anchor passes a multiple of `cell`, with the piece
-    that each comes from (whole) and its place in that (shift). Their groups are named by the text that all windows of such
-    distances share."""
+    """Pieces cut where the distance of a window's start from the anchor passes a multiple of `cell`, with the name of the
+    piece that each comes from (whole) and its place in that (shift). Their groups are named by the text that all windows
+    of such distances share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.merged(batches, 2000, 1 << 20):
-            blob = rows.column(1)
+            blob = rows.column(3)
             sizes = np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1])
-            offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             data = np.frombuffer(b"".join(blob.to_pylist()), np.uint8)
-            codes, starts, ends, first = units(spec, data, offsets)
-            at = rows.column(2).to_numpy().astype(np.int64)
+            codes, starts, ends, first = units(spec, data, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
+            at = rows.column(4).to_numpy().astype(np.int64)
             n = np.diff(first) - spec.width + 1
             row, window = np.repeat(np.arange(len(n)), n), common.ragged(np.zeros(len(n), np.int64), n)
             distance = at[row] - window
@@ -285,53 +273,47 @@ def split(pieces: DataFrame, spec: Spec, cell: int) -> DataFrame:
             row, lo, last = row[head], window[head], window[np.append(head[1:], len(window)) - 1]
             low = distance[head] // cell * cell
             high = np.minimum(low + cell, spec.width - spec.gram + 1)  # windows of this cell start `low` to `high` - 1 units before
-            centre = first[row] + at[row]
-            part = common.mix(common.span_hashes(codes, centre - low, centre - high + 1 + spec.width) ^ common.mix((low * 4096 + cell).astype(np.uint64)))
-            x, y = starts[first[row] + lo], ends[first[row] + last + spec.width - 1]
+            centre, here = first[row] + at[row], at[row] - lo
+            spans = common.Spans(codes)
+            part = common.mix(spans.of(centre - low, centre - high + 1 + spec.width) ^ common.mix((low * 4096 + cell).astype(np.uint64)))
+            a, b = first[row] + lo, first[row] + last + spec.width
+            prints = common.mix(spans.of(a, b) + here.astype(np.uint64))  # equal pieces have their anchor at one place
+            x, y = starts[a], ends[b - 1]
             payload = common.binaries(data[common.ragged(x, y - x)], np.concatenate(([0], np.cumsum(y - x))))
-            here = at[row] - lo
-            names = [hashlib.blake2b(v, digest_size=16, salt=b"%d.%d" % (cell, h)).digest() for v, h in zip(payload.to_pylist(), here.tolist(), strict=True)]
             take = pa.array(row)
-            place = rows.column(5).to_numpy()[row] + np.where(rows.column(5).to_numpy()[row] == NO_PLACE, 0, lo)
-            out = [pa.array(part.view(np.int64)), payload, pa.array(here.astype(np.int32)), pa.array(names, pa.binary()), rows.column(3).take(take), rows.column(4).take(take), pa.array(place), rows.column(6).take(take), pa.array(lo.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, names=["part", "payload", "at", "name", "times", "key", "place", "whole", "shift"])
-
-    sent = pieces.select("part", "payload", "at", "times", "key", "place", "name")
-    return sent.mapInArrow(run, "part long, payload binary, at int, name binary, times long, key long, place long, whole binary, shift int")
-
-
-def large(rows: DataFrame, spec: Spec) -> DataFrame:
-    """(key, tag, start, end) from groups of many runs."""
-    least = F.min(F.struct("key", F.col("lo").cast("long").alias("place")))
-    groups = ["anchor", "payload", "at", "name"]
-    if spec.other_key:  # places don't matter, and a plain minimum is cheaper
-        joined = rows.groupBy(*groups).agg(F.count("*").alias("times"), F.min("key").alias("key")).withColumn("place", F.lit(NO_PLACE).cast("long"))
-    else:
-        joined = rows.groupBy(*groups).agg(F.count("*").alias("times"), least.alias("m")).select(*groups, "times", "m.key", "m.place")
-    pieces = common.stage(joined.withColumnRenamed("anchor", "part"), "pieces")
+            whole = [c.take(take) for c in rows.columns]
+            place = rows.column(7).to_numpy()[row]
+            out = [pa.array(part.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(checks(spec, data, starts, ends, a, b)), payload, pa.array(here.astype(np.int32)), whole[5], whole[6], pa.array(np.where(place == NO_PLACE, place, place + lo)), *whole[:3], pa.array(lo.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, names=[*COLUMNS, *WHOLE, "shift"])
+
+    return pieces.select(*COLUMNS).mapInArrow(run, "part long, print long, check int, payload binary, at int, times long, key long, place long, whole_part long, whole_print long, whole_check int, shift int")
+
+
+#: Columns of pieces, and the name of the piece that one was cut from.
+COLUMNS, WHOLE = [*NAME, "payload", "at", "times", "key", "place"], [f"whole_{x}" for x in NAME]
+
+
+def found_in(pieces: DataFrame, spec: Spec) -> DataFrame:
+    """judged() for groups of any size: large ones are split until they fit."""
     cell, layers, found = spec.width - spec.gram + 1, [], []
     while True:
         sizes = pieces.groupBy("part").agg(F.sum(F.length("payload")).alias("bytes"), F.count("*").alias("n"))
         over = common.stage(sizes.where(f"n > 1 and bytes > {GROUP_BYTES}").select("part"), "over")
         if cell == 1 or over.isEmpty():
-            found.append(judged(pieces, spec))
+            got = judged(pieces, spec)
             break
         found.append(judged(pieces.join(over, "part", "left_anti"), spec))
         cell = max(1, -(-cell // SPLIT))
         cut = common.stage(split(pieces.join(over, "part", "left_semi"), spec, cell), "cut")
-        layers.append(cut.select("name", "whole", "shift"))
-        names = ["part", "payload", "at", "name"]
-        pieces = common.stage(cut.groupBy(*names).agg(F.sum("times").alias("times"), F.min(F.struct("key", "place")).alias("m")).select(*names, "times", "m.key", "m.place"), "pieces")
-    got = found.pop()
+        layers.append(cut.select(*NAME, *WHOLE, "shift"))
+        joined = cut.groupBy(*NAME, "payload", "at").agg(F.sum("times").alias("times"), F.min(F.struct("key", "place")).alias("m"))
+        pieces = common.stage(joined.select(*NAME, "payload", "at", "times", "m.key", "m.place"), "pieces")
     for layer, above in zip(layers[::-1], found[::-1], strict=True):  # back to the pieces that were cut
-        moved = common.stage(got, "judged").join(layer, "name")
+        moved = common.stage(got, "judged").join(layer, NAME)
         at = F.when(F.col("place") == NO_PLACE, F.col("place")).otherwise(F.col("place") - F.col("shift"))
-        got = above.union(moved.select(F.col("whole").alias("name"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "key", at.alias("place")))
-    listed = got.groupBy("name").agg(F.collect_list(F.struct("start", "end", F.col("key").alias("bound"), "place")).alias("found"))
-    met = rows.select("name", "key", "tag", "lo").join(common.stage(listed, "judged"), "name")  # a plain table, so that a skewed side can be split
-    beyond = lambda r: (F.col("key") > r["bound"]) | ((F.col("key") == r["bound"]) & (F.col("lo") > r["place"]))
-    spans = F.transform(F.filter("found", beyond), lambda r: F.struct((r["start"] + F.col("lo")).alias("start"), (r["end"] + F.col("lo")).alias("end")))
-    return met.select("key", "tag", spans.alias("spans")).where("size(spans) > 0")
+        back = [F.col(w).alias(x) for w, x in zip(WHOLE, NAME, strict=True)]
+        got = above.union(moved.select(*back, F.col("start") + F.col("shift"), F.col("end") + F.col("shift"), "bound", at))
+    return got
 
 
 def spans(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -339,17 +321,28 @@ def spans(docs: DataFrame, spec: Spec) -> DataFrame:
 
     docs: key, tag (a hash of the text, so that rows of one key stay apart), text."""
     every = common.stage(anchors(docs, spec), "anchors")
-    counts = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = counts.where("least < most" if spec.other_key else "n > 1").select("anchor", (F.col("n") > GROUP_RUNS).alias("large"))
-    shared = common.stage(shared, "shared")  # a plain table, so that a skewed side of the join can be split
-    lists = every.join(shared, "anchor").groupBy("key", "tag").agg(F.collect_set(F.struct("anchor", "lo", "hi", "large")).alias("runs"))
-    rows = common.stage(carried(docs.join(lists, ["key", "tag"]).select("key", "tag", "text", "runs"), spec), "runs")
-    common.discard(every)
-    pair = F.array(F.struct("start", "end"))
-    out = solved(rows.where("name is null"), spec).select("key", "tag", pair.alias("spans"))
-    many = rows.where("name is not null")
-    if not many.isEmpty():
-        out = out.union(large(many, spec))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("print", "check", "key") for f in (F.min, F.max)]
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n"), *ends).where("min_key < max_key" if spec.keep == "smaller" else "n > 1")
+    alike = F.lit(False) if spec.keep == "first" else (F.col("min_print") == F.col("max_print")) & (F.col("min_check") == F.col("max_check"))
+    # tables of their own, so that skewed sides of joins can be split
+    shared = common.stage(shared.select("anchor", alike.alias("alike"), F.col("min_key").alias("least")), "shared")
+    places = common.stage(every.join(shared, "anchor"), "places")
+    common.discard(every, shared)
+    whole = places.where("alike and key > least" if spec.keep == "smaller" else "alike")
+    whole = whole.select("key", "tag", F.array(F.struct(F.col("lo").alias("start"), (F.col("hi") + spec.width).alias("end"))).alias("spans"))
+    mixed = places.where("not alike").withColumnRenamed("anchor", "part")
+    distinct = mixed.groupBy(*NAME).agg(F.count("*").alias("times"), F.min(F.struct("key", "lo", "hi", "tag")).alias("m"))
+    listed = F.collect_list(F.struct(*NAME, F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "times")).alias("runs")
+    lists = distinct.groupBy(F.col("m.key").alias("key"), F.col("m.tag").alias("tag")).agg(listed)
+    once = docs.join(lists, ["key", "tag"]).groupBy("key", "tag").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    pieces = common.stage(carried(once.select("key", "text", "runs"), spec), "pieces")
+    found = found_in(pieces, spec).groupBy(*NAME).agg(F.collect_list(F.struct("start", "end", "bound", "place")).alias("found"))
+    found = common.stage(found, "judged")
+    common.discard(pieces)
+    met = mixed.select(*NAME, "key", "tag", "lo").join(found, NAME)
+    beyond = lambda r: (F.col("key") > r["bound"]) | ((F.col("key") == r["bound"]) & (F.col("lo") > r["place"]))
+    some = F.transform(F.filter("found", beyond), lambda r: F.struct((r["start"] + F.col("lo")).alias("start"), (r["end"] + F.col("lo")).alias("end")))
+    out = whole.union(met.select("key", "tag", some.alias("spans")).where("size(spans) > 0"))
     return out.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

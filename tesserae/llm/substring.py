@@ -62,7 +62,7 @@ def maximal_repeats(codes: np.ndarray, first: np.ndarray, width: int) -> list[tu
 
 
 def spec(width: int = WIDTH) -> repeats.Spec:
-    return repeats.Spec("words", width, min(GRAM, width), passages, True)
+    return repeats.Spec("words", width, min(GRAM, width), passages, "smaller")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,8 +33,8 @@ def previous_factors(lcp: np.ndarray, place: np.ndarray, width: int) -> tuple[np
     row = common.ragged(begin, sizes)
     first = np.cumsum(sizes) - sizes
     low, high = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
-    before, after = nearest_smaller(place[row], low, high)
-    tables = minima(lcp[row], int(sizes.max(initial=1)))
+    before, after = nearest_smaller(place[row].astype(np.int32), low, high)
+    tables = minima(lcp[row].astype(np.int32), int(sizes.max(initial=1)))
     here, length = np.arange(len(row)), np.zeros(len(row), np.int64)
     some = np.flatnonzero(before >= 0)
     length[some] = range_min(tables, before[some] + 1, here[some] + 1)
@@ -67,7 +67,7 @@ def copies(group: repeats.Group, width: int, keep: str) -> tuple[np.ndarray, ...
 
 
 def spec(width: int = WIDTH, keep: str = "none") -> repeats.Spec:
-    return repeats.Spec("bytes", width, min(GRAM, width), partial(copies, keep=keep))
+    return repeats.Spec("bytes", width, min(GRAM, width), partial(copies, keep=keep), keep)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, keep: str = "first", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ class Suffixes:
         self.lcp[1:] = self.common_prefix(at[:-1], at[1:])
 
     def _rank(self, longest: int) -> None:
-        """Ranks of all suffixes by their first 1, 2, 4, ... units (7, 14, ... bytes); 0 stands for what lies beyond a run."""
+        """Ranks of all suffixes by their first 1, 3, 9, ... units (7, 21, ... bytes); 0 stands for what lies beyond a run."""
         if self.codes.dtype == np.uint8:
             wide = np.concatenate((self.codes.astype(np.uint64) + np.uint64(1), np.zeros(PACKED, np.uint64)))
             packed = np.zeros(len(self.codes), np.uint64)
@@ -41,12 +41,16 @@ class Suffixes:
             rank, span = self.codes, 1
         rank = np.unique(rank, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
         self.ranks, self.spans = [rank], [span]
+        self.times = 3 if len(rank) < (1 << 21) - 1 else 2  # ranks that fit into one number
+        shift = np.uint64(21 if self.times == 3 else 32)
         while span < longest:
-            pair = rank.astype(np.uint64) << np.uint64(32)
-            more = np.flatnonzero(self.left > span)
-            pair[more] |= rank[more + span]
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
-            span *= 2
+            joined = rank.astype(np.uint64)
+            for k in range(1, self.times):
+                joined <<= shift
+                more = np.flatnonzero(self.left > k * span)
+                joined[more] |= rank[more + k * span]
+            rank = np.unique(joined, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
+            span *= self.times
             self.ranks.append(rank)
             self.spans.append(span)
 
@@ -55,9 +59,10 @@ class Suffixes:
         out = np.zeros(len(a), np.int64)
         room = np.minimum(self.left[a], self.left[b])
         for rank, span in zip(self.ranks[::-1], self.spans[::-1], strict=True):
-            some = np.flatnonzero(room - out >= span)
-            some = some[rank[a[some] + out[some]] == rank[b[some] + out[some]]]
-            out[some] += span
+            for _ in range(self.times - 1):  # once more would have been a match of the longer span
+                some = np.flatnonzero(room - out >= span)
+                some = some[rank[a[some] + out[some]] == rank[b[some] + out[some]]]
+                out[some] += span
         for _ in range(PACKED - 1 if self.spans[0] > 1 else 0):
             some = np.flatnonzero(room > out)
             some = some[self.codes[a[some] + out[some]] == self.codes[b[some] + out[some]]]
