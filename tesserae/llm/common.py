@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.sources.io import prepare, shared_dir  # noqa: F401  for the operators
+
 #: Bytes of text that one vectorised step works on (a longer text is one step of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -21,25 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, and gives sessions without a shared folder (tests) one."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
@@ -50,12 +30,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that no later step reads."""
-    spark, path = df.sparkSession, getattr(df, "_staged_at", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_staged_at", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffles(spark: SparkSession) -> int:

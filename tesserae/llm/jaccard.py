@@ -328,18 +328,22 @@ def links(ents: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = common.stage(met.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct(), "pairs")
     found = common.stage(verified(first, sets, percent), "links")
     groups = common.stage(components(found), "components")
+    common.discard(found)
     # what is left: candidates between components, each pair with a member outside its list's main component
     named = lists.join(groups.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = common.stage(named.select("token", "id", "n", "s", "at", "l", "component"), "named")
+    common.discard(lists)
     sizes = named.groupBy("token", "component").agg(F.count("*").alias("size"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     open_lists = common.stage(named.join(mains, "token"), "open")
+    common.discard(named)
     apart = open_lists.where("component != main").selectExpr("token", "id as u", "n as nu", "s as su", "at as at_u", "l as lu", "component as cu")
     other = open_lists.selectExpr("token", "id as v", "n as nv", "s as sv", "at as at_v", "l as lv", "component as cv", "main")
     pairs = apart.join(other, "token").where(f"cu != cv and (cv = main or u < v) and {possible(percent)}")
     pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("times"), F.min(F.least("lu", "lv")).alias("l"))
     rest = pairs.where("times >= l").select("u", "v").join(first, ["u", "v"], "left_anti")
     more = common.stage(verified(rest, sets, percent), "links")
+    common.discard(first, open_lists, sets)
     if more.isEmpty():
         return groups
     return components(more.union(groups.toDF("u", "v")))
@@ -352,12 +356,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sets = common.stage(profiles(base, k), "profiles")
     shingles = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(64, 2 * common.shuffles(spark), -(-4 * shingles // BUCKET_BYTES))
+    buckets = max(16, 2 * common.shuffles(spark), -(-4 * shingles // BUCKET_BYTES))
     known = base.where("key is not null")
     classes = sets.where("n > 0 and key is not null").groupBy("e1", "e2", "n").agg(F.min("key").alias("id"))
     back = shared(dealt(known, k, buckets), buckets, buckets)
     found = common.stage(entities(back, buckets, percent), "entities")
     ents = common.stage(found.join(classes, ["e1", "e2", "n"]).select("id", "e1", "e2", "n", "s", "l", "central", "tokens"), "entities")
+    common.discard(found)
     groups = links(ents, known, k, percent)
     named = classes.join(groups.toDF("id", "component"), "id", "left").select("e1", "e2", "n", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "classes")

@@ -290,7 +290,7 @@ def dropped(base: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | None
     own = F.struct("head.key", "head.line")
     verdict = distinct.join(near, "hash", "left").select("hash", F.least(own, F.coalesce("first", own)).alias("first"), "times", own.alias("head"))
     verdict = common.stage(verdict.where("times > 1 or first < head").select("hash", "first"), "verdict")
-    common.discard(keys)
+    common.discard(keys, found, checked, distinct)
     gone = lines.select("key", "tag", "line", "hash").join(verdict, "hash").where(F.struct("key", "line") > F.col("first"))
     return gone.groupBy("key", "tag").agg(F.collect_set("line").alias("gone"))
 

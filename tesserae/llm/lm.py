@@ -12,7 +12,8 @@ of texts and broadcast instead, so no bucket holds a text for each of their occu
 
 Null or empty texts, and texts of one word, have no scored words: their losses and score are 0. Texts are read whole.
 Rows of equal key are scored together as one text; null keys are left out. Without target texts all scores are those of
-an empty target model.
+an empty target model. An empty table gives an empty table; columns other than key and text are not read, whatever their
+names. There are as many buckets as the text needs, so a bucket's share of n-grams doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tesserae.llm import common
 from tesserae.llm.jaccard import _pack, _unpack
 
+#: Bytes of text whose n-grams fill a bucket.
+BUCKET_BYTES = 8 << 20
 #: Added to every count.
 SMOOTHING = 0.05
 #: Share of texts from which an n-gram counts as hot.
@@ -159,10 +162,11 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     named = base.join(F.broadcast(wanted) if few else wanted, "key", "left").select("key", F.coalesce("target", F.lit(False)).alias("target"), "text")
     if not few:
         named = common.stage(named, "texts")
-    buckets = max(64, 2 * common.shuffles(spark))
+    size = named.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(16, 2 * common.shuffles(spark), -(-(size["bytes"] or 0) // BUCKET_BYTES))
     n_target, n_all, n_words = totals(named, buckets)
     scale = n_target / n_all if n_all else 0.0
-    hot, hot_counts = hot_grams(named, named.count())
+    hot, hot_counts = hot_grams(named, size["n"])
 
     def terms(t: np.ndarray, a: np.ndarray, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What an occurrence adds to the two losses: contexts add the log of their count, bigrams take it off."""

@@ -25,3 +25,15 @@ r AS (SELECT DISTINCT doc_id, p FROM (SELECT h.doc_id, unnest(range(k, k + 50))
 a AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
 o AS (SELECT doc_id, count(*) AS kept, string_agg(x, ' ' ORDER BY p) AS t FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = a.doc_id AND r.p = a.p) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)"""
+
+BYTES = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, x, unnest(range(0, octet_length(x) - 399)) AS p FROM d WHERE octet_length(x) >= 400),
+g AS (SELECT doc_id, p, md5(x[p + 1 : p + 400]) AS h FROM w),
+r AS (SELECT doc_id, p FROM g WHERE h IN (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1)),
+s AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s),
+b AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY 1, 2),
+c AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM b),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, string_agg(hex(x[y + 1 : a]), '' ORDER BY a) || any_value(hex(x[last + 1 : octet_length(x)])) AS kept
+  FROM c JOIN d USING (doc_id) JOIN (SELECT doc_id, max(z) AS last FROM b GROUP BY 1) USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hex(x)))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""

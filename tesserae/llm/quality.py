@@ -30,6 +30,8 @@ RIDGE = 1e-3
 BINS = 2000
 THRESHOLD = 0.3
 SEED = 20240501
+#: Largest list of labels that is broadcast, by its measured size; beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _KINDS = np.full(256, 7, np.uint8)  # 7: bytes of letters beyond ASCII
 _KINDS[:128] = 6  # other signs
@@ -85,16 +87,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate((kinds / per, signs, more), 1)
 
 
-def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stats): the statistics of each whole text as doubles in a binary."""
+def described(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """(key, stats, ...): the statistics of each whole text as doubles in a binary, and more columns as they are."""
     schema = docs.select(key).schema.add("stats", "binary")
+    for f in docs.select(*more).schema.fields:
+        schema = schema.add(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches, text):
             x = statistics(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), common.binaries(x.ravel(), np.arange(len(x) + 1) * N_STATS)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), common.binaries(x.ravel(), np.arange(len(x) + 1) * N_STATS), *rows.columns[2:]], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *more).mapInArrow(run, schema)
 
 
 @dataclass
@@ -240,12 +244,14 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score the threshold or more, as they are. Scored in one pass beside all their columns."""
+    """The rows of docs that score the threshold or more, as they are. Labelled texts are described for the fit, and all
+    are scored in one pass beside all their columns."""
     common.prepare(docs.sparkSession)
-    known = labels.where(~held_out(key)).select(key, F.col(label).alias("label"))
-    stats = common.stage(described(docs, key, text), "stats")
-    model = fit(stats.join(known, key).select(key, "stats", "label"), key)
-    common.discard(stats)
+    known = common.stage(labels.where(~held_out(key)).select(key, F.col(label).alias("label")), "known")
+    few = known.count() * 16 <= BROADCAST_BYTES
+    rows = docs.select(key, text).join(F.broadcast(known) if few else known, key)
+    model = fit(described(rows, key, text, "label"), key)
+    common.discard(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches, text):

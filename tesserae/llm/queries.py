@@ -25,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op2_topk_dual_cover_tree": oracles.TOP_K,
     "op3_jaccard_adaptive_prefixes": oracles.JACCARD,
     "op8_substring_suffix_trees": oracles.SUBSTRING,
+    "op9_suffix_array_lpf": oracles.BYTES,
 }

@@ -60,6 +60,54 @@ def test_quality_edges(spark, docs):
     assert quality.accepted(clash, none).columns == clash.columns
 
 
+def test_quality_against_plain_ridge(spark):
+    """The whole chain, moments, features, weighted normal equations and calibration, against numpy on all rows at once."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ids = sorted(texts)
+    data = [texts[i].encode() for i in ids]
+    x = np.concatenate([quality.statistics(np.frombuffer(d, np.uint8), np.array([0, len(d)])) for d in data])
+    known = [i for i in ids if i in labels and zlib.crc32(str(i).encode()) % 5]
+    h = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in known], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(5)).alias("h")).collect()}
+    at = np.array([ids.index(i) for i in known])
+    y, later = np.array([labels[i] for i in known], float), np.array([h[i] == 0 for i in known])
+    mean, scale = x[at].mean(0), x[at].std(0)
+    scale[scale <= 1e-9] = 1
+    rng, d = np.random.default_rng(quality.SEED), quality.FEATURES
+    w, b = rng.normal(size=(x.shape[1], d)) / quality.WIDTH, rng.uniform(0, 2 * np.pi, d)
+    z = np.hstack((np.ones((len(x), 1)), np.sqrt(2 / d) * np.cos(np.clip((x - mean) / scale, -6, 6) @ w + b)))
+    fit, share = at[~later], y.mean()
+    weight = np.where(y[~later] > 0.5, 0.5 / share, 0.5 / (1 - share))
+    a = (z[fit] * weight[:, None]).T @ z[fit] + quality.RIDGE * len(known) / d * np.eye(d + 1)
+    raw = z @ np.linalg.solve(a, (z[fit] * weight[:, None]).T @ (2 * y[~later] - 1))
+    bins = np.clip((raw[at[later]] + 2) / 4 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    seen = np.unique(bins)
+    level = np.array([y[later][bins == k].mean() for k in seen])
+    n = np.array([(bins == k).sum() for k in seen], float)
+    for _ in range(len(seen)):  # pooling until nothing falls
+        drop = np.flatnonzero(np.diff(level) < -1e-12)
+        if not len(drop):
+            break
+        k = drop[0]
+        block = [j for j in range(len(level)) if level[j] == level[k] or level[j] == level[k + 1]]
+        block = list(range(min(j for j in block if j <= k), max(j for j in block if j >= k) + 1))
+        level[block] = np.average(level[block], weights=n[block])
+    want = dict(zip(ids, np.interp(raw, -2 + (seen + 0.5) * 4 / quality.BINS, level)))
+    got = {r["doc_id"]: r["score"] for r in quality.query(spark, sf).collect()}
+    assert max(abs(got[i] - want[i]) for i in ids) < 1e-6
+
+
+def test_quality_of_odd_rows(spark, docs):
+    """Null and repeated ids, null labels, several labels of one id, extra columns of clashing names, very long texts."""
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b c"), (None, "a"), (2, None), (3, "word " * 200_000)], DOC).withColumn("label", F.lit(3)).withColumn("quality", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = quality.classify(rows, labels).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 1}) <= 2
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    assert quality.accepted(rows, labels).columns == rows.columns
+
+
 def test_pava():
     assert quality.pava(np.array([0.0, 2.0, 1.0, 3.0]), np.ones(4)).tolist() == [0, 1.5, 1.5, 3]
 
@@ -337,6 +385,27 @@ def test_bpe_parts():
         assert ids[e - n : e].tolist() == c.merged_long(w)
 
 
+def odd(spark):
+    """Rows that operators must survive: null and repeated keys, null and empty texts, columns of clashing names."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "x"), (None, "a b c d e f"), (2, None), (3, ""), (4, "w " * 50_000)]
+    out = spark.createDataFrame(rows, DOC)
+    for name in ("key", "n", "ids", "part", "start", "score", "bucket", "target", "label"):
+        out = out.withColumn(name, F.lit("clash"))
+    return out
+
+
+def test_odd_rows_of_other_operators(spark, tokenizer):
+    rows = odd(spark)
+    got = bpe.digests(rows, bpe.vocabulary()).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows.collect())
+    pieces = packing.pack(rows, bpe.vocabulary(), window=16).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] + 1 for r in got)
+    target = spark.createDataFrame([(1,)], "doc_id long")
+    scored = lm.score(rows, target).collect()
+    assert sorted(r["doc_id"] for r in scored) == [1, 2, 3, 4] and {r["doc_id"]: r["n_scored"] for r in scored} == {1: 10, 2: 0, 3: 0, 4: 49_999}
+    assert lm.score(rows.limit(0), target).count() == 0 and bpe.digests(rows.limit(0), bpe.vocabulary()).count() == 0
+
+
 def test_packing(spark, docs, corpus, tokenizer):
     pieces = packing.pack(docs, bpe.vocabulary(), window=64).collect()
     at = {}
@@ -421,21 +490,19 @@ def test_lines_query_takes_short_lines(spark, tmp_path):
     assert got == {1: (0, brute.sha(docs[0][1])), 2: (3, brute.sha("\nown")), 3: (0, brute.sha(docs[2][1])), 4: (1, brute.sha(""))}
 
 
-#: Runs with one anchor that are joined first, and bytes beyond which their group is split: from one round to all four.
-SIZES = [(256, 1 << 20), (3, 1 << 20), (3, 3000), (2, 0)]
+#: Bytes beyond which a group is split: never, some, every one up to single windows.
+SIZES = [1 << 20, 3000, 0]
 
 
-@pytest.mark.parametrize("runs,size", SIZES)
-def test_substring(docs, corpus, runs, size, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP_RUNS", runs)
+@pytest.mark.parametrize("size", SIZES)
+def test_substring(docs, corpus, size, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring.dedup(docs).collect()}
     assert got == brute.word_windows(corpus)
 
 
-@pytest.mark.parametrize("runs,size,keep", [(*x, keep) for x in SIZES for keep in ("none", "first")][:-1])
-def test_suffix(docs, corpus, runs, size, keep, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP_RUNS", runs)
+@pytest.mark.parametrize("size,keep", [(1 << 20, "none"), (3000, "none"), (0, "none"), (1 << 20, "first"), (0, "first")])
+def test_suffix(docs, corpus, size, keep, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix.dedup(docs, keep=keep).collect()}
     assert got == brute.byte_windows(corpus, keep=keep)

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -67,3 +68,22 @@ def test_packing(outputs):
 
 def test_run(spark, outputs):
     assert corpus_pipeline.run(spark, SF).count() == outputs[-1][2].count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Null keys and texts, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    passage = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, passage, "en", "s", 5), (1, passage, "en", "s", 5), (2, "own words here\n" + passage, None, "s", None), (None, passage, "en", None, 1), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "v " * 60_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("key", "tag", "n", "units", "score", "gone", "spans"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert (1, passage) in kept and (2, "own words here") in kept and (None, passage) in kept and (3, None) in kept
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, None}
+    cut = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substring_dedup(spark, docs, SF).collect()}
+    assert (2, "own words here") in cut and (1, passage) in cut and (None, passage) in cut
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, None}
