@@ -19,6 +19,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a column that only a lambda uses would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Only A-Z: lower() would also turn the Kelvin sign into an ASCII k."""
     return F.translate(as_col(c), UPPER, LOWER)

@@ -84,9 +84,9 @@ def chained(docs: DataFrame, key: str, seed: str, hops: int = 3, least: int = LE
     said = [F.concat(F.lit("Let "), F.get("names", F.lit(0)), F.lit(" be "), F.col("value"), F.lit("."))] + [F.concat(F.lit("Let "), F.get("names", F.lit(j)), F.lit(" be equal to "), F.get("names", F.lit(j - 1)), F.lit(".")) for j in range(1, hops)]
     note = [F.concat(F.lit("For the record, the code of "), F.get("names", F.lit(j)), F.lit(" is "), F.get("codes", F.lit(j)), F.lit(".")) for j in range(hops)]
     lines = F.array(*(F.struct(x.alias("place"), a.alias("a"), b.alias("b")) for x, a, b in zip(place, said, note, strict=True)))
-    rows = rows.withColumn("lines", lines)
-    before = F.flatten(F.transform("p", lambda x, i: F.concat(F.flatten(F.transform(F.filter("lines", lambda h: h["place"] == i), lambda h: F.array(h["a"], h["b"]))), F.array(x))))
-    rows = rows.withColumn("doc", F.array_join(before, "\n\n"))
+    planted_at = lambda h, i: F.flatten(F.transform(F.filter(h, lambda x: x["place"] == i), lambda x: F.array(x["a"], x["b"])))
+    whole = tx.let(lines, lambda h: F.flatten(F.transform("p", lambda x, i: F.concat(planted_at(h, i), F.array(x)))))
+    rows = rows.withColumn("doc", F.array_join(whole, "\n\n"))
     ask = [(F.concat(F.lit("What is the value of "), F.get("names", F.lit(j)), F.lit("?")), F.concat(F.lit("The value of "), F.get("names", F.lit(j)), F.lit(" is")), F.col("value")) for j in range(hops)]
     ask += [(F.concat(F.lit("What is the code of "), F.get("names", F.lit(j)), F.lit("?")), F.concat(F.lit("The code of "), F.get("names", F.lit(j)), F.lit(" is")), F.get("codes", F.lit(j))) for j in range(hops)]
     style = F.get(F.array(*map(F.lit, STYLES)), pick("style", len(STYLES)))
