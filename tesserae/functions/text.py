@@ -30,7 +30,7 @@ def ascii_lower(c: Column | str) -> Column:
 
 
 def norm(c: Column | str) -> Column:
-    """[S1] Lower-case ASCII words and digits joined by single spaces."""
+    """[S1] Lower-case ASCII words and digits joined by single spaces; null stays null."""
     return F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
 
 

@@ -36,13 +36,13 @@ def anchored(pats: DataFrame) -> DataFrame:
 
 
 def keys_of(norm: Column, stretches: bool) -> Column:
-    """A text's distinct words, and the stretches of its long words if any probe needs them."""
+    """A text's words, and the stretches of its long words if any probe needs them."""
     words = F.split(norm, " ")
     if not stretches:
-        return F.array_distinct(words)
+        return words
     long = F.filter(words, lambda w: F.length(w) >= STRETCH)
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - STRETCH + 1), lambda i: F.substr(w, i, F.lit(STRETCH)))
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(long, cut))))
+    return F.concat(words, F.flatten(F.transform(long, cut)))
 
 
 def hits(docs: DataFrame, probes: DataFrame, strategy: str = "anchor") -> DataFrame:
@@ -57,16 +57,17 @@ def hits(docs: DataFrame, probes: DataFrame, strategy: str = "anchor") -> DataFr
         return _automaton(docs, pats)
     anchors = anchored(pats)
     size = anchors.agg(F.count("*").alias("n"), F.count_if(~F.col("inner")).alias("stretches")).first()
+    docs = docs.withColumn("norm", F.coalesce("norm", F.lit("")))  # else a filter on null would compute every text twice
     keys = keys_of(F.col("norm"), size["stretches"] > 0)
     if size["n"] > BROADCAST_PROBES:
-        found = docs.select("doc", F.explode(keys).alias("anchor")).join(anchors.select("anchor", "pat"), "anchor")
+        found = docs.select("doc", F.explode(F.array_distinct(keys)).alias("anchor")).join(anchors.select("anchor", "pat"), "anchor")
         return found.select("doc", "pat").distinct().join(docs, "doc").where(F.contains("norm", F.col("pat"))).select("doc", "pat")
     bits = min(MOST_BITS, 1 << max(10, (SIEVE * size["n"]).bit_length()))
     place = lambda w: F.pmod(F.xxhash64(w), F.lit(bits)).cast("int")
     full = {r["p"] for r in anchors.select(place(F.col("anchor")).alias("p")).distinct().collect()}  # one a probe at most
     sieve = F.split(F.lit("".join("1" if j in full else "0" for j in range(bits))), "")  # folded into one constant
     some = F.filter(keys, lambda w: F.get(sieve, place(w)) == "1")
-    spread = docs.select("doc", "norm", F.explode(some).alias("anchor"))
+    spread = docs.select("doc", "norm", F.explode(F.array_distinct(some)).alias("anchor"))
     return spread.join(F.broadcast(anchors.select("anchor", "pat")), "anchor").where(F.contains("norm", F.col("pat"))).select("doc", "pat")
 
 
@@ -106,10 +107,12 @@ def item_hits(found: DataFrame, probes: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, found: DataFrame, before: int = 200, after: int = 120) -> DataFrame:
     """[S4] (doc, pat, end, ctx): every place of a hit, overlaps included, by its last character (from 0), and the text
-    around it. found: (doc, pat)."""
+    around it. found: (doc, pat). Texts are ASCII, as norm() makes them, so places are places of bytes."""
     rows = found.join(docs, "doc")
     n = F.length("pat")
-    starts = F.filter(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substr("norm", i, n) == F.col("pat"))
+    both = F.struct(F.col("norm").cast("binary").alias("text"), F.col("pat").cast("binary").alias("pat"))
+    every = F.sequence(F.lit(1), F.length("norm") - n + 1)
+    starts = tx.let(both, lambda b: F.filter(every, lambda i: F.substr(b["text"], i, n) == b["pat"]))
     placed = rows.select("doc", "pat", "norm", F.explode(F.transform(starts, lambda i: i + n - 2)).alias("end"))
     begin = F.greatest(F.lit(0), F.col("end") - before)
     return placed.select("doc", "pat", "end", F.col("norm").substr(begin + 1, F.col("end") + after - begin).alias("ctx"))
