@@ -276,7 +276,8 @@ def postings(ents: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """(id, hashes): of each entity (id, e1, e2) all its shingles' hashes, sorted. docs: key, text."""
+    """(id, hashes): of each entity (id, e1, e2, again) all its shingles' hashes, sorted; once, also where the key has rows
+    again. docs: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
@@ -285,8 +286,11 @@ def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
             own = np.flatnonzero((a == rows.column(2).to_numpy()) & (b == rows.column(3).to_numpy()))  # not another row of that key
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], names=["id", "hashes"])
 
-    found = docs.join(named.select(F.col("id").alias("key"), "e1", "e2"), "key").select("key", "text", "e1", "e2")
-    return found.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+    wanted = named.select(F.col("id").alias("key"), "e1", "e2", "again")
+    few = wanted.count() * 32 <= BROADCAST_BYTES
+    found = docs.join(F.broadcast(wanted) if few else wanted, "key")
+    read = lambda some: some.select("key", "text", "e1", "e2").mapInArrow(run, "id long, hashes binary")
+    return read(found.where("not again")).union(read(found.where("again")).dropDuplicates(["id"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,9 +363,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     buckets = max(16, 2 * common.shuffles(spark), -(-4 * shingles // BUCKET_BYTES))
     known = base.where("key is not null")
     classes = sets.where("n > 0 and key is not null").groupBy("e1", "e2", "n").agg(F.min("key").alias("id"))
+    again = sets.where("key is not null").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("key").alias("id"), F.lit(True).alias("again"))
     back = shared(dealt(known, k, buckets), buckets, buckets)
     found = common.stage(entities(back, buckets, percent), "entities")
-    ents = common.stage(found.join(classes, ["e1", "e2", "n"]).select("id", "e1", "e2", "n", "s", "l", "central", "tokens"), "entities")
+    ents = found.join(classes, ["e1", "e2", "n"]).join(again, "id", "left")
+    ents = common.stage(ents.select("id", "e1", "e2", "n", "s", "l", "central", "tokens", F.coalesce("again", F.lit(False)).alias("again")), "entities")
     common.discard(found)
     groups = links(ents, known, k, percent)
     named = classes.join(groups.toDF("id", "component"), "id", "left").select("e1", "e2", "n", F.coalesce("component", "id").alias("component"))
