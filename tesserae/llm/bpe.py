@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import common
 
 #: Words that a worker remembers between chunks.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Bytes of text encoded in one vectorised step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Bytes of a word that one greedy walk covers.
 PIECE = 4096
 #: Failing words over this many bytes are merged with a heap each instead of in a padded matrix.
@@ -455,7 +455,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    out = Codec(path)
+    common.released()  # of what was needed to build it
+    return out
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

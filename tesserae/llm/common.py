@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.sources.io import prepare, shared_dir  # noqa: F401  for the operators
 
 #: Bytes of text that one vectorised step works on (a longer text is one step of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +45,13 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def released() -> None:
+    """Gives memory that numpy and Arrow have done with back to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The column as strings without nulls: a null text counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -65,6 +74,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(to, at + 20_000, len(col))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    released()
 
 
 _IS_SPACE = np.zeros(256, bool)
@@ -99,7 +109,7 @@ def _powers(n: int) -> dict[str, np.ndarray]:
                 more = min(done, n - done)
                 out[done : done + more] = _reduced(out[:more] * np.uint64(pow(base, done, int(_PRIME))))
                 done += more
-            _tables[key] = out
+            _tables[key] = out.astype(np.uint32)
     return _tables
 
 
@@ -160,14 +170,11 @@ def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """31-bit hashes of stretches of bytes that have nothing in common with span_hashes()."""
     n = len(data)
     if len(_tables.get("second_up", ())) < n + 1:
-        t, many = _powers(n + 1), max(n + 1, CHUNK_BYTES + 4096)
+        many = max(n + 1, CHUNK_BYTES + 4096)
+        t = _powers(many)
         for key, of in (("second_up", "prime_up"), ("second_down", "prime_down")):  # the powers of the square of a base
-            twice = np.arange(many) * 2
-            low = t[of][np.minimum(twice, len(t[of]) - 1)]
-            out = low.copy()
-            far = np.flatnonzero(twice >= len(t[of]))
-            out[far] = _reduced(t[of][twice[far] // 2] * t[of][twice[far] // 2])
-            _tables[key] = out.astype(np.uint32)
+            half = t[of][:many].astype(np.uint64)
+            _tables[key] = _reduced(half * half).astype(np.uint32)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_reduced((data.astype(np.uint64) + np.uint64(77)) * _tables["second_up"][:n]), out=sums[1:])
     return _reduced(_reduced(sums[ends] - sums[starts]) * _tables["second_down"][starts])

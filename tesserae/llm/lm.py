@@ -83,7 +83,7 @@ def totals(docs: DataFrame, buckets: int) -> tuple[float, float, float]:
     """(target tokens, all tokens, distinct words): exact sums over the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in common.chunks(batches, limit=4 << 20):
+        for rows, data, offsets in common.chunks(batches, limit=2 << 20):
             data = common.lower(data)
             starts, ends, first = common.word_spans(data, offsets)
             n = np.diff(first)
@@ -123,7 +123,7 @@ def hot_grams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts in target and all texts) of the n-grams in at least HOT_SHARE of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in common.chunks(batches, limit=4 << 20):
+        for rows, data, offsets in common.chunks(batches, limit=2 << 20):
             text, gram, times, _ = grams(data, offsets)
             aim = np.asarray(rows.column(1).to_pylist(), bool)
             uniq, which, texts = np.unique(gram, return_inverse=True, return_counts=True)
@@ -137,7 +137,7 @@ def hot_grams(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, a = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        for rows, data, offsets in common.chunks(batches, limit=4 << 20):
+        for rows, data, offsets in common.chunks(batches, limit=2 << 20):
             text, gram, times, _ = grams(data, offsets)
             aim = np.asarray(rows.column(1).to_pylist(), bool)
             at = np.minimum(np.searchsorted(names, gram), len(names) - 1)

@@ -83,7 +83,7 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
     assert (1, passage) in kept and (2, "own words here") in kept and (None, passage) in kept and (3, None) in kept
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, None}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 3, 4, 5, None}  # 2 is 0.97 like 1
     cut = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substring_dedup(spark, docs, SF).collect()}
     assert (2, "own words here") in cut and (1, passage) in cut and (None, passage) in cut
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, SF).collect()} == {1, 2, 3, 4, 5, None}
