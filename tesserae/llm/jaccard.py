@@ -7,8 +7,10 @@ cost of reading postings and verifying candidates; a pair must match min(l, l')
 
 How the work is dealt out:
 - document frequencies: shingles travel packed, four bytes each, to buckets by hash, of which there are as many as the
-  shingles need; equal sets travel as one entity. What is left of a shingle's hash (its bucket and four bytes) only
-  proposes: shingles that meet by chance make frequencies and prefixes a little larger, never smaller.
+  shingles need. In a bucket a set goes by its number in its chunk of texts, about two bytes; what it is called travels
+  once a chunk. Rows that copy another row's set stay at home, but for keys that have rows again: their copies count
+  twice in frequencies. What is left of a shingle's hash (its bucket and four bytes) only proposes. Both, and shingles
+  that meet by chance, make frequencies and prefixes a little larger, never smaller.
 - shingles of one entity alone match nothing and are not kept; an entity with fewer than t n shared ones has no partner.
 - first links: each entity is verified against a few hubs per posting list (the most central entity and some at
   random), which settles large groups of near copies in linear work; then all candidate pairs between different
@@ -97,12 +99,35 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_SENT = (np.int64, np.int64, np.uint32, np.uint16, np.uint32)  # e1, e2, n, shingles here, shingles
-_BACK = (np.int64, np.int64, np.uint32, np.uint16, np.uint32, np.uint32)  # e1, e2, n, shingles here, shingles, frequencies
+#: chunk, gaps and counts of its entities here, shingles
+_SENT = (np.int64, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32)
+#: chunks, entities here of each, their gaps and counts, shingles, frequencies
+_BACK = (np.int64, np.uint32, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32, np.uint8, np.uint32)
+#: chunk, e1, e2, n of all its entities
+_NAMES = (np.int64, np.int64, np.int64, np.uint32)
+
+
+def _small(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers as a byte each, and what is left of those that a byte does not hold."""
+    return [np.minimum(x, 255).astype(np.uint8), (x[x >= 255] - 255).astype(np.uint32)]
+
+
+def _whole(low: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[low == 255] += more
+    return out
+
+
+def _chunk_name(e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """A 128-bit name of a chunk by its entities, so a task that runs again names it alike."""
+    x, y = e1.view(np.uint64), e2.view(np.uint64)
+    sums = [common.mix(x ^ common.mix(y)).sum(dtype=np.uint64), common.mix(y + np.uint64(3) * common.mix(x)).sum(dtype=np.uint64)]
+    return np.array(sums, np.uint64).view(np.int64)
 
 
 def dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(bucket, payload): the shingles of a chunk of texts that fall into one bucket."""
+    """(bucket, names, payload): the shingles of a chunk of texts that fall into one bucket, by the entity's number in its
+    chunk; once a chunk (names) what its entities are called."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in common.chunks(batches):
@@ -113,93 +138,79 @@ def dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             _, own = np.unique(np.stack((e1, e2)), axis=1, return_index=True)
             sets, e1, e2 = [sets[i] for i in own], e1[own], e2[own]
             n = np.array([len(s) for s in sets])
+            chunk = _chunk_name(e1, e2)
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
             bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             flat, owner = flat[order].astype(np.uint32), owner[order]
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ids, blobs = [], []
+            ids, blobs = [int(chunk.view(np.uint64)[0] % np.uint64(buckets))], [_pack([chunk, e1, e2, n.astype(np.uint32)])]
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 lo, hi = bounds[b], bounds[b + 1]
-                who, at = np.unique(owner[lo:hi], return_index=True)
-                counts = np.diff(np.append(at, hi - lo))
-                while (counts > 0xFFFF).any():  # a very long text: its counts are split
-                    j = int(np.argmax(counts > 0xFFFF))
-                    who, counts = np.insert(who, j, who[j]), np.insert(counts, j, 0xFFFF)
-                    counts[j + 1] -= 0xFFFF
+                at = np.flatnonzero(np.diff(owner[lo:hi], prepend=-1))
                 ids.append(b)
-                blobs.append(_pack([e1[who], e2[who], n[who].astype(np.uint32), counts.astype(np.uint16), flat[lo:hi]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "payload"])
+                blobs.append(_pack([chunk, *_small(np.diff(owner[lo:hi][at], prepend=0)), *_small(np.diff(at, append=hi - lo)), flat[lo:hi]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.arange(len(ids)) == 0), pa.array(blobs, pa.binary())], names=["bucket", "names", "payload"])
 
-    return docs.mapInArrow(run, "bucket int, payload binary")
+    return docs.mapInArrow(run, "bucket int, names boolean, payload binary")
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Complete buckets of a partition that is sorted by bucket."""
-    held: list[bytes] = []
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+    """(bucket, names, payloads): complete buckets of a partition that is sorted by bucket."""
+    held: tuple[list[bytes], list[bytes]] = ([], [])
     now = None
     for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if b != now and held:
-                yield now, held
-                held = []
+        for b, names, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if b != now and now is not None:
+                yield now, *held
+                held = ([], [])
             now = b
-            held.append(blob.as_py())
-    if held:
-        yield now, held
+            held[not names].append(blob.as_py())
+    if now is not None:
+        yield now, *held
 
 
 def shared(sent: DataFrame, buckets: int, homes: int) -> DataFrame:
-    """(home, payload): for each entity, its shingles of this bucket that another entity has too, with frequencies."""
+    """(home, names, payload): for each entity, its shingles of this bucket that another entity has too, with frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in by_bucket(batches):
-            parts = [_unpack(x, _SENT) for x in blobs]
-            e1, e2, n, counts, tokens = (np.concatenate([p[j] for p in parts]) for j in range(5))
-            counts = counts.astype(np.int64)
-            chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            order = np.lexsort((chunk, e2, e1))
-            a, b, c = e1[order], e2[order], chunk[order]
-            head = np.ones(len(order), bool)
-            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            group = np.cumsum(head) - 1
-            keep = np.zeros(len(order), bool)
-            keep[order] = c == c[head][group]  # an equal set from another chunk brings the same shingles
-            entity = np.empty(len(order), np.int64)
-            entity[order] = group
-            at = np.cumsum(counts) - counts
-            owner = np.repeat(entity[keep], counts[keep])
-            tokens = tokens[common.ragged(at[keep], counts[keep])]
-            first = order[head]
-            e1, e2, n = e1[first], e2[first], n[first]
+        for bucket, names, blobs in by_bucket(batches):
+            if names:  # on to the chunk's home
+                home = [int(np.frombuffer(x, np.uint64, 1, 4 * len(_NAMES))[0] % np.uint64(homes)) for x in names]
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array([True] * len(names)), pa.array(names, pa.binary())], names=["home", "names", "payload"])
+            parts = list({p[0].tobytes(): p for p in (_unpack(x, _SENT) for x in blobs)}.values())  # a chunk of equal rows counts once
+            if not parts:
+                continue
+            chunks = np.stack([p[0] for p in parts])
+            local = [np.cumsum(_whole(p[1], p[2])) for p in parts]
+            counts = np.concatenate([_whole(p[3], p[4]) for p in parts])
+            tokens = np.concatenate([p[5] for p in parts])
+            chunk, local = np.repeat(np.arange(len(parts)), [len(x) for x in local]), np.concatenate(local)
+            owner = np.repeat(np.arange(len(local)), counts)
             order = np.argsort(tokens, kind="stable")
             t = tokens[order]
             new = np.ones(len(t), bool)
             new[1:] = t[1:] != t[:-1]
             run_of = np.cumsum(new) - 1
-            df = np.bincount(run_of)[run_of] if len(t) else np.zeros(0, np.int64)
+            df = np.bincount(run_of)[run_of]
             many = df > 1
             t, df, owner = t[many], df[many], owner[order][many]
-            home = (e1[owner].view(np.uint64) % np.uint64(homes)).astype(np.int64)
+            home = (chunks[:, 0].view(np.uint64) % np.uint64(homes)).astype(np.int64)[chunk[owner]]
             order = np.lexsort((owner, home))
             t, df, owner, home = t[order], df[order], owner[order], home[order]
             bounds = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))) if len(home) else np.zeros(1, np.int64)
             ids, out = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                who, at = np.unique(owner[lo:hi], return_index=True)
-                counts = np.diff(np.append(at, hi - lo))
-                big = counts > 0xFFFF
-                if big.any():
-                    reps = -(-counts // 0xFFFF)
-                    who = np.repeat(who, reps)
-                    split = np.full(int(reps.sum()), 0xFFFF)
-                    split[np.cumsum(reps) - 1] = counts - (reps - 1) * 0xFFFF
-                    counts = split
+                at = np.flatnonzero(np.diff(owner[lo:hi], prepend=-1))
+                who = owner[lo:hi][at]
+                first = np.flatnonzero(np.diff(chunk[who], prepend=-1))
+                gaps = np.diff(local[who], prepend=0)
+                gaps[first] = local[who][first]
                 ids.append(home[lo])
-                out.append(np.int32(bucket).tobytes() + _pack([e1[who], e2[who], n[who], counts.astype(np.uint16), t[lo:hi], df[lo:hi].astype(np.uint32)]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(out, pa.binary())], names=["home", "payload"])
+                out.append(np.int32(bucket).tobytes() + _pack([chunks[chunk[who][first]].ravel(), np.diff(first, append=len(who)).astype(np.uint32), *_small(gaps), *_small(np.diff(at, append=hi - lo)), t[lo:hi], *_small(df[lo:hi])]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([False] * len(ids), pa.bool_()), pa.array(out, pa.binary())], names=["home", "names", "payload"])
 
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "home int, payload binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "home int, names boolean, payload binary")
 
 
 def required(n: np.ndarray, percent: int) -> np.ndarray:
@@ -228,22 +239,34 @@ def entities(back: DataFrame, homes: int, percent: int) -> DataFrame:
     tokens is the prefix of these, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_bucket(batches):
+        for _, names, blobs in by_bucket(batches):
+            called = {p[0].tobytes(): p for p in (_unpack(x, _NAMES) for x in names)}
+            base = dict(zip(called, np.cumsum([0, *(len(p[1]) for p in called.values())]).tolist(), strict=False))
             parts = [(np.frombuffer(x, np.int32, 1)[0], _unpack(x[4:], _BACK)) for x in blobs]
-            e1, e2, n, counts, tokens, df = (np.concatenate([p[j] for _, p in parts]) for j in range(6))
-            high = np.repeat(np.array([b for b, _ in parts], np.uint64), [len(p[4]) for _, p in parts])
+            if not parts:
+                continue
+            e1, e2, n = (np.concatenate([p[j] for p in called.values()]) for j in (1, 2, 3))
+            entity = []
+            for _, (chunks, per, gaps, more, *_) in parts:
+                steps = np.cumsum(_whole(gaps, more))
+                first = np.cumsum(per, dtype=np.int64) - per
+                begin = np.array([base[chunks[2 * j : 2 * j + 2].tobytes()] for j in range(len(per))], np.int64)
+                entity.append(steps + np.repeat(begin - np.append(0, steps)[first], per))
+            entity = np.concatenate(entity)
+            counts = np.concatenate([_whole(p[4], p[5]) for _, p in parts])
+            tokens, df = np.concatenate([p[6] for _, p in parts]), np.concatenate([_whole(p[7], p[8]) for _, p in parts])
+            high = np.repeat(np.array([b for b, _ in parts], np.uint64), [len(p[6]) for _, p in parts])
             tokens = (high << np.uint64(32)) | tokens
-            counts = counts.astype(np.int64)
-            order = np.lexsort((e2, e1))
-            a, b = e1[order], e2[order]
-            head = np.ones(len(order), bool)
-            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            order = np.argsort(entity, kind="stable")
+            who = entity[order]
+            a, b, n = e1[who], e2[who], n[who]
+            head = np.diff(who, prepend=-1) != 0
             at = (np.cumsum(counts) - counts)[order]
             pick = common.ragged(at, counts[order])
-            tokens, df = tokens[pick], df[pick].astype(np.int64)
+            tokens, df = tokens[pick], df[pick]
             starts = np.flatnonzero(head)
             total = np.add.reduceat(counts[order], starts) if len(starts) else np.zeros(0, np.int64)
-            size = n[order][starts].astype(np.int64)
+            size = n[starts].astype(np.int64)
             begin = np.cumsum(total) - total
             out = []
             for j in np.flatnonzero(total >= required(size, percent)).tolist():
@@ -362,13 +385,18 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     shingles = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(16, 2 * common.shuffles(spark), -(-4 * shingles // BUCKET_BYTES))
     known = base.where("key is not null")
-    classes = sets.where("n > 0 and key is not null").groupBy("e1", "e2", "n").agg(F.min("key").alias("id"))
+    classes = sets.where("n > 0 and key is not null").groupBy("e1", "e2", "n").agg(F.min("key").alias("id"), F.count("*").alias("times"))
     again = sets.where("key is not null").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("key").alias("id"), F.lit(True).alias("again"))
-    back = shared(dealt(known, k, buckets), buckets, buckets)
+    copies = sets.join(classes.where("times > 1"), ["e1", "e2", "n"]).where("key > id").join(again.select(F.col("id").alias("key")), "key", "left_anti").select("key")
+    copies = common.stage(copies, "copies")
+    few = copies.count() * 8 <= BROADCAST_BYTES
+    own = known.join(F.broadcast(copies) if few else copies, "key", "left_anti")
+    back = shared(dealt(own, k, buckets), buckets, buckets)
     found = common.stage(entities(back, buckets, percent), "entities")
-    ents = found.join(classes, ["e1", "e2", "n"]).join(again, "id", "left")
+    ents = found if again.isEmpty() else found.dropDuplicates(["e1", "e2", "n"])
+    ents = ents.join(classes, ["e1", "e2", "n"]).join(again, "id", "left")
     ents = common.stage(ents.select("id", "e1", "e2", "n", "s", "l", "central", "tokens", F.coalesce("again", F.lit(False)).alias("again")), "entities")
-    common.discard(found)
+    common.discard(found, copies)
     groups = links(ents, known, k, percent)
     named = classes.join(groups.toDF("id", "component"), "id", "left").select("e1", "e2", "n", F.coalesce("component", "id").alias("component"))
     named = common.stage(named, "classes")

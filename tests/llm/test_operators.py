@@ -308,6 +308,27 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in jaccard.representatives(rows).collect()) == [0, 1, 1, 2]
 
 
+def test_jaccard_travels_light(spark):
+    """What is dealt to buckets is hardly more than the shingles' four bytes, however many buckets there are."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(400)]
+    sent = jaccard.dealt(spark.createDataFrame(rows, "key long, text string").repartition(2), 5, 400)
+    assert sent.agg(F.sum(F.length("payload"))).first()[0] < 8 * 400 * 296
+
+
+def test_jaccard_copies_in_many_chunks(spark):
+    """Copies and repeated keys in several chunks, a text of many shingles and a chunk of many short texts."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (60, 700, 30_000)]
+    near = [w[:20] + ["new"] + w[21:] for w in base]
+    text = lambda w: " ".join(w)
+    rows = [(1, text(base[0])), (1, "c d"), (1, text(base[0])), (2, text(base[0])), (3, text(near[0])), (4, text(base[1])), (5, text(near[1])), (6, text(base[2])), (7, text(near[2])), (8, text(base[2])), (9, text(near[1]))]
+    rows += [(100 + i, f"s{i // 2}") for i in range(3000)]
+    want = {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {4}, 6: {6}, 7: {6}, 8: {6}, 9: {4}} | {100 + i: {100 + i - i % 2} for i in range(3000)}
+    got = [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC).repartition(5)).collect()]
+    assert len(got) == len(rows) and {k: {c for x, _, c in got if x == k} for k in want if k < 100} | {x: {c} for x, _, c in got if x >= 100} == want
+
+
 def test_prefix_choice():
     match, size = jaccard.choose(100, np.array([2.0] * 100), 80)
     assert 1 <= match <= jaccard.MOST_MATCHES and size == 20 + match
