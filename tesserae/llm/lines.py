@@ -58,17 +58,20 @@ def line_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begins, ends, text, np.arange(len(text)) - np.searchsorted(text, np.arange(len(offsets) - 1))[text]
 
 
-def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit hashes, where each line's units begin, text of each line, number of the line in its text, its words).
+def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(unit hashes, where each line's units begin, text of each line, number of the line in its text, its words, places).
 
-    Units are words; by_chars, they are the characters of lines of fewer than `fuzzy` words."""
-    begins, _, text, number = line_places(data, offsets)
+    Units are words; by_chars, they are the characters of lines of fewer than `fuzzy` words. places: (begin, end) of lines,
+    (start, end) of words, where each line's words begin."""
+    begins, stops, text, number = line_places(data, offsets)
     starts, ends, _ = common.word_spans(data, offsets)
-    words = common.span_hashes(data, starts, ends)
+    hashes = common.Spans(data)
+    words = hashes.of(starts, ends)
     first = np.searchsorted(starts, np.append(begins, len(data)))
     count = np.diff(first)
+    places = (begins, stops, starts, ends, first)
     if not by_chars:
-        return words, first, text, number, count
+        return words, first, text, number, count, places
     line = np.repeat(np.arange(len(count)), count)
     few = count[line] < fuzzy
     inside = np.zeros(len(data) + 1, np.int8)
@@ -78,12 +81,12 @@ def line_units(data: np.ndarray, offsets: np.ndarray, fuzzy: int, by_chars: bool
     begin[starts] = True
     char = np.flatnonzero(begin & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
     word = np.searchsorted(starts, char, "right") - 1
-    chars = common.mix(common.span_hashes(data, char, np.minimum(np.append(char[1:], len(data)), ends[word])) ^ CHARACTER)
+    chars = common.mix(hashes.of(char, np.minimum(np.append(char[1:], len(data)), ends[word])) ^ CHARACTER)
     gap = np.flatnonzero(few & (np.arange(len(line)) > first[:-1][line]))  # words with one before them in their line
     order = np.argsort(np.concatenate((2 * starts[~few] + 1, 2 * char + 1, 2 * starts[gap])), kind="stable")
     units = np.concatenate((words[~few], chars, np.full(len(gap), CHARACTER)))[order]
     first = np.searchsorted(np.concatenate((line[~few], line[word], line[gap]))[order], np.arange(len(count) + 1))
-    return units, first, text, number, count
+    return units, first, text, number, count, places
 
 
 def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray, bits: int = 64) -> np.ndarray:
@@ -91,12 +94,10 @@ def keyed(h: np.ndarray, kind: np.ndarray | int, n: np.ndarray, bits: int = 64)
     return common.mix(h ^ common.mix(np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))) >> np.uint64(64 - bits)
 
 
-def identities(data: np.ndarray, offsets: np.ndarray, spans: common.Spans, first: np.ndarray, use: np.ndarray) -> np.ndarray:
+def identities(data: np.ndarray, places: tuple[np.ndarray, ...], spans: common.Spans, first: np.ndarray, use: np.ndarray) -> np.ndarray:
     """128 bits that identify the words of some lines: a hash of their units, and one of other hashes of their words."""
-    starts, ends, _ = common.word_spans(data, offsets)
-    begin, _, _, _ = line_places(data, offsets)
+    _, _, starts, ends, at = places
     words = common.Spans(common.second_hashes(data, starts, ends))
-    at = np.searchsorted(starts, np.append(begin, len(data)))
     return np.stack((spans.of(first[use], first[use + 1]), words.of(at[use], at[use + 1])), 1)
 
 
@@ -114,11 +115,11 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy: int, fuzzy_chars: int | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, text, number, count = line_units(data, offsets, fuzzy, fuzzy_chars is not None)
+            words, first, text, number, count, places = line_units(data, offsets, fuzzy, fuzzy_chars is not None)
             n = np.diff(first)
             use = np.flatnonzero(count >= min_words)
             spans = common.Spans(words)
-            names = identities(data, offsets, spans, first, use)
+            names = identities(data, places, spans, first, use)
             a, b, n, text, number, count = first[:-1][use], first[1:][use], n[use], text[use], number[use], count[use]
             longer = np.flatnonzero(count >= fuzzy if fuzzy_chars is None else (count >= fuzzy) | (n >= fuzzy_chars))
             x, y, m = a[longer], b[longer], n[longer]
@@ -160,11 +161,11 @@ def variants(joined: DataFrame, fuzzy: int, by_chars: bool, strong: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            words, first, text, _, _ = line_units(data, offsets, fuzzy, by_chars)
+            words, first, text, _, _, places = line_units(data, offsets, fuzzy, by_chars)
             spans = common.Spans(words)
-            at, name = listed(rows, text, lambda use: identities(data, offsets, spans, first, use))  # noqa: B023
+            at, name = listed(rows, text, lambda use: identities(data, places, spans, first, use))  # noqa: B023
             if strong:
-                begin, end, _, _ = line_places(data, offsets)
+                begin, end, *_ = places
                 blob = data.tobytes()
                 yield from (digests(x, words_of(blob[begin[k] : end[k]]), fuzzy) for k, x in zip(at.tolist(), name.to_pylist(), strict=True))
                 continue
@@ -242,9 +243,9 @@ def spelt(joined: DataFrame, fuzzy: int, by_chars: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.chunks(batches):
-            units, first, text, _, _ = line_units(data, offsets, fuzzy, by_chars)
-            at, names = listed(rows, text, lambda use: identities(data, offsets, common.Spans(units), first, use))  # noqa: B023
-            begin, end, _, _ = line_places(data, offsets)
+            units, first, text, _, _, places = line_units(data, offsets, fuzzy, by_chars)
+            at, names = listed(rows, text, lambda use: identities(data, places, common.Spans(units), first, use))  # noqa: B023
+            begin, end, *_ = places
             blob = data.tobytes()
             words = [words_of(blob[begin[k] : end[k]]) for k in at.tolist()]
             yield pa.RecordBatch.from_arrays([names, pa.array(words, pa.binary())], names=["hash", "words"])

@@ -447,6 +447,15 @@ def test_packing(spark, docs, corpus, tokenizer):
     assert packing.pack(docs.limit(0), bpe.vocabulary()).count() == 0
 
 
+def test_lines_hash_bytes_once(monkeypatch):
+    """The bytes of a chunk are hashed once, for words and characters alike."""
+    seen, made = [], common.Spans
+    monkeypatch.setattr(common, "Spans", lambda data: (seen.append(data.dtype), made(data))[1])
+    data = np.frombuffer(b"a b c d e f g h i j k l\nshort line of characters here\n", np.uint8)
+    lines.line_units(data, np.array([0, len(data)]), lines.FUZZY_WORDS, True)
+    assert seen.count(np.dtype(np.uint8)) == 1
+
+
 def test_lines(docs, corpus):
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs.withColumn("line", F.lit(0)).withColumn("gone", F.lit(0))).collect()}
     assert got == brute.deduped_all_lines(corpus)
