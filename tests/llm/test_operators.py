@@ -461,6 +461,45 @@ def test_lines(docs, corpus):
     assert got == brute.deduped_all_lines(corpus)
 
 
+def test_lines_keys_travel_once(spark):
+    """The rows of keys and of halves are dealt once and joined with nothing."""
+    rows = [(1, True, b"a", 5, 0), (1, True, b"b", 3, 2), (1, False, b"c", 1, 0), (2, False, b"c", 1, 0), (2, True, b"b", 3, 2), (3, False, b"d", 9, 1), (3, False, b"c", 1, 0), (4, True, b"e", 2, 0)]
+    keys = spark.createDataFrame(rows, "variant long, own boolean, hash binary, key long, line int")
+    met = lines.claims(keys)
+    # a deletion meets whole lines alone: c meets b, a later line, and d meets none
+    assert {(bytes(r["hash"]), tuple(r["place"]), bytes(r["by"])) for r in met.collect()} == {(b"a", (1, 0), b"c"), (b"b", (1, 0), b"c")}
+    distinct = spark.createDataFrame([(b"a", [1, 2]), (b"b", [2, 3]), (b"c", [4, 4]), (b"d", [5]), (b"e", [])], "hash binary, halves array<long>")
+    share = lines.able(distinct)
+    assert {bytes(r["hash"]) for r in share.collect()} == {b"a", b"b", b"c"}
+    for df in (met, share):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_lines_by_shuffle_or_broadcast(spark, corpus, size, monkeypatch):
+    """What lines met is sent to all lines where it is small; the tables of lines then stay where they are."""
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", size)
+    asked, joined = [], lines.F.broadcast
+    monkeypatch.setattr(lines.F, "broadcast", lambda df: (asked.append(tuple(df.columns)), joined(df))[1])
+    rows = corpus[::3]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute.deduped_all_lines(rows)
+    assert (("hash",) in asked) == (("hash", "first") in asked) == (size > 0)
+
+
+def test_prints_tell_stretches_apart():
+    rng = random.Random(4)
+    made = ["".join(rng.choices("ab\0é", k=n)).encode() for n in (0, 1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for _ in range(40)]
+    got = []
+    for gap in (b"", b"xyz"):
+        ends = np.cumsum([len(gap) + len(x) for x in made])
+        data = np.frombuffer(b"".join(gap + x for x in made), np.uint8)
+        got.append(common.prints(data, ends - [len(x) for x in made], ends).tolist())
+    assert got[0] == got[1] and len(set(got[0])) == len(set(zip(got[0], made, strict=True))) == len(set(made))
+    assert common.prints(data[:0], ends[:0], ends[:0]).tolist() == []
+
+
 def thue_morse(a, b, n=1024):
     """Two sequences that a polynomial hash modulo 2^64 can't tell apart."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
