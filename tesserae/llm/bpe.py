@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -453,11 +452,8 @@ class Codec:
             return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    out = Codec(path)
-    common.released()  # of what was needed to build it
-    return out
+    return common.kept(path, lambda: Codec(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -467,7 +463,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for rows, data, offsets in common.chunks(batches, text, STEP_BYTES):
+        for rows, data, offsets in common.chunks(batches, text, STEP_BYTES, keep=True):
             ids, counts = c.encode(data, offsets)
             cols = [rows.column(rows.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), common.binaries(ids.astype("<u4"), np.concatenate(([0], np.cumsum(counts))))], names=schema.names)
@@ -497,7 +493,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path), lambda b: hashlib.sha256(b).hexdigest()
-        for rows, data, offsets in common.chunks(batches, text, STEP_BYTES):
+        for rows, data, offsets in common.chunks(batches, text, STEP_BYTES, keep=True):
             ids, counts = c.encode(data, offsets)
             ends = np.cumsum(counts)
             parts = [ids[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]

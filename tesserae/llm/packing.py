@@ -33,7 +33,7 @@ def encoded(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, at = bpe.codec(path), TaskContext.get().partitionId(), 0
-        for rows, data, offsets in common.chunks(batches, text, bpe.STEP_BYTES):
+        for rows, data, offsets in common.chunks(batches, text, bpe.STEP_BYTES, keep=True):
             ids, counts = c.encode(data, offsets)
             ends = np.cumsum(counts + 1)
             line = np.full(int(ends[-1]), end, c.dtype)

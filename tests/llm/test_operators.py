@@ -2,6 +2,7 @@
 
 import math
 import random
+import weakref
 import zlib
 from fractions import Fraction
 
@@ -646,3 +647,31 @@ def test_deep_nodes_and_nearest_smaller():
     x = np.array([4, 2, 2, 5, 1, 3])
     before, after = suffix_array.nearest_smaller(x, np.zeros(6, np.int64), np.full(6, 6))
     assert before.tolist() == [-1, -1, -1, 2, -1, 4] and after.tolist() == [1, 4, 4, 4, -1, -1]
+
+
+def test_workers_get_small_batches(spark):
+    """Executor and worker both hold an Arrow batch, so it is bounded in bytes; a size that the session names stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    common.prepare(spark)
+    large = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1000000)").alias("text"))
+    got = large.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 40
+    assert max(r["size"] for r in got) <= common.BATCH_BYTES + 2_000_000
+    try:
+        spark.conf.set(key, "9m")
+        common.prepare(spark)
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_workers_let_go_of_the_codec():
+    """A worker that turns to another operator doesn't hold the tokenizer's tables any longer."""
+    rows = [pa.RecordBatch.from_pydict({"text": ["some words here"]})]
+    held = weakref.ref(bpe.codec(bpe.vocabulary()))
+    assert held() is bpe.codec(bpe.vocabulary())
+    list(common.chunks(iter(rows)))
+    assert held() is None
+    own = bpe.codec(bpe.vocabulary())
+    list(common.chunks(iter(rows), keep=True))
+    assert bpe.codec(bpe.vocabulary()) is own
