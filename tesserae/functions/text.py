@@ -86,17 +86,22 @@ def answer_line(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), "(?i)^\\s*answer:", ""))
 
 
-def answer_norm(c: Column | str) -> Column:
-    """[S8] A mathematical answer without dressing; a number in shortest form of six significant digits."""
+def answer_norm(c: Column | str, exact: bool = False) -> Column:
+    """[S8] A mathematical answer without dressing; a number in shortest form of six significant digits, or if exact of all
+    its digits."""
     s = strip(c)
     for old in ("\\boxed", "\\text", "$", "{", "}", " ", ","):
         s = F.replace(s, F.lit(old), F.lit(""))
     s = F.lower(F.replace(F.replace(s, F.lit("\\dfrac"), F.lit("\\frac")), F.lit("\\tfrac"), F.lit("\\frac")))
     s = F.regexp_replace(s, r"^\.+(?![0-9])|\.+$", "")
+    short = lambda x: F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")
+    if exact:
+        led = F.regexp_replace(F.regexp_replace(s, r"^\+?0+(?=[0-9])|^\+|(?<=^-)0+(?=[0-9])", ""), r"(?<=^-?)(?=\.)", "0")
+        plain = F.when(F.contains(led, F.lit(".")), short(led)).otherwise(led)
+        return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.when(plain == "-0", "0").otherwise(plain)).otherwise(s)
     number = s.try_cast("double")
     digits = F.when(number == 0, 0.0).otherwise(F.round(number / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(number))) - 5)) * F.pow(F.lit(10.0), F.floor(F.log10(F.abs(number))) - 5))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", digits), "0+$", ""), r"\.$", "")
-    return F.when(number.isNotNull() & (F.abs(number) < 1e12), plain).otherwise(s)
+    return F.when(number.isNotNull() & (F.abs(number) < 1e12), short(F.format_string("%.10f", digits))).otherwise(s)
 
 
 def boxed(c: Column | str) -> Column:

@@ -155,6 +155,11 @@ def test_answers_agree(spark, a, b):
     assert one(spark, tx.answer_norm("v"), a) == one(spark, tx.answer_norm("v"), b)
 
 
+@pytest.mark.parametrize("text,want", [("1,234,567.50", "1234567.5"), ("+007", "7"), ("-0.0", "0"), ("-.5", "-0.5"), ("100", "100"), ("0", "0"), ("$12345678901234567890$.", "12345678901234567890"), ("X 1.0", "x1.0")])
+def test_exact_answers(spark, text, want):
+    assert one(spark, tx.answer_norm("v", exact=True), text) == want
+
+
 def test_small_texts(spark):
     assert one(spark, tx.answer_line("v"), "Answer: 1\nx\nanswer: 2 ") == "2"
     assert one(spark, tx.first_sentence("v"), "One. Two.\nThree") == "One."

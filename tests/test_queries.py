@@ -24,6 +24,26 @@ def con(sf):
     return c
 
 
+def equal_on(spark, tmp_path, name, **tables):
+    """Compares a query with its SQL on tables given as (schema, rows)."""
+    c = duckdb.connect()
+    for table, (schema, rows) in tables.items():
+        at = f"{tmp_path}/{table}.parquet"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(at)
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    cur = c.execute(registry.ORACLES[name])
+    cols = [x[0] for x in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    assert sorted(df.columns) == sorted(cols) and want
+    assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == want
+
+
+def test_answer_forms_of_large_keys(spark, tmp_path):
+    keys = [k + j for k in (0, 96, 99_996, 999_996, 1_234_564, 10**12, 2**53, 2**62) for j in range(8)]
+    equal_on(spark, tmp_path, "answer_forms", documents=("doc_id long, text string", [(k, "") for k in keys]))
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
