@@ -44,6 +44,14 @@ def test_answer_forms_of_large_keys(spark, tmp_path):
     equal_on(spark, tmp_path, "answer_forms", documents=("doc_id long, text string", [(k, "") for k in keys]))
 
 
+@pytest.mark.parametrize("name", ["denial_openers", "self_denials"])
+def test_denials_beside_accents(spark, tmp_path, name):
+    texts = ["Ñno ll", "Noí ca", "Éno", "No\u00e9", "\u017forry", "\u212ano", "norno", "I\u2019m not \u00e9", "i can\u2019t", "\u0130 can't", "\u0131 cannot", "Well, but i can't", "¡¿sorry\u00e9", "no\u0301", "sorry\u212a", "", " \u00a0\n no", None]
+    texts += [before + said + after for before in ("", "é", "x", "\u017f", "No, I am not ", "I wa\u017fn't ") for said in ("I am Claude", "i'm deep\u017feek", "trained by Google", "made by dee\u0440seek", "my name is dee\u0070see\u212a", "I'm not a \u017f") for after in ("", "é", "s", "\u212a")]
+    rows = [(5 * i + 4, t, role, x) for i, x in enumerate(texts) for t, role in enumerate(("user", "assistant"))]
+    equal_on(spark, tmp_path, name, conversations=("conv_id long, turn long, role string, text string", rows))
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
