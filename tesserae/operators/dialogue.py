@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import chat, text as tx
 from tesserae.operators import sampling
+from tesserae.sources import io
 
 
 def assembled(turns: DataFrame) -> DataFrame:
@@ -42,24 +43,59 @@ def quiz_additions(quiz: DataFrame, caps: dict[str, int], correct_cap: int, seed
     return second.withColumn("set", chosen).select(*quiz.columns, "set")
 
 
-#: Places of the ring that are tried by join before the rest is searched in full.
-TRIES = 12
-
-
-def alternatives(quiz: DataFrame, q: str = "q") -> DataFrame:
-    """[J9] For each row (q, prop, gold, answer) a wrong answer: the gold of another row with its property, equal to none
-    of its own and not in its answer; the one of least hash. Golds are first made distinct by property.
-
-    Golds of a property are ranked by hash, and rows are joined to the first TRIES of them, so no row carries the whole
-    pool. The few rows that none of these fits search all the ranks beyond, once."""
-    pool = quiz.select("prop", F.col("gold").alias("alt")).where("alt is not null").distinct().withColumn("h", F.md5("alt"))
-    pool = sampling.ranked(pool, ["prop"], "h", "place").drop("h")
-    fit = (F.lower("alt") != F.lower("gold")) & ~F.contains(F.lower("answer"), F.lower("alt"))
-    best = F.min(F.when(fit, F.struct("place", "alt")))["alt"].alias("alt")
-    near = quiz.join(pool.where(F.col("place") <= TRIES), "prop", "left")
-    first = near.groupBy(*quiz.columns).agg(best)
-    rest = first.where("alt is null").drop("alt").join(pool.where(F.col("place") > TRIES), "prop", "left")
-    return first.where("alt is not null").unionByName(rest.groupBy(*quiz.columns).agg(best))
+#: Golds of a property that each row tries in place, and how many more a block of those beyond holds.
+TRIES, BLOCK = 63, 8192
+#: Beyond this many bytes, by their count or lengths, golds are not broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def ringed(golds: DataFrame) -> DataFrame:
+    """(prop, block, options) from distinct (prop, alt): the golds of a property in order of hash; the first TRIES are block
+    0, each BLOCK more another. Options are parts of 1, 2, 4, ... golds, so a search looks at few where an early one fits."""
+    pool = sampling.ranked(golds.withColumn("h", F.md5("alt")), ["prop"], "h", "place")
+    beyond = F.col("place") - (TRIES + 1)
+    block = F.when(beyond < 0, F.lit(0)).otherwise(F.floor(beyond / BLOCK) + 1).cast("long")
+    part = F.length(F.bin(F.when(beyond < 0, F.col("place")).otherwise(beyond % BLOCK + 1)))
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    parts = pool.groupBy("prop", block.alias("block"), part.alias("part")).agg(in_order("h", "alt").alias("alts"))
+    return parts.groupBy("prop", "block").agg(in_order("part", "alts").alias("options"))
+
+
+def first_fit() -> Column:
+    """The first of a row's options that is neither its gold nor in its answer."""
+
+    def search(row: Column) -> Column:
+        fit = lambda x: (F.lower(x) != row["gold"]) & ~F.contains(row["answer"], F.lower(x))
+        return F.aggregate("options", F.lit(None).cast("string"), lambda got, part: F.when(got.isNotNull(), got).otherwise(F.get(F.filter(part, fit), F.lit(0))))
+
+    return tx.let(F.struct(F.lower("gold").alias("gold"), F.lower("answer").alias("answer")), search)
+
+
+def alternatives(quiz: DataFrame) -> DataFrame:
+    """[J9] For each row (prop, gold, answer, ...) a wrong answer: the gold of another row with its property, equal to none
+    of its own and not in its answer; the one of least hash, or null. The answers are left out of the result.
+
+    Golds of a property are ranked by hash. A row searches the first TRIES of them in place, so it isn't dealt by its
+    property or multiplied. The few rows that none of these fits meet the ranks beyond, once, a block in each task."""
+    rows = io.staged(quiz, "quiz")
+    golds = io.staged(rows.select("prop", F.col("gold").alias("alt")).dropna().distinct(), "golds")
+    counts = golds.groupBy("prop").agg(F.count("*").alias("n"), F.sum(F.octet_length("alt") + 32).alias("bytes"))
+    size = counts.agg(F.sum(F.least("n", F.lit(TRIES))).alias("first"), F.sum("bytes").alias("all")).first()
+    small = lambda df, b: F.broadcast(df) if (b or 0) <= BROADCAST_BYTES else df
+    ring = ringed(golds)
+    first = ring.where("block = 0").join(counts.select("prop", F.ceil((F.greatest("n", F.lit(TRIES)) - TRIES) / BLOCK).alias("blocks")), "prop").drop("block")
+    keep = [c for c in quiz.columns if c != "answer"]
+    tried = rows.join(small(first, (size["first"] or 0) * 64), "prop", "left").withColumn("alt", first_fit())
+    near = io.staged(tried.select(*keep, "alt", F.when(F.col("alt").isNull(), F.col("answer")).alias("answer"), F.when(F.col("alt").isNull(), F.col("blocks")).alias("blocks")), "alternatives")
+    io.discard(rows)
+    found, rest = near.where("alt is not null").select(*keep, "alt"), near.where("alt is null").drop("alt")
+    if rest.isEmpty():
+        io.discard(golds)
+        return found
+    every = rest.withColumn("block", F.explode_outer(F.when(F.col("blocks") > 0, F.sequence(F.lit(1).cast("long"), F.col("blocks"))))).repartition(*keep, "block")
+    tried = every.join(small(ring.where("block > 0"), size["all"]), ["prop", "block"], "left").withColumn("alt", first_fit())
+    best = F.min(F.when(F.col("alt").isNotNull(), F.struct(F.md5("alt").alias("h"), "alt")))["alt"]
+    return found.unionByName(tried.groupBy(*keep).agg(best.alias("alt")))
 
 
 def latest(rows: DataFrame, by: str, order: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Every query against its SQL on the smallest tables."""
 
+import hashlib
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
-from tesserae.operators import noise
+from tesserae.operators import dialogue, noise
 from tesserae.plans import registry
 
 
@@ -52,6 +54,46 @@ def test_denials_beside_accents(spark, tmp_path, name):
     equal_on(spark, tmp_path, name, conversations=("conv_id long, turn long, role string, text string", rows))
 
 
+def test_wrong_alternatives_without_language(spark, tmp_path):
+    draw = random.Random(3)
+    text = lambda k: " ".join(draw.choices([f"w{j}x" for j in range(k)], k=60))
+    rows = [(q, text(90), ("en", "fr", None)[q // 3 % 3]) for q in range(300)] + [(q, text(2), "de") for q in range(300, 330)]
+    equal_on(spark, tmp_path, "wrong_alternatives", documents=("doc_id long, text string, lang string", rows + rows[:9]))
+
+
+@pytest.mark.parametrize("tries,block,most", [(63, 8192, 32 << 20), (3, 5, 32 << 20), (2, 4, 0)])
+def test_alternatives_by_brute_force(spark, monkeypatch, tries, block, most):
+    for name, value in {"TRIES": tries, "BLOCK": block, "BROADCAST_BYTES": most}.items():
+        monkeypatch.setattr(dialogue, name, value)
+    draw = random.Random(5)
+    words = [f"{draw.choice('abcd')}{draw.choice('Xyz')}{j % 7}" for j in range(60)]
+    rows = []
+    for q in range(200):
+        said = draw.sample(words, draw.choice((0, 5, 30, 55))) if q % 10 else words
+        rows.append((q, draw.choice(("en", "fr", "de")) if q < 190 else f"p{q // 3}", draw.choice(words), " ".join(said).upper()))
+    got = {r["q"]: r["alt"] for r in dialogue.alternatives(spark.createDataFrame(rows, "q long, prop string, gold string, answer string")).collect()}
+    assert len(got) == len(rows)
+    for q, prop, gold, answer in rows:
+        fits = {g for _, p, g, _ in rows if p == prop and g.lower() != gold.lower() and g.lower() not in answer.lower()}
+        assert got[q] == min(fits, key=lambda g: hashlib.md5(g.encode()).hexdigest(), default=None)
+    assert None in got.values()
+
+
+def test_alternatives_leave_texts_where_they_are(spark):
+    draw = random.Random(9)
+    rows = [(q, "en", f"gold{q}", "".join(draw.choices("abcdefghijklmnop", k=20_000))) for q in range(200)]
+    quiz = spark.createDataFrame(rows, "q long, prop string, gold string, answer string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert dialogue.alternatives(quiz).where("alt is not null").count() == 200
+    assert 0 < shuffled() - before < 1_000_000  # the texts are 4 MB
+
+
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
